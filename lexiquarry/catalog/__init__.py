@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("search", "chunking")
+MODULES = ("search", "chunking", "text", "tables", "fields", "answers", "metrics", "storage")
 
 
 def load_all():

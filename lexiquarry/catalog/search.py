@@ -52,7 +52,7 @@ def threshold_filter(spark, folder):
 
 @query("threshold_with_fallback", f"""
     WITH {S.knn('near', 6)},
-    hits AS (SELECT *, exp(-distance / 10) AS score FROM near WHERE query_id <> doc_id),
+    hits AS (SELECT query_id, doc_id, distance, exp(-distance / 10) AS score FROM near WHERE query_id <> doc_id),
     marked AS (
       SELECT *, max(score) OVER (PARTITION BY query_id) AS best,
              row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM hits

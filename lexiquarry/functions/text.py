@@ -63,19 +63,12 @@ def ngrams(words: Column, stop_words=(), low: int = 1, high: int = 2) -> Column:
     if stop_words:
         words = F.filter(words, lambda w: ~w.isin(list(stop_words)))
 
+    def runs(ws: Column, n: int) -> Column:
+        starts = F.when(F.size(ws) >= n, F.sequence(F.lit(0), F.size(ws) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(ws, i + j) for j in range(n)]))
+
     def grams(ws: Column) -> Column:
-        parts = []
-        for n in range(low, high + 1):
-            if n == 1:
-                parts.append(ws)
-                continue
-            starts = F.when(F.size(ws) >= n, F.sequence(F.lit(0), F.size(ws) - n)).otherwise(
-                F.array().cast("array<int>")
-            )
-            parts.append(
-                F.transform(starts, lambda i, n=n: F.concat_ws(" ", *[F.get(ws, i + j) for j in range(n)]))
-            )
-        return F.concat(*parts)
+        return F.concat(*[ws if n == 1 else runs(ws, n) for n in range(low, high + 1)])
 
     return bind(words, grams)
 

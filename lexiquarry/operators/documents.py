@@ -27,15 +27,15 @@ def normalize_all(*parts: DataFrame) -> DataFrame:
 
 def merge_metadata(own: Column, config: Column, doc_type: Column, extra: Column) -> Column:
     """One map: the document's own entries, under config entries, under ``doc_type``, under extra entries."""
-    layers = [extra, F.create_map(F.lit("doc_type"), doc_type), config, own]
-    merged = F.coalesce(layers[0], F.create_map().cast("map<string,string>"))
-    for layer in layers[1:]:
-        upper = merged
-        fresh = F.map_filter(
-            F.coalesce(layer, F.create_map().cast("map<string,string>")),
-            lambda k, _, upper=upper: ~F.map_contains_key(upper, k),
-        )
-        merged = F.map_concat(fresh, upper)
+    none = F.create_map().cast("map<string,string>")
+
+    def under(lower: Column, upper: Column) -> Column:
+        fresh = F.map_filter(F.coalesce(lower, none), lambda k, _: ~F.map_contains_key(upper, k))
+        return F.map_concat(fresh, upper)
+
+    merged = F.coalesce(extra, none)
+    for layer in (F.create_map(F.lit("doc_type"), doc_type), config, own):
+        merged = under(layer, merged)
     return merged
 
 
