@@ -10,7 +10,8 @@ from .registry import query, table
 
 
 def latency(spark, folder):
-    """Values as seconds."""
+    """Values as seconds; times are read as UTC, as in the SQL."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return table(spark, folder, "events").withColumn("seconds", F.col("value") / 10).withColumn(
         "ts", F.col("ts").cast("timestamp")
     )
@@ -118,6 +119,7 @@ CLOSED = f"{START} + INTERVAL '5 minutes' <= (SELECT max(ts) - INTERVAL '10 minu
 
 
 def _stream(spark, folder):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     events = X.event_stream(spark, folder, table(spark, folder, "events").schema, "events.parquet")
     return events.withColumn("seconds", F.col("value") / 10)
 

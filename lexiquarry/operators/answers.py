@@ -31,6 +31,7 @@ from ..params import (
     PROMPT_TASK,
     SYSTEM_PROMPT,
 )
+from .common import broadcast_if_small, settled
 from .numbering import number_rows
 from .search import nearest
 from .vectorize import mean_vectors
@@ -97,9 +98,10 @@ def build_prompt(
 ) -> DataFrame:
     """(query, prompt, sources): the question with its formatted hits in rank order and the guidance.
 
-    Hits are joined to documents after the top-k cut, so only retrieved texts travel.
+    Hits are cut to the top k and written before they meet the documents, so a
+    small set of hits is broadcast and the documents are only scanned.
     """
-    found = hits.select(query_id, doc_id, "rank").join(docs.select(doc_id, "content", "metadata"), doc_id)
+    found = settled(hits.select(query_id, doc_id, "rank"), "hits").join(docs.select(doc_id, "content", "metadata"), doc_id)
     formatted = found.select(
         query_id, "rank", F.col(doc_id).cast("string").alias("_src"),
         format_document(F.col("rank"), F.col("metadata"), F.col("content")).alias("_text"),
@@ -220,14 +222,14 @@ def extremum_topk(
     values = docs.select(doc_id, F.explode(parse_kv(F.col("content"), aliases)).alias("field", "_text")).select(
         doc_id, "field", to_number(F.col("_text"), unit_suffix).alias("value")
     ).where(F.col("value").isNotNull())
-    signed = values.join(wanted, "field").withColumn(
+    signed = values.join(broadcast_if_small(wanted), "field").withColumn(
         "_key", F.when(F.col("descending"), -F.col("value")).otherwise(F.col("value"))
     )
     order = Window.partitionBy("field", "descending").orderBy("_key", doc_id)
     top = signed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_key")
     hits = asked.join(top, ["field", "descending"]).select(query_id, "field", doc_id, "value", "rank")
     context = (
-        hits.join(docs.select(doc_id, "content"), doc_id)
+        settled(hits, "extremes").join(docs.select(doc_id, "content"), doc_id)
         .groupBy(query_id)
         .agg(F.array_sort(F.collect_list(F.struct("rank", "content"))).alias("_d"))
         .select(query_id, F.array_join("_d.content", "\n").alias("context"))

@@ -21,6 +21,7 @@ from ..params import (
     SENTENCE_PATTERN,
     ChunkPreset,
 )
+from .common import spread
 
 # Windows cut from one stretch of text before the next stretch is taken.
 _STRETCH = 64
@@ -169,7 +170,7 @@ def cjk_chunks(text: Column, size: int, overlap: int) -> Column:
 def explode_chunks(df: DataFrame, chunks: Column, text_col: str = "content") -> DataFrame:
     """One row per chunk: the other columns, ``chunk``, ``total_chunks`` and the chunk as ``text_col``."""
     keep = [c for c in df.columns if c != text_col]
-    cut = df.select(*keep, chunks.alias("_chunks"))
+    cut = spread(df).select(*keep, chunks.alias("_chunks"))
     return cut.select(
         *keep,
         F.size("_chunks").alias("total_chunks"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import guess_type, standard_name, strip, to_number
 from ..params import FIELD_SIMILARITY, LEARN_SAMPLE, SAMPLE_VALUES
+from .common import broadcast_if_small, settled
 from .search import nearest, within
 
 
@@ -101,7 +102,7 @@ def resolve_field(names: DataFrame, aliases: DataFrame, name_col: str = "field")
         F.min_by("standard", F.struct("ord", "standard")).alias("_std")
     )
     keyed = names.withColumn("_key", standard_name(F.col(name_col)))
-    return keyed.join(table, "_key", "left").withColumn(
+    return keyed.join(broadcast_if_small(table), "_key", "left").withColumn(
         "standard_field", F.coalesce("_std", "_key")
     ).drop("_key", "_std")
 
@@ -156,14 +157,14 @@ def category_filter(
     )
     named = categories.select(F.col("category").alias("other"), F.col("category_vec").alias("other_vec"))
     alike = within(categories, named, threshold, "category", "other", "category_vec", "other_vec")
-    wanted = chosen.join(alike.select("category", "other"), "category")
+    wanted = settled(chosen.join(alike.select("category", "other"), "category"), "categories")
     matched = docs.select(doc_id, F.col("category").alias("other")).join(wanted, "other").select(
         query_id, "category", doc_id
     )
     first = Window.partitionBy(query_id).orderBy(doc_id)
     top = matched.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= context_size)
     context = (
-        top.join(docs.select(doc_id, "content"), doc_id)
+        settled(top, "category-hits").join(docs.select(doc_id, "content"), doc_id)
         .groupBy(query_id)
         .agg(F.array_sort(F.collect_list(F.struct("_rn", "content"))).alias("_parts"))
         .select(query_id, F.array_join("_parts.content", "\n").alias("context"))
@@ -175,7 +176,7 @@ def normalize_category(df: DataFrame, mapping: DataFrame, column: str = "categor
     """Replace category aliases (alias, canonical) by their canonical name; other values stay."""
     table = mapping.groupBy(standard_name(F.col("alias")).alias("_key")).agg(F.min("canonical").alias("_canonical"))
     keyed = df.withColumn("_key", standard_name(F.col(column)))
-    return keyed.join(table, "_key", "left").withColumn(
+    return keyed.join(broadcast_if_small(table), "_key", "left").withColumn(
         "canonical", F.coalesce("_canonical", column)
     ).drop("_key", "_canonical")
 
@@ -186,7 +187,7 @@ def validate_fields(values: DataFrame, rules: DataFrame) -> DataFrame:
     ``rules``: field, min_value, max_value, max_length, allow_decimal,
     date_format (a Spark pattern); a null turns a rule off.
     """
-    joined = values.join(rules, "field", "left")
+    joined = values.join(broadcast_if_small(rules), "field", "left")
     number = to_number(F.col("value"))
     out_of_range = F.coalesce((number < F.col("min_value")) | (number > F.col("max_value")), F.lit(False))
     too_long = F.coalesce(F.length("value") > F.col("max_length"), F.lit(False))

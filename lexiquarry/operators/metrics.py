@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..params import RESPONSE_BOUNDS
+from .numbering import running_sum
 
 
 def _bound_columns(value: Column, bounds) -> list[Column]:
@@ -57,7 +58,22 @@ def histogram_quantile(sums: DataFrame, q: float, bounds=RESPONSE_BOUNDS, keys=(
 
 
 def exact_quantile(df: DataFrame, q: float, value_col: str = "value", keys=()) -> DataFrame:
-    return df.groupBy(*keys).agg(F.percentile(value_col, q).alias("quantile"))
+    """Exact quantile per group, interpolated between neighbouring values.
+
+    Values are counted before the shuffle and ranked in ranges, so neither a
+    hot group nor a hot value has to fit into one task.
+    """
+    keys = list(keys)
+    counts = df.where(F.col(value_col).isNotNull()).groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_sum(counts, value_col, "_n", keys, "_upto", "_total")
+    place = F.lit(q) * (F.col("_total") - 1)
+    value = F.col(value_col)
+    ends = ranked.groupBy(*keys).agg(
+        F.min(F.when(F.col("_upto") > F.floor(place), value)).alias("_low"),
+        F.min(F.when(F.col("_upto") > F.ceil(place), value)).alias("_high"),
+        F.max(place - F.floor(place)).alias("_part"),
+    )
+    return ends.select(*keys, (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias("quantile"))
 
 
 def request_rate(events: DataFrame, window: str = "5 minutes", slide: str | None = None, ts: str = "ts") -> DataFrame:

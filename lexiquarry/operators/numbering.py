@@ -1,17 +1,17 @@
-"""Row numbers over groups of any size.
+"""Row numbers and running sums over groups of any size.
 
-``row_number`` alone sends each group to one task. Here the groups are cut
-into ranges of the order key first: a count per range gives each range its
+A window over a group sends the group to one task. Here the groups are cut
+into ranges of the order key first: a sum per range gives each range its
 offset, and only the rows of one range are sorted together.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def _order_proxy(df: DataFrame, column: str):
+def _order_proxy(df: DataFrame, column: str) -> Column:
     """A double that never decreases as the column grows."""
     kind = df.schema[column].dataType.typeName()
     if kind in ("string", "char", "varchar"):
@@ -24,54 +24,71 @@ def _order_proxy(df: DataFrame, column: str):
     return F.col(column).cast("double")
 
 
-def number_rows(
-    df: DataFrame,
-    order_by: str,
-    partition_by: list[str] | None = None,
-    name: str = "rn",
-    total: str | None = None,
-    ties: list[str] | None = None,
-    ranges: int | None = None,
-) -> DataFrame:
-    """Add ``name`` = 1, 2, ... by ``order_by`` (then ``ties``) within ``partition_by``.
-
-    ``total`` names an extra column with the size of the group. The only data
-    that reaches the driver is the list of range bounds.
-    """
-    spark = df.sparkSession
-    keys = list(partition_by or [])
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _ranged(df: DataFrame, order_by: str, ranges: int | None) -> DataFrame:
+    """Add ``_range``, increasing with the order key. Only range bounds reach the driver."""
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     proxied = df.withColumn("_proxy", F.coalesce(_order_proxy(df, order_by), F.lit(float("-inf"))))
     shares = [(i + 1) / ranges for i in range(ranges - 1)]
-    cuts = []
+    cuts: list[float] = []
     if shares:
         found = proxied.where("_proxy > double('-infinity')").agg(
             F.percentile_approx("_proxy", shares, max(10000, 10 * ranges))
         ).head()[0]
         cuts = sorted(set(found or []))
-    if cuts:
-        bucketizer = Bucketizer(
-            splits=[float("-inf"), *cuts, float("inf")], inputCol="_proxy", outputCol="_range"
-        )
-        ranged = bucketizer.transform(proxied).withColumn("_range", F.col("_range").cast("int"))
-    else:
-        ranged = proxied.withColumn("_range", F.lit(0))
-    ranged = ranged.drop("_proxy")
+    if not cuts:
+        return proxied.withColumn("_range", F.lit(0)).drop("_proxy")
+    bucketizer = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_proxy", outputCol="_range")
+    return bucketizer.transform(proxied).withColumn("_range", F.col("_range").cast("int")).drop("_proxy")
 
-    group = [*keys, "_range"]
-    counts = ranged.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    # One row per group and range: at most ``ranges`` rows per group.
+
+def _with_offsets(ranged: DataFrame, keys: list[str], weight: Column, total: str | None) -> DataFrame:
+    """Join to each row the weight of all earlier ranges of its group (and of the whole group)."""
+    sums = ranged.groupBy(*keys, "_range").agg(F.sum(weight).alias("_n"))
+    # One row per group and range.
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    offsets = sums.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     if total:
         offsets = offsets.withColumn(total, F.sum("_n").over(Window.partitionBy(*keys)))
-    offsets = offsets.drop("_n")
-    within = Window.partitionBy(*group).orderBy(order_by, *(ties or []))
-    same = F.col(f"o._range") == F.col("r._range")
+    same = F.col("o._range") == F.col("r._range")
     for key in keys:
         same = same & F.col(f"r.{key}").eqNullSafe(F.col(f"o.{key}"))
     extra = [F.col(f"o.{total}").alias(total)] if total else []
-    joined = ranged.alias("r").join(offsets.alias("o"), same).select("r.*", F.col("o._offset"), *extra)
-    return joined.withColumn(
+    return ranged.alias("r").join(offsets.alias("o"), same).select("r.*", F.col("o._offset"), *extra)
+
+
+def number_rows(
+    df: DataFrame,
+    order_by: str,
+    partition_by: list[str] | None = None,
+    name: str = "rn",
+    total: str | None = None,
+    ties: list[str] | None = None,
+    ranges: int | None = None,
+) -> DataFrame:
+    """Add ``name`` = 1, 2, ... by ``order_by`` (then ``ties``) within ``partition_by``.
+
+    ``total`` names an extra column with the size of the group. The order key
+    should be nearly unique within a group, since equal keys share a range.
+    """
+    keys = list(partition_by or [])
+    placed = _with_offsets(_ranged(df, order_by, ranges), keys, F.lit(1), total)
+    within = Window.partitionBy(*keys, "_range").orderBy(order_by, *(ties or []))
+    return placed.withColumn(
         name, (F.col("_offset") + F.row_number().over(within)).cast("bigint")
     ).drop("_offset", "_range")
+
+
+def running_sum(
+    df: DataFrame,
+    order_by: str,
+    weight: str,
+    partition_by: list[str] | None = None,
+    name: str = "cumulative",
+    total: str | None = None,
+    ranges: int | None = None,
+) -> DataFrame:
+    """Add the sum of ``weight`` over the rows up to this one within ``partition_by``."""
+    keys = list(partition_by or [])
+    placed = _with_offsets(_ranged(df, order_by, ranges), keys, F.col(weight), total)
+    within = Window.partitionBy(*keys, "_range").orderBy(order_by).rowsBetween(Window.unboundedPreceding, 0)
+    return placed.withColumn(name, F.col("_offset") + F.sum(weight).over(within)).drop("_offset", "_range")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import document_identity, strip, tokens
-from ..params import BM25_B, BM25_K1, RRF_K, TOP_K
+from ..params import BM25_B, BM25_K1, BROADCAST_ROWS, RRF_K, TOP_K
+from .common import broadcast_if_small, spread
 from .search import knn, with_score
 
 
@@ -38,8 +39,8 @@ def bm25(
     terms = queries.select(
         query_id, F.explode(F.array_distinct(drop_stops(tokens(F.col(query_text))))).alias("term")
     )
-    vocabulary = terms.select("term").distinct()
-    tokenized = docs.select(doc_id, tokens(F.col(doc_text)).alias("_tokens"))
+    vocabulary = broadcast_if_small(terms.select("term").distinct())
+    tokenized = spread(docs.select(doc_id, doc_text)).select(doc_id, tokens(F.col(doc_text)).alias("_tokens"))
     stats = tokenized.select(F.size("_tokens").alias("len"))
     n_docs = stats.agg(F.count(F.lit(1)).cast("double")).scalar()
     mean_len = stats.agg(F.avg("len")).scalar()
@@ -51,7 +52,10 @@ def bm25(
     )
     df = postings.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted_terms = terms.join(df.select("term", idf.alias("idf")), "term")
+    weights = df.select("term", idf.alias("idf"))
+    weighted_terms = terms.join(weights, "term")
+    if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        weighted_terms = F.broadcast(weighted_terms)
     gain = F.col("idf") * F.col("tf") * (k1 + 1) / (
         F.col("tf") + F.lit(k1) * (1 - b + b * F.col("len") / mean_len)
     )

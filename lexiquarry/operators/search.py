@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
 from ..params import BLOCK_ROWS, DECAY_SCALE, MIN_SIMILARITY, NPROBE, SMALL_SIDE_ROWS, TOP_K
-from ..functions.vectors import score_decay
+from ..functions.vectors import l2sq, score_decay
+from .common import settled
 
 _QUERY_SLICE = 256
 _PAIR_SLICE = 1 << 18
@@ -354,9 +355,7 @@ def overfetch(queries: DataFrame, corpus: DataFrame, k: int, multiplier: int, ex
     """Fetch ``k * multiplier`` candidates with any search, re-rank them exactly, cut to k."""
     query_id, doc_id = names.get("query_id", "query_id"), names.get("doc_id", "doc_id")
     query_vec, doc_vec = names.get("query_vec", "query_vec"), names.get("doc_vec", "embedding")
-    from ..functions.vectors import l2sq
-
-    candidates = exact(queries, corpus, int(k * multiplier), **names).select(query_id, doc_id)
+    candidates = settled(exact(queries, corpus, int(k * multiplier), **names).select(query_id, doc_id), "candidates")
     scored = (
         candidates.join(queries.select(query_id, query_vec), query_id)
         .join(corpus.select(doc_id, doc_vec), doc_id)

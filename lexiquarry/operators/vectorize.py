@@ -16,6 +16,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import ngrams, tokens
 from ..params import EMBEDDING_DIM, ENCODE_BATCH, TFIDF_FEATURES, WORD2VEC
+from .common import broadcast_if_small, spread
 
 
 def english_stop_words() -> list[str]:
@@ -26,7 +27,8 @@ def english_stop_words() -> list[str]:
 # ---- TF-IDF -------------------------------------------------------------------------
 
 def _grams(df: DataFrame, id_col: str, text_col: str, stop_words, low, high) -> DataFrame:
-    return df.select(id_col, ngrams(tokens(F.col(text_col)), stop_words, low, high).alias("_grams"))
+    texts = spread(df.select(id_col, text_col))
+    return texts.select(id_col, ngrams(tokens(F.col(text_col)), stop_words, low, high).alias("_grams"))
 
 
 def tfidf_fit(
@@ -86,7 +88,7 @@ def tfidf_transform(
     grams = _grams(df, id_col, text_col, stop_words, *ngram_range)
     known = (
         grams.select(id_col, F.explode("_grams").alias("term"))
-        .join(vocab.select("term", "idx", "idf"), "term")
+        .join(broadcast_if_small(vocab.select("term", "idx", "idf")), "term")
         .repartition(id_col)
     )
     counted = known.groupBy(id_col, "idx", "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
@@ -97,9 +99,13 @@ def tfidf_transform(
 
 # ---- word vectors -------------------------------------------------------------------
 
-def word2vec_fit(df: DataFrame, text_col: str = "content", seed: int = 7, partitions: int = 1, max_iter: int = 1, **params):
-    """Train word vectors; returns the MLlib model (``getVectors()`` is the word table)."""
+def word2vec_fit(df: DataFrame, text_col: str = "content", seed: int = 7, partitions: int | None = None, max_iter: int = 1, **params):
+    """Train word vectors; returns the MLlib model (``getVectors()`` is the word table).
+
+    Training runs on ``partitions`` tasks, by default one per core.
+    """
     opts = {**WORD2VEC, **params}
+    partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
     words = df.select(tokens(F.col(text_col)).alias("words"))
     return Word2Vec(
         vectorSize=opts["vector_size"],
@@ -211,7 +217,7 @@ def embed(
                 rows.extend(one_batch(encode, values[at : at + batch_size]))
             yield pd.DataFrame(rows, columns=["embedding", "error"])
 
-    done = df.withColumn("_e", encode_all(F.col(text_col)))
+    done = spread(df).withColumn("_e", encode_all(F.col(text_col)))
     out = done.withColumn(out_col, F.col("_e.embedding"))
     if on_error != "zero":
         out = out.withColumn("embed_error", F.col("_e.error"))

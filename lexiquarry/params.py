@@ -181,7 +181,9 @@ BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, rang
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Largest number of rows a side may have to be sent whole to every task.
+# Largest number of rows of a narrow join side that is broadcast.
+BROADCAST_ROWS = 200_000
+# Largest number of vectors a side may have to be sent whole to every task.
 SMALL_SIDE_ROWS = 4096
 # Rows of either side handled by one task in a blocked search.
 BLOCK_ROWS = 16384

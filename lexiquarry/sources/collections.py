@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def collection_id(source: Column, chunk: Column) -> Column:
-    """Id that is the same whenever the same chunk is written."""
-    return F.xxhash64(source, chunk)
+    """Id that is the same whenever the same chunk is written; 128 bits, as 64 collide among many billions."""
+    return F.md5(F.concat_ws("#", source, chunk.cast("string")))
 
 
 def _checked(df: DataFrame, dim: int, vec_col: str) -> DataFrame:
