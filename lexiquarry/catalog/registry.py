@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.text import once
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -44,6 +46,6 @@ def query_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def as_long(df: DataFrame, keys: list[str], vec: str, digits: int = 6) -> DataFrame:
     """One row per vector element, rounded."""
-    return df.select(*keys, F.posexplode(vec).alias("pos", "x")).select(
+    return df.select(*keys, F.posexplode(once(F.col(vec))).alias("pos", "x")).select(
         *keys, F.col("pos").cast("bigint").alias("pos"), F.round(F.col("x").cast("double"), digits).alias("x")
     )

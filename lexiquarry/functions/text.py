@@ -24,6 +24,15 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(values: Column) -> Column:
+    """An array to be exploded that is computed only once.
+
+    Exploding a plain column makes Spark infer a filter on its size and push
+    it down, often below a shuffle, where the column is computed again.
+    """
+    return bind(values, lambda v: v)
+
+
 def strip(text: Column) -> Column:
     """Cut blanks of any kind off both ends."""
     return F.btrim(text, F.lit(BLANKS))

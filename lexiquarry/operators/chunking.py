@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ..functions.text import bind
+from ..functions.text import bind, once
 from ..params import (
     CHUNK_PRESETS,
     CJK_SEPARATORS,
@@ -117,7 +117,8 @@ def _per_text(cutter):
         rows = zip(texts.to_pylist(), kinds.to_pylist())
         return pa.array([cutter(t, k) if t else [] for t, k in rows], type=pa.list_(pa.string()))
 
-    return run
+    # Marked so that a filter on the chunks is not a reason to cut every text twice.
+    return run.asNondeterministic()
 
 
 def separator_chunks(text: Column, size: int, overlap: int, separators) -> Column:
@@ -174,7 +175,7 @@ def explode_chunks(df: DataFrame, chunks: Column, text_col: str = "content") ->
     return cut.select(
         *keep,
         F.size("_chunks").alias("total_chunks"),
-        F.posexplode("_chunks").alias("chunk", text_col),
+        F.posexplode(once(F.col("_chunks"))).alias("chunk", text_col),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import document_identity, strip, tokens
 from ..params import BM25_B, BM25_K1, BROADCAST_ROWS, RRF_K, TOP_K
-from .common import broadcast_if_small, spread
+from .common import spread
 from .search import knn, with_score
 
 
@@ -29,38 +29,42 @@ def bm25(
 ) -> DataFrame:
     """Top k documents per query by BM25: (query, doc, score, rank); ties by doc id.
 
-    Tokens of the corpus meet the distinct query terms before any shuffle, so
-    only matching (document, term) counts travel. Term weights are joined to
-    those counts, and one more join brings in the queries.
+    Tokens of the corpus meet the distinct query terms before the only large
+    shuffle, by document. Counting, scoring and the sum per (query, document)
+    all use that partitioning; after it only the k best documents per query
+    and task travel. Every document also sends one empty token, so the number
+    of documents and their mean length come from the same pass.
     """
-    def drop_stops(ts: Column) -> Column:
+    def usable(ts: Column) -> Column:
         return F.filter(ts, lambda t: ~t.isin(list(stop_words))) if stop_words else ts
 
     terms = queries.select(
-        query_id, F.explode(F.array_distinct(drop_stops(tokens(F.col(query_text))))).alias("term")
+        query_id, F.explode(F.array_distinct(usable(tokens(F.col(query_text))))).alias("term")
     )
-    vocabulary = broadcast_if_small(terms.select("term").distinct())
-    tokenized = spread(docs.select(doc_id, doc_text)).select(doc_id, tokens(F.col(doc_text)).alias("_tokens"))
-    stats = tokenized.select(F.size("_tokens").alias("len"))
-    n_docs = stats.agg(F.count(F.lit(1)).cast("double")).scalar()
-    mean_len = stats.agg(F.avg("len")).scalar()
+    few_terms = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    mark = F.broadcast if few_terms else (lambda side: side)
+
+    vocabulary = terms.select("term").union(terms.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    texts = spread(docs.select(doc_id, doc_text)).select(doc_id, tokens(F.col(doc_text)).alias("_tokens"))
     postings = (
-        tokenized.select(doc_id, F.size("_tokens").alias("len"), F.explode("_tokens").alias("term"))
-        .join(vocabulary, "term")
-        .groupBy(doc_id, "term", "len")
+        texts.select(
+            doc_id, F.size("_tokens").alias("len"), F.explode(F.concat("_tokens", F.array(F.lit("")))).alias("term")
+        )
+        .join(mark(vocabulary), "term")
+        .repartition(doc_id)
+        .groupBy(doc_id, "len", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    frequency = postings.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"), F.avg("len").alias("mean"))
+    whole = frequency.where("term = ''")
+    n_docs, mean_len = whole.select("df").scalar(), whole.select("mean").scalar()
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = df.select("term", idf.alias("idf"))
-    weighted_terms = terms.join(weights, "term")
-    if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        weighted_terms = F.broadcast(weighted_terms)
+    weighted = terms.join(mark(frequency.select("term", idf.alias("idf"))), "term")
     gain = F.col("idf") * F.col("tf") * (k1 + 1) / (
         F.col("tf") + F.lit(k1) * (1 - b + b * F.col("len") / mean_len)
     )
     scores = (
-        postings.join(weighted_terms, "term")
+        postings.join(mark(weighted), "term")
         .groupBy(query_id, doc_id)
         .agg(F.sum(gain).alias("_score"))
         # The same parts may be added in another order; equal scores must stay equal.

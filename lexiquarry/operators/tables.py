@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import bind, strip
+from ..functions.text import bind, once, strip
 from ..params import ROWS_PER_CHUNK
 from .numbering import number_rows
 
@@ -100,7 +100,7 @@ def read_markdown_table(
         _cells(F.get("_lines", F.lit(0))).alias("_header"),
         F.slice("_lines", body_at, F.greatest(F.size("_lines") - body_at + 1, F.lit(0))).alias("_body"),
     )
-    rows = parsed.select(*keep, "_header", F.posexplode("_body").alias("row_no", "_line"))
+    rows = parsed.select(*keep, "_header", F.posexplode(once(F.col("_body"))).alias("row_no", "_line"))
     fitted = bind(
         _cells(F.col("_line")),
         lambda cs: F.slice(

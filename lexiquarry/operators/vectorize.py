@@ -14,7 +14,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.text import ngrams, tokens
+from ..functions.text import ngrams, once, tokens
 from ..params import EMBEDDING_DIM, ENCODE_BATCH, TFIDF_FEATURES, WORD2VEC
 from .common import broadcast_if_small, spread
 
@@ -87,7 +87,7 @@ def tfidf_transform(
     """
     grams = _grams(df, id_col, text_col, stop_words, *ngram_range)
     known = (
-        grams.select(id_col, F.explode("_grams").alias("term"))
+        grams.select(id_col, F.explode(once(F.col("_grams"))).alias("term"))
         .join(broadcast_if_small(vocab.select("term", "idx", "idf")), "term")
         .repartition(id_col)
     )
@@ -134,7 +134,7 @@ def mean_word_vectors(
     docs: DataFrame, words: DataFrame, dim: int, id_col: str = "doc_id", tokens_col: str = "tokens"
 ) -> DataFrame:
     """Mean vector of the known words of each text; zeros if it has none."""
-    known = docs.select(id_col, F.explode(tokens_col).alias("word")).join(words.select("word", "vec"), "word")
+    known = docs.select(id_col, F.explode(once(F.col(tokens_col))).alias("word")).join(words.select("word", "vec"), "word")
     means = mean_vectors(known, [id_col], "vec")
     return docs.select(id_col).join(means, id_col, "left").select(
         id_col, F.coalesce("vec", F.array_repeat(F.lit(0.0), dim)).alias("vec")
@@ -217,6 +217,9 @@ def embed(
                 rows.extend(one_batch(encode, values[at : at + batch_size]))
             yield pd.DataFrame(rows, columns=["embedding", "error"])
 
+    # Marked so that a filter on the result is not a reason to encode every text twice.
+    encode_all = encode_all.asNondeterministic()
+
     done = spread(df).withColumn("_e", encode_all(F.col(text_col)))
     out = done.withColumn(out_col, F.col("_e.embedding"))
     if on_error != "zero":
