@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import once
+from ..operators.common import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,8 +31,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").withColumnRenamed("text", "content")
+def documents(spark: SparkSession, folder: str, even: bool = False) -> DataFrame:
+    """``even`` spreads a small table over the cores, for expressions that are heavy per row."""
+    docs = table(spark, folder, "documents").withColumnRenamed("text", "content")
+    return spread(docs) if even else docs
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:

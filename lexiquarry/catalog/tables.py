@@ -65,7 +65,7 @@ def read_markdown_table(spark, folder):
 
 def _shapes(spark, folder):
     """Texts of every shape: prose, pages, JSON, tables, lists."""
-    docs = documents(spark, folder)
+    docs = documents(spark, folder, True)
     parts = [
         docs.select(F.lit("prose").alias("shape"), F.col("doc_id").alias("id"), "content"),
         docs.select(F.lit("list"), "doc_id", F.concat(F.lit("- "), F.replace("content", F.lit("\n"), F.lit("\n- ")))),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import documents as D, retrieval as R, vectorize as V
 from ..params import RETRIEVAL_INSTRUCTION
+from ..session import materialize
 from . import sql as S
 from .registry import documents, query, table
 
@@ -33,7 +34,7 @@ VOCAB = f"""{GRAMS},
     SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct, md5(array_to_string(t, ' ')) AS tokens_md5
     FROM (SELECT doc_id, {S.tokens('text')} AS t FROM documents)""")
 def tokenize(spark, folder):
-    return documents(spark, folder).select("doc_id", T.tokens(F.col("content")).alias("t")).select(
+    return documents(spark, folder, True).select("doc_id", T.tokens(F.col("content")).alias("t")).select(
         "doc_id", F.size("t").cast("bigint").alias("n_tokens"),
         F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"),
         F.md5(F.array_join("t", " ")).alias("tokens_md5"),
@@ -43,7 +44,7 @@ def tokenize(spark, folder):
 @query("ngrams_stopwords", f"WITH {GRAMS} SELECT doc_id, len(g)::BIGINT AS n_grams, md5(array_to_string(g, '|')) AS grams_md5 FROM grams")
 def ngrams_stopwords(spark, folder):
     grams = T.ngrams(T.tokens(F.col("content")), COMMON)
-    return documents(spark, folder).select("doc_id", grams.alias("g")).select(
+    return documents(spark, folder, True).select("doc_id", grams.alias("g")).select(
         "doc_id", F.size("g").cast("bigint").alias("n_grams"), F.md5(F.array_join("g", "|")).alias("grams_md5")
     )
 
@@ -72,7 +73,8 @@ def tfidf_vocab(spark, folder):
     SELECT doc_id, idx::BIGINT AS idx, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM weights""")
 def tfidf_transform(spark, folder):
     docs = documents(spark, folder)
-    return V.tfidf_transform(docs, V.tfidf_fit(docs, stop_words=COMMON), COMMON).withColumn(
+    vocab = materialize(fitted(spark, folder), "vocabulary")
+    return V.tfidf_transform(docs, vocab, COMMON).withColumn(
         "weight", F.round("weight", 6)
     )
 
@@ -227,7 +229,7 @@ def format_document(spark, folder):
     meta = F.create_map(
         F.lit("source"), F.col("source"), F.lit("n_chars"), F.col("n_chars").cast("string"), F.lit("title"), F.col("lang")
     )
-    return documents(spark, folder).select("doc_id", render(F.col("doc_id"), meta, F.col("content")).alias("formatted"))
+    return documents(spark, folder, True).select("doc_id", render(F.col("doc_id"), meta, F.col("content")).alias("formatted"))
 
 
 @query("merge_metadata", """

@@ -56,8 +56,11 @@ def bm25(
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"), F.avg("len").alias("mean"))
-    whole = frequency.where("term = ''")
-    n_docs, mean_len = whole.select("df").scalar(), whole.select("mean").scalar()
+    # Picked by an aggregate, not a filter: pushed down, a filter would keep the shuffle from being reused.
+    whole = frequency.agg(
+        F.max(F.when(F.col("term") == "", F.col("df"))).alias("n"), F.max(F.when(F.col("term") == "", F.col("mean"))).alias("m")
+    )
+    n_docs, mean_len = whole.select("n").scalar(), whole.select("m").scalar()
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(mark(frequency.select("term", idf.alias("idf"))), "term")
     gain = F.col("idf") * F.col("tf") * (k1 + 1) / (

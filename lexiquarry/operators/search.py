@@ -74,6 +74,8 @@ def _nearest_pairs(q, x, x_order, k, metric, floor=None):
     """
     sign = 1.0 if metric == "l2sq" else -1.0
     parts = []
+    if len(q) and len(x) and q.shape[1] != x.shape[1]:
+        raise ValueError("queries and corpus have vectors of different lengths")
     for at in range(0, len(q), _QUERY_SLICE):
         qs = q[at : at + _QUERY_SLICE]
         cost, slack = _bound(qs, x, metric)

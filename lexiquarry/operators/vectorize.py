@@ -16,6 +16,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import ngrams, once, tokens
 from ..params import EMBEDDING_DIM, ENCODE_BATCH, TFIDF_FEATURES, WORD2VEC
+from ..session import materialize
 from .common import broadcast_if_small, spread
 
 
@@ -82,6 +83,7 @@ def tfidf_transform(
 ) -> DataFrame:
     """Sparse rows (doc, idx, term, weight) of unit length; texts without known terms have no rows.
 
+    ``vocab`` should be a stored table (see ``save_model``), not a fit still to run.
     Terms outside the vocabulary are dropped before the one shuffle, by
     document; counting and the length both use that partitioning.
     """
@@ -102,7 +104,8 @@ def tfidf_transform(
 def word2vec_fit(df: DataFrame, text_col: str = "content", seed: int = 7, partitions: int | None = None, max_iter: int = 1, **params):
     """Train word vectors; returns the MLlib model (``getVectors()`` is the word table).
 
-    Training runs on ``partitions`` tasks, by default one per core.
+    Training runs on ``partitions`` tasks, by default one per core; only a
+    single task gives the same vectors for the same seed.
     """
     opts = {**WORD2VEC, **params}
     partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
@@ -250,7 +253,9 @@ class VectorizerSpec:
 
 
 def _tfidf_vectors(df: DataFrame, max_features: int, use_idf: bool, id_col="doc_id", text_col="content") -> DataFrame:
-    vocab = tfidf_fit(df, max_features, use_idf, english_stop_words(), id_col=id_col, text_col=text_col)
+    vocab = materialize(
+        tfidf_fit(df, max_features, use_idf, english_stop_words(), id_col=id_col, text_col=text_col), "vocabulary"
+    )
     rows = tfidf_transform(df, vocab, english_stop_words(), id_col=id_col, text_col=text_col)
     # A document has at most max_features entries.
     sparse = rows.groupBy(id_col).agg(

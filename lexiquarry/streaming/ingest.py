@@ -39,17 +39,21 @@ def _batch_path(path: str, number: int) -> str:
 
 def ingest(
     docs: DataFrame, path: str, checkpoint: str, make_encoder: Callable[[], Encoder], dim: int = EMBEDDING_DIM,
-    preset="auto", **chunking,
+    preset="auto", partitions: int | None = None, **chunking,
 ) -> DataFrame:
     """Chunk, embed and store a stream of documents; failed chunks go to ``<path>_rejects``.
 
+    Files differ in size and encoding is the heavy part, so the texts of a
+    batch are first dealt out to ``partitions`` tasks (default: one per core).
+
     Each batch has its own folder and overwrites it, so a batch that is run
     again after a failure leaves no doubles. Returns the stored collection.
     """
     spark = docs.sparkSession
 
     def store(batch: DataFrame, number: int) -> None:
-        done = prepare_documents(batch, make_encoder, preset, dim, **chunking)
+        dealt = batch.repartition(partitions or spark.sparkContext.defaultParallelism)
+        done = prepare_documents(dealt, make_encoder, preset, dim, **chunking)
         staged = _batch_path(path + "_staged", number)
         done.write.mode("overwrite").parquet(staged)
         again = batch.sparkSession.read.schema(done.schema).parquet(staged)
