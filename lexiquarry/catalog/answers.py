@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import answers as A, documents as D, retrieval as R
 from ..params import (
-    EMPTY_MESSAGES, GENERAL_INTENT, INTENT_GUIDANCE, PROMPT_CLOSING, PROMPT_DOCUMENTS, PROMPT_QUESTION, PROMPT_TASK,
+    EMPTY_MESSAGES, GENERAL_INTENT, INTENT_GUIDANCE, LIST_INTRO, LIST_UNSUPPORTED, PROMPT_CLOSING, PROMPT_DOCUMENTS, PROMPT_QUESTION, PROMPT_TASK,
     SYSTEM_PROMPT,
 )
 from . import sql as S
@@ -28,7 +28,7 @@ def route_question(spark, folder):
 
 
 @query("empty_result_message", f"""
-    WITH hits AS (SELECT doc_id % 7 AS conv_id, count(*) AS n FROM labels WHERE toxic = 1 GROUP BY 1)
+    WITH hits AS (SELECT doc_id AS conv_id, count(*) AS n FROM labels WHERE quality = 1 GROUP BY 1)
     SELECT conv_id::VARCHAR || '-' || turn AS query_id, {_opening_sql(ROUTES)} AS route, coalesce(n, 0)::BIGINT AS n_hits,
       CASE WHEN n IS NULL THEN CASE {_opening_sql(ROUTES)} {' '.join(f"WHEN {S.text(k)} THEN {S.text(v)}" for k, v in EMPTY_MESSAGES.items())} END END AS answer
     FROM conversations LEFT JOIN hits USING (conv_id)""")
@@ -37,7 +37,7 @@ def empty_result_message(spark, folder):
         "conv_id", F.concat_ws("-", "conv_id", "turn").alias("query_id"),
         D.route_question(F.concat(F.expr(_opening_sql(OPENINGS)), F.col("text"))).alias("route"),
     )
-    hits = table(spark, folder, "labels").where("toxic = 1").select((F.col("doc_id") % 7).alias("conv_id"), "doc_id")
+    hits = table(spark, folder, "labels").where("quality = 1").select(F.col("doc_id").alias("conv_id"), "doc_id")
     found = turns.join(hits, "conv_id").select("query_id", "doc_id")
     return D.empty_result_message(turns.drop("conv_id"), found).select("query_id", "route", "n_hits", "answer")
 
@@ -61,7 +61,8 @@ def build_prompt(spark, folder):
     meta = F.create_map(F.lit("source"), F.col("source"), F.lit("id"), F.col("doc_id").cast("string"), F.lit("title"), F.col("lang"))
     hits = R.bm25(asked, docs, 3)
     n = F.col("query_id") % 3
-    intents = asked.where(n < 2).select("query_id", F.when(n == 0, "概念解释").otherwise("数据统计").alias("intent"))
+    intent = F.when(n == 0, "概念解释").when(n == 1, "数据统计").otherwise(GENERAL_INTENT)
+    intents = asked.select("query_id", intent.alias("intent"))
     prompts = A.build_prompt(asked, hits, docs.withColumn("metadata", meta), intents)
     return prompts.select("query_id", F.array_join("sources", ",").alias("sources"), "prompt")
 
@@ -94,7 +95,6 @@ def chat_prompt(spark, folder):
 EXTREMUM = """
     asked AS (
       SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN 'product_id' ELSE 'price' END AS field, item_id % 2 = 0 AS descending FROM benchmark
-      WHERE item_id % 5 < 4
     ),
     vals AS (SELECT p_partkey AS doc_id, 'price' AS field, p_retailprice AS value FROM part UNION ALL SELECT p_partkey, 'product_id', p_partkey FROM part),
     ranked AS (
@@ -107,7 +107,7 @@ EXTREMUM = """
 
 def _extremum(spark, folder):
     i = F.col("query_id")
-    opening = F.when(i % 5 == 4, "").when(i % 2 == 0, "最贵的").otherwise("最便宜的")
+    opening = F.when(i % 2 == 0, "最贵的").otherwise("最便宜的")
     asked = questions(spark, folder).select(
         "query_id", F.concat(opening, "query").alias("query"), F.when(i % 3 == 0, "product_id").alias("field")
     )
@@ -128,6 +128,29 @@ def extremum_context(spark, folder):
     return _extremum(spark, folder)[1]
 
 
+def _laptops(spark, folder):
+    """``part`` as product texts with features and graphics."""
+    size = F.col("p_size").cast("string")
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("产品名称: "), "p_name"), F.concat(F.lit("价格："), "p_retailprice", F.lit("元")),
+        F.when(F.col("p_size") > 20, F.concat(F.lit("处理器: i"), size)),
+        F.concat(F.lit("显卡: "), F.when(F.col("p_type") == "ECONOMY", F.concat(F.lit("RTX "), size)).otherwise("none")),
+        F.concat(F.lit("特点："), F.when(F.col("p_name").contains("ring"), "适合游戏").otherwise("办公: 轻薄")),
+    )
+    return table(spark, folder, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("content"))
+
+
+@query("list_answer", f"""
+    SELECT conv_id::VARCHAR || '-' || turn AS query_id, CASE WHEN turn % 2 = 0 THEN {S.text(LIST_INTRO)} ELSE {S.text(LIST_UNSUPPORTED)} END AS answer
+    FROM conversations""")
+def list_answer(spark, folder):
+    asked = table(spark, folder, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("query_id"),
+        F.concat(F.when(F.col("turn") % 2 == 0, "推荐游戏本").otherwise("推荐"), F.col("text")).alias("query"),
+    )
+    return A.list_answer(asked, A.filter_list(_laptops(spark, folder))).select("query_id", "answer")
+
+
 @query("filter_list", """
     WITH kept AS (
       SELECT *, row_number() OVER (ORDER BY p_partkey) AS item_no FROM part WHERE contains(p_name, 'ring') OR p_type = 'ECONOMY'
@@ -138,12 +161,4 @@ def extremum_context(spark, folder):
       || chr(10) || '   特点：' || CASE WHEN contains(p_name, 'ring') THEN '适合游戏' ELSE '办公: 轻薄' END AS item
     FROM kept""")
 def filter_list(spark, folder):
-    size = F.col("p_size").cast("string")
-    text = F.concat_ws(
-        "\n", F.concat(F.lit("产品名称: "), "p_name"), F.concat(F.lit("价格："), "p_retailprice", F.lit("元")),
-        F.when(F.col("p_size") > 20, F.concat(F.lit("处理器: i"), size)),
-        F.concat(F.lit("显卡: "), F.when(F.col("p_type") == "ECONOMY", F.concat(F.lit("RTX "), size)).otherwise("none")),
-        F.concat(F.lit("特点："), F.when(F.col("p_name").contains("ring"), "适合游戏").otherwise("办公: 轻薄")),
-    )
-    docs = table(spark, folder, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("content"))
-    return A.filter_list(docs)
+    return A.filter_list(_laptops(spark, folder))

@@ -129,13 +129,22 @@ def _encoder():
     return V.hashing_encoder(64)
 
 
-@query("add_documents")
+@query("add_documents", f"""
+    WITH RECURSIVE {S.separator_chunks(
+        "SELECT doc_id AS id, text AS txt, 1024::BIGINT AS size, 200::BIGINT AS overlap, "
+        + S.text_list(CHUNK_PRESETS["auto"].separators) + " AS seps FROM documents")}
+    SELECT md5(source || '/' || doc_id || '#' || chunk) AS id, doc_id, chunk::BIGINT AS chunk, total_chunks::BIGINT AS total_chunks,
+           content, 64::BIGINT AS dim
+    FROM chunks c JOIN documents d ON d.doc_id = c.id""")
 def add_documents(spark, folder):
     """All documents chunked, embedded and appended to a collection; one row per stored chunk."""
     path = work_path(spark, "added-documents")
     docs = documents(spark, folder).withColumn("source", F.concat_ws("/", "source", "doc_id"))
     flows.add_documents(docs, path, _encoder, 64)
-    return K.read_collection(spark, path).select("id", "doc_id", "chunk", "total_chunks", F.size("embedding").alias("dim"))
+    return K.read_collection(spark, path).select(
+        "id", "doc_id", F.col("chunk").cast("bigint").alias("chunk"), F.col("total_chunks").cast("bigint").alias("total_chunks"),
+        "content", F.size("embedding").cast("bigint").alias("dim"),
+    )
 
 
 @query("ask")

@@ -85,11 +85,13 @@ def word2vec_fit(spark, folder):
     return V.word_table(model).select("word", F.size("vec").alias("dim"))
 
 
-@query("embed")
+@query("embed", r"""
+    SELECT doc_id, 384::BIGINT AS dim, CASE WHEN regexp_matches(text, '[\p{L}\p{N}_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm,
+           NULL::VARCHAR AS embed_error FROM documents""")
 def embed(spark, folder):
     done = V.embed(documents(spark, folder), lambda: V.hashing_encoder(384))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return done.select("doc_id", F.size("embedding").alias("dim"), F.round(norm, 4).alias("norm"), "embed_error")
+    return done.select("doc_id", F.size("embedding").cast("bigint").alias("dim"), F.round(norm, 4).alias("norm"), "embed_error")
 
 
 @query("vectorizer_registry")

@@ -16,12 +16,16 @@ from ..params import (
     DOCUMENT_LABEL,
     GAMING_FEATURE_WORDS,
     GAMING_GRAPHICS_WORDS,
+    GAMING_QUESTION_WORD,
     GENERAL_INTENT,
     INTENT_GUIDANCE,
     INTENT_THRESHOLD,
+    LIST_EMPTY,
     LIST_FIELDS,
+    LIST_INTRO,
     LIST_UNKNOWN_NAME,
     LIST_UNKNOWN_PRICE,
+    LIST_UNSUPPORTED,
     MAX_WORDS,
     METADATA_KEYS,
     MIN_WORDS,
@@ -243,6 +247,15 @@ def labelled_line(text: Column, label: str) -> Column:
     return F.when(text.rlike(rf"{label}[:：]"), strip(found))
 
 
+def list_answer(questions: DataFrame, items: DataFrame, query: str = "query") -> DataFrame:
+    """Add ``answer``: the head of the item list, or the message for an empty list or another kind of list."""
+    found = items.agg(F.count(F.lit(1))).scalar()
+    listed = F.when(found > 0, LIST_INTRO).otherwise(LIST_EMPTY)
+    return questions.withColumn(
+        "answer", F.when(F.col(query).contains(GAMING_QUESTION_WORD), listed).otherwise(LIST_UNSUPPORTED)
+    )
+
+
 def filter_list(
     docs: DataFrame,
     labels: dict[str, str] | None = None,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..params import RESPONSE_BOUNDS
 from .numbering import running_sum
@@ -105,7 +105,6 @@ def documents_added(events: DataFrame, keys=("event_type",), ts: str = "ts") ->
 
 
 def running_total(events: DataFrame, period: str = "day", ts: str = "ts") -> DataFrame:
-    """Documents added up to the end of each period; one row per period reaches the ordered window."""
+    """Documents added up to the end of each period."""
     per = events.groupBy(F.date_trunc(period, F.col(ts)).alias("period")).agg(F.count(F.lit(1)).alias("added"))
-    upto = Window.orderBy("period").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return per.select("period", "added", F.sum("added").over(upto).alias("total"))
+    return running_sum(per, "period", "added", name="total")

@@ -25,7 +25,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
-from ..params import BLOCK_ROWS, DECAY_SCALE, MIN_SIMILARITY, NPROBE, SMALL_SIDE_ROWS, TOP_K
+from ..params import BLOCK_ROWS, DECAY_SCALE, MIN_SIMILARITY, NPROBE, SMALL_SIDE_BYTES, SMALL_SIDE_ROWS, TOP_K
 from ..functions.vectors import l2sq, score_decay
 from .common import settled
 
@@ -126,9 +126,9 @@ def _pair_table(qids, dids, q, x, k, metric, floor):
 # ---- the three ways ---------------------------------------------------------------
 
 def _bounded(df: DataFrame, rows: int) -> pa.Table | None:
-    """The whole of ``df`` if it has at most ``rows`` rows, else nothing."""
+    """The whole of ``df`` if it has at most ``rows`` rows and is small in bytes, else nothing."""
     found = df.limit(rows + 1).toArrow()
-    return found if found.num_rows <= rows else None
+    return found if found.num_rows <= rows and found.nbytes <= SMALL_SIDE_BYTES else None
 
 
 def _stream_corpus(corpus, schema, small, k, metric, floor):

@@ -185,5 +185,6 @@ BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, rang
 BROADCAST_ROWS = 200_000
 # Largest number of vectors a side may have to be sent whole to every task.
 SMALL_SIDE_ROWS = 4096
+SMALL_SIDE_BYTES = 128 << 20
 # Rows of either side handled by one task in a blocked search.
 BLOCK_ROWS = 16384
