@@ -63,13 +63,13 @@ def bm25(
     n_docs, mean_len = whole.select("n").scalar(), whole.select("m").scalar()
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(mark(frequency.select("term", idf.alias("idf"))), "term")
-    gain = F.col("idf") * F.col("tf") * (k1 + 1) / (
-        F.col("tf") + F.lit(k1) * (1 - b + b * F.col("len") / mean_len)
-    )
+    # The part of the gain that depends on the document is computed once, before queries multiply the rows.
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * (1 - b + b * F.col("len") / mean_len))
     scores = (
-        postings.join(mark(weighted), "term")
+        postings.select(doc_id, "term", part.alias("part"))
+        .join(mark(weighted), "term")
         .groupBy(query_id, doc_id)
-        .agg(F.sum(gain).alias("_score"))
+        .agg(F.sum(F.col("idf") * F.col("part")).alias("_score"))
         # The same parts may be added in another order; equal scores must stay equal.
         .withColumn("score", F.round("_score", 9))
     )

@@ -47,18 +47,14 @@ def tfidf_fit(
     terms is a distributed top-k, so only the kept terms meet in one task.
     """
     grams = _grams(df, id_col, text_col, stop_words, *ngram_range)
+    # Each text is unfolded twice in a row: all its terms, then its distinct terms.
     seen = grams.select(
-        F.explode(
-            F.concat(
-                F.transform("_grams", lambda t: F.struct(t.alias("term"), F.lit(1).alias("cf"), F.lit(0).alias("df"))),
-                F.transform(
-                    F.array_distinct("_grams"),
-                    lambda t: F.struct(t.alias("term"), F.lit(0).alias("cf"), F.lit(1).alias("df")),
-                ),
-            )
-        ).alias("g")
+        F.size("_grams").alias("_n"), F.posexplode(F.concat("_grams", F.array_distinct("_grams"))).alias("_pos", "term")
+    )
+    repeat = F.col("_pos") >= F.col("_n")
+    counts = seen.groupBy("term").agg(
+        F.sum(F.when(repeat, 0).otherwise(1)).alias("cf"), F.sum(F.when(repeat, 1).otherwise(0)).alias("df")
     )
-    counts = seen.groupBy("g.term").agg(F.sum("g.cf").alias("cf"), F.sum("g.df").alias("df"))
     top = counts.orderBy(F.col("cf").desc(), "term").limit(max_features)
     total = df.select(F.count(F.lit(1)).alias("n")).scalar()
     idf = F.log((1 + total) / (1 + F.col("df"))) + 1 if use_idf else F.lit(1.0)
