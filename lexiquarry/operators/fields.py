@@ -37,20 +37,29 @@ def learn_fields(
     field with all the rows is no bottleneck.
     """
     values = to_fields(df, columns, order_by, sample_size)
-    typed = values.select("field", guess_type(F.col("value")).alias("type"), "pos")
-    counts = typed.groupBy("field", "type").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("seen"))
+    typed = values.select(
+        "field", guess_type(F.col("value")).alias("type"), "pos", to_number(F.col("value")).alias("x"),
+        (F.col("value") != "").cast("int").alias("filled"),
+    )
+    # One row per field and type; everything else is derived from these few rows.
+    counts = typed.groupBy("field", "type").agg(
+        F.count(F.lit(1)).alias("n"), F.min("pos").alias("seen"), F.sum("filled").alias("filled"),
+        F.min("x").alias("low"), F.max("x").alias("high"), F.sum("x").alias("total"), F.count("x").alias("numbers"),
+    )
     best = counts.groupBy("field").agg(
         F.sum("n").alias("samples"),
         F.min(F.struct((-F.col("n")).alias("neg"), "seen", "type")).alias("b"),
+        F.sum(F.when(F.col("type") != "NUMERIC", F.col("filled")).otherwise(0)).alias("bad"),
+        F.min("low").alias("min_value"), F.max("high").alias("max_value"),
+        (F.sum("total") / F.sum("numbers")).alias("avg_value"),
     )
     kind: Column = F.col("b.type")
     for name, declared_type in (declared or {}).items():
         kind = F.when(F.col("field") == name, declared_type).otherwise(kind)
-    learned = best.select("field", kind.alias("type"), "samples")
-    stats = field_statistics(values)
-    return learned.join(stats, "field", "left").select(
+    known = (F.col("type") == "NUMERIC") & (F.col("bad") == 0)
+    return best.withColumn("type", kind).select(
         "field", "type", "samples",
-        *[F.when(F.col("type") == "NUMERIC", F.col(c)).alias(c) for c in ("min_value", "max_value", "avg_value")],
+        *[F.when(known, F.col(c)).alias(c) for c in ("min_value", "max_value", "avg_value")],
     )
 
 
