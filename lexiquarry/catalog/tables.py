@@ -63,6 +63,22 @@ def read_markdown_table(spark, folder):
     return rows.withColumn("row_no", F.col("row_no").cast("bigint"))
 
 
+@query("markdown_blocks", """
+    WITH numbered AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS rn, count(*) OVER () AS n FROM part),
+    placed AS (SELECT *, rn // 12 AS source, (rn % 12) // 5 AS chunk_index, least(12, n - (rn // 12) * 12) AS size FROM numbered)
+    SELECT source, chunk_index, any_value((size + 4) // 5) AS total_chunks, chunk_index * 5 AS row_start,
+           any_value(least(size, chunk_index * 5 + 5)) AS row_end,
+           '| p_partkey | p_name |' || chr(10) || '| --- | --- |' || chr(10)
+             || string_agg('| ' || p_partkey || ' | ' || p_name || ' |', chr(10) ORDER BY rn) AS content
+    FROM placed GROUP BY source, chunk_index""")
+def markdown_blocks(spark, folder):
+    """Table texts of 12 rows, cut into blocks of 5."""
+    texts = M.chunk_rows(table(spark, folder, "part").select("p_partkey", "p_name"), "p_partkey", 12)
+    blocks = M.markdown_blocks(texts.select(F.col("chunk_index").alias("source"), "content"), 5)
+    numbers = ["total_chunks", "chunk_index", "row_start", "row_end"]
+    return blocks.select("source", *[F.col(c).cast("bigint").alias(c) for c in numbers], "content")
+
+
 def _shapes(spark, folder):
     """Texts of every shape: prose, pages, JSON, tables, lists."""
     docs = documents(spark, folder, True)

@@ -35,6 +35,7 @@ from ..params import (
     PROMPT_TASK,
     SYSTEM_PROMPT,
 )
+from ..session import materialize
 from .common import broadcast_if_small, settled
 from .numbering import number_rows
 from .search import nearest
@@ -294,4 +295,5 @@ def filter_list(
         optional("_graphics", "   - 显卡："),
         optional("_features", "   特点："),
     )
-    return number_rows(kept, doc_id, name="item_no").select("item_no", doc_id, item.alias("item"))
+    # Numbering reads its input three times; the texts are parsed once.
+    return number_rows(materialize(kept, "list"), doc_id, name="item_no").select("item_no", doc_id, item.alias("item"))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..params import RESPONSE_BOUNDS
+from ..session import materialize
 from .numbering import running_sum
 
 
@@ -65,6 +66,8 @@ def exact_quantile(df: DataFrame, q: float, value_col: str = "value", keys=()) -
     """
     keys = list(keys)
     counts = df.where(F.col(value_col).isNotNull()).groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("_n"))
+    # Read three times below: for the ranges, their sums and the rows.
+    counts = materialize(counts, "value-counts")
     ranked = running_sum(counts, value_col, "_n", keys, "_upto", "_total")
     place = F.lit(q) * (F.col("_total") - 1)
     value = F.col(value_col)

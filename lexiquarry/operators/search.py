@@ -179,7 +179,8 @@ def _stream_queries(queries, schema, small, k, metric, floor):
 
 def _blocked(queries, corpus, schema, k, metric, floor, block_rows):
     """Both sides carry ``_g``; only rows of equal ``_g`` meet, block by block."""
-    grid = (
+    # One row per group: a constant, or the clusters, whose number ``ivf_assign`` bounds.
+    grid = F.broadcast(
         queries.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_nq"))
         .join(
             corpus.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_nc")), "_g"
@@ -221,18 +222,15 @@ def _search(queries, corpus, k, metric, floor, query_id, doc_id, query_vec, doc_
         T.StructField("_d", d.schema["_d"].dataType),
         T.StructField("_v", T.DoubleType()),
     ])
-    complete = False
-    small = _bounded(q, small_rows) if way in ("auto", "few_queries") else None
-    if small is not None:
-        pairs = _stream_corpus(d, schema, small, k, metric, floor)
-    else:
-        small = _bounded(d, small_rows) if way in ("auto", "small_corpus") else None
+    # Each side is tried at most once, in the order given; a side that fits is sent to every task.
+    for name in {"auto": ("few_queries", "small_corpus"), "corpus_first": ("small_corpus", "few_queries")}.get(way, (way,)):
+        small = _bounded({"few_queries": q, "small_corpus": d}[name], small_rows) if name != "blocked" else None
+        if small is not None and name == "few_queries":
+            return _stream_corpus(d, schema, small, k, metric, floor), False
         if small is not None:
-            pairs, complete = _stream_queries(q, schema, small, k, metric, floor), True
-        else:
-            one = F.lit(0).alias("_g")
-            pairs = _blocked(q.select("*", one), d.select("*", one), schema, k, metric, floor, block_rows)
-    return pairs, complete
+            return _stream_queries(q, schema, small, k, metric, floor), True
+    one = F.lit(0).alias("_g")
+    return _blocked(q.select("*", one), d.select("*", one), schema, k, metric, floor, block_rows), False
 
 
 def _named(pairs, metric, query_id, doc_id):
@@ -277,12 +275,9 @@ def nearest(
     doc_vec: str = "embedding",
     small_rows: int = SMALL_SIDE_ROWS,
     block_rows: int = BLOCK_ROWS,
-    way: str | None = None,
+    way: str = "corpus_first",
 ) -> DataFrame:
     """The one nearest corpus row of every query. A small corpus is tried first: then nothing shuffles."""
-    if way is None:
-        small = corpus.limit(small_rows + 1).count() <= small_rows
-        way = "small_corpus" if small else "auto"
     pairs, complete = _search(
         queries, corpus, 1, metric, None, query_id, doc_id, query_vec, doc_vec, small_rows, block_rows, way
     )

@@ -78,6 +78,16 @@ def _cells(line: Column) -> Column:
     return F.transform(F.split(bare, r"\|", -1), strip)
 
 
+def _fitted(cells: Column, width: Column) -> Column:
+    """Padded with empty cells or cut to the width of the header."""
+    return bind(
+        cells,
+        lambda cs: F.slice(
+            F.concat(cs, F.array_repeat(F.lit(""), F.greatest(width - F.size(cs), F.lit(0)))), F.lit(1), width
+        ),
+    )
+
+
 def is_rule(line: Column) -> Column:
     """A line of dashes, pluses, pipes, colons and blanks with at least one dash."""
     return strip(line).rlike(r"^[-+|:\s]*-[-+|:\s]*$")
@@ -101,15 +111,7 @@ def read_markdown_table(
         F.slice("_lines", body_at, F.greatest(F.size("_lines") - body_at + 1, F.lit(0))).alias("_body"),
     )
     rows = parsed.select(*keep, "_header", F.posexplode(once(F.col("_body"))).alias("row_no", "_line"))
-    fitted = bind(
-        _cells(F.col("_line")),
-        lambda cs: F.slice(
-            F.concat(cs, F.array_repeat(F.lit(""), F.greatest(F.size("_header") - F.size(cs), F.lit(0)))),
-            F.lit(1),
-            F.size("_header"),
-        ),
-    )
-    rows = rows.select(*keep, "row_no", "_header", fitted.alias("_cells"))
+    rows = rows.select(*keep, "row_no", "_header", _fitted(_cells(F.col("_line")), F.size("_header")).alias("_cells"))
     if columns is None:
         # A repeated header keeps its first column.
         pairs = F.filter(
@@ -123,6 +125,41 @@ def read_markdown_table(
     return rows.select(*keep, "row_no", *picked)
 
 
+def markdown_blocks(df: DataFrame, n: int = ROWS_PER_CHUNK, text_col: str = "content") -> DataFrame:
+    """Pipe tables cut into blocks of ``n`` rows, each with the header again.
+
+    Like ``chunk_rows``, but for tables that arrive as texts: everything
+    happens inside the row that holds the text, and headers may differ.
+    """
+    keep = [c for c in df.columns if c != text_col]
+    lines = F.filter(F.split(strip(F.col(text_col)), "\n", -1), lambda l: strip(l) != "")
+    body_at = F.when(is_rule(F.get("_lines", F.lit(1))), 3).otherwise(2)
+    parsed = df.select(*keep, lines.alias("_lines")).where(F.size("_lines") >= 2).select(
+        *keep,
+        _cells(F.get("_lines", F.lit(0))).alias("columns"),
+        F.slice("_lines", body_at, F.greatest(F.size("_lines") - body_at + 1, F.lit(0))).alias("_body"),
+    )
+
+    def bars(cells: Column) -> Column:
+        return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+
+    width, rows = F.size("columns"), F.size("_body")
+    head = F.array(bars(F.col("columns")), bars(F.array_repeat(F.lit("---"), width)))
+
+    def block(b: Column) -> Column:
+        body = F.transform(F.slice("_body", b * n + 1, F.lit(n)), lambda l: bars(_fitted(_cells(l), width)))
+        return F.struct(
+            b.alias("chunk_index"), (b * n).alias("row_start"), F.least((b + 1) * n, rows).alias("row_end"),
+            F.array_join(F.concat(head, body), "\n").alias("content"),
+        )
+
+    total = F.ceil(rows / F.lit(n)).cast("int")
+    blocks = F.when(total > 0, F.transform(F.sequence(F.lit(0), total - 1), block))
+    return parsed.select(*keep, "columns", total.alias("total_chunks"), F.explode(once(blocks)).alias("_b")).select(
+        *keep, "columns", "total_chunks", "_b.chunk_index", "_b.row_start", "_b.row_end", F.col("_b.content").alias(text_col)
+    )
+
+
 def markdown_fallback(df: DataFrame, text_col: str = "content") -> DataFrame:
     """Texts with too few lines to be a table; they stay plain documents."""
     lines = F.filter(F.split(strip(F.col(text_col)), "\n", -1), lambda l: strip(l) != "")

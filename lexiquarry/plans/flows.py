@@ -8,14 +8,32 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.answers import build_prompt, classify_nearest_centroid
 from ..operators.chunking import split_documents
-from ..operators.documents import empty_result_message, normalize_input, route_question
+from ..operators.documents import empty_result_message, normalize_input, route_by_type, route_question
 from ..operators.retrieval import multi_query_retrieve, parse_rewrites
 from ..operators.search import knn, threshold_filter, with_score
+from ..operators.tables import markdown_blocks
 from ..operators.vectorize import Encoder, embed
-from ..params import EMBEDDING_DIM, MIN_SIMILARITY, TOP_K
+from ..params import EMBEDDING_DIM, MIN_SIMILARITY, ROWS_PER_CHUNK, TOP_K
 from ..sources.collections import collection_id, write_collection
 
 
+def process_files(files: DataFrame, preset="auto", rows_per_chunk: int = ROWS_PER_CHUNK, **chunking) -> tuple[DataFrame, DataFrame]:
+    """Files (source, path, mime, content) to chunks (source, kind, chunk, total_chunks, content), and the refused ones.
+
+    Pipe tables are cut into blocks of rows, all other texts by the preset. Delimited
+    files have their own reader (``read_delimited``), as it needs their path.
+    """
+    routed = route_by_type(files)
+    kept = ["source", "kind", "content"]
+    is_table = F.col("kind").isin("markdown", "table_text")
+    tables = markdown_blocks(routed.where(is_table).select(*kept), rows_per_chunk).select(
+        "source", "kind", F.col("chunk_index").alias("chunk"), "total_chunks", "content"
+    )
+    texts = split_documents(routed.where(F.col("error").isNull() & ~is_table).select(*kept), preset, **chunking)
+    refused = routed.where(F.col("error").isNotNull()).select("source", "path", "error")
+    return texts.select("source", "kind", "chunk", "total_chunks", "content").unionByName(tables), refused
+
+
 def prepare_documents(
     docs: DataFrame, make_encoder: Callable[[], Encoder], preset="auto", dim: int = EMBEDDING_DIM,
     source_col: str = "source", **chunking,

@@ -106,6 +106,28 @@ def test_markdown_tables(spark):
     assert [r.id for r in M.markdown_fallback(df).collect()] == [3]
 
 
+def test_table_texts_in_blocks(spark):
+    texts = [(1, "| a | b |\n|---|---|\n| 1 | 2 |\n| 3 |\n| 5 | 6 | 7 |"), (2, "| x |\n| --- |"), (3, "no table")]
+    df = spark.createDataFrame(texts, "id int, content string")
+    rows = M.markdown_blocks(df, 2).orderBy("id", "chunk_index").collect()
+    assert [(r.id, r.chunk_index, r.total_chunks, r.row_start, r.row_end) for r in rows] == [(1, 0, 2, 0, 2), (1, 1, 2, 2, 3)]
+    assert rows[0].content == "| a | b |\n| --- | --- |\n| 1 | 2 |\n| 3 |  |" and rows[1].content.endswith("\n| 5 | 6 |")
+
+
+def test_process_files(spark):
+    from lexiquarry.plans.flows import process_files
+
+    files = spark.createDataFrame(
+        [("a", "/a.txt", "text/plain", "word " * 100), ("b", "/b.md", None, "| a | b |\n| --- | --- |\n| 1 | 2 |"), ("c", "/c.png", "image/png", "x")],
+        "source string, path string, mime string, content string",
+    )
+    chunks, refused = process_files(files, size=100, overlap=0)
+    rows = chunks.collect()
+    assert "".join(r.content for r in sorted((r for r in rows if r.source == "a"), key=lambda r: r.chunk)) == "word " * 100
+    assert [r.kind for r in rows if r.source == "b"] == ["markdown"]
+    assert [r.error for r in refused.collect()] == ["unsupported type: image/png"]
+
+
 def test_chunk_rows_with_nulls_and_sources(spark):
     df = spark.createDataFrame(
         [("s", i, None if i == 2 else f"v{i}") for i in range(7)] + [("t", 1, "x")], "src string, k int, v string"
