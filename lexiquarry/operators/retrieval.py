@@ -56,13 +56,14 @@ def bm25(
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"), F.avg("len").alias("mean"))
-    # Picked by an aggregate, not a filter: pushed down, a filter would keep the shuffle from being reused.
-    whole = frequency.agg(
-        F.max(F.when(F.col("term") == "", F.col("df"))).alias("n"), F.max(F.when(F.col("term") == "", F.col("mean"))).alias("m")
-    )
-    n_docs, mean_len = whole.select("n").scalar(), whole.select("m").scalar()
+    # Picked by an aggregate, not a filter: pushed down, a filter would keep the shuffles from being reused.
+    whole = frequency.agg(F.max(F.when(F.col("term") == "", F.struct("df", "mean")))).scalar()
+    n_docs, mean_len = whole["df"], whole["mean"]
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(mark(frequency.select("term", idf.alias("idf"))), "term")
+    # The empty term carries the mean length. No question has that term; it is here so that
+    # both uses of ``frequency`` need the same columns, and its shuffle is run once.
+    weights = frequency.select("term", F.when(F.col("term") == "", F.col("mean")).otherwise(idf).alias("idf"))
+    weighted = terms.join(mark(weights), "term")
     # The part of the gain that depends on the document is computed once, before queries multiply the rows.
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * (1 - b + b * F.col("len") / mean_len))
     scores = (
