@@ -2,7 +2,8 @@
 
 Documents become token ids, those longer than a sequence are cut, and every piece goes to the open bin that it fills
 best. Open bins are kept in a bitset keyed by their free space, so the best bin is the lowest set bit at or above the
-piece's length. When too many bins are open, the fullest closes.
+piece's length. When too many bins are open, the fullest closes. A packer looks ahead over as many pieces as it may
+have open bins, and takes the longest of them first.
 """
 
 from __future__ import annotations
@@ -183,7 +184,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
 
 
 class Packer:
-    """Online best fit with at most ``bins`` open bins."""
+    """Online best fit with at most ``bins`` open bins; a piece is placed in constant time."""
 
     def __init__(self, size: int, bins: int):
         self.size, self.bins = size, bins
@@ -230,7 +231,10 @@ def _pack_round(pieces: DataFrame, sequence: int, bins: int, last: bool) -> Data
         def out(table: pa.Table, is_open: bool) -> list[pa.RecordBatch]:
             return table.append_column("_open", pa.array(np.full(len(table), is_open))).to_batches()
 
-        for batch in batches:
+        ahead = (b.slice(low, bins) for b in batches for low in range(0, b.num_rows, bins))
+        for batch in ahead:
+            # Within what the packer sees at once, the longest go first.
+            batch = batch.take(np.argsort(-batch.column("length").to_numpy(), kind="stable"))
             numbers, offsets = [], []
             for length in batch.column("length").to_pylist():
                 number = packer.place(length)

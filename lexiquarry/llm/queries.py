@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, quality
+from ..session import work_path
+from . import licenses, mixing, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +41,21 @@ def op3(spark, folder):
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+@query("op5_warc_index")
+def op5(spark, folder):
+    store = work_path(spark, "warc")
+    index = warc.write_archives(warc.mark_revisits(table(spark, folder, "pages")), store)
+    return warc.read_records(index, store, with_payload=False).select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+@query("op6_license_scan")
+def op6(spark, folder):
+    found = licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "permissive")
+
+
 @query("op7_quality_rules")
 def op7(spark, folder):
     return quality.judge(table(spark, folder, "documents").select("doc_id", "text", "lang", "source")).drop("lang", "source")
