@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import work_path
-from . import licenses, mixing, packing, quality, warc
+from . import jaccard, licenses, mixing, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op2_ngram_jaccard")
+def op2(spark, folder):
+    return jaccard.similarity_classes(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op3_best_fit_packing")
 def op3(spark, folder):
     pieces = packing.token_pieces(table(spark, folder, "documents"), tokenizer_path())
