@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import work_path
-from . import jaccard, licenses, mixing, packing, quality, warc
+from . import ann, jaccard, licenses, mixing, packing, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,6 +66,18 @@ def op7(spark, folder):
     return quality.judge(table(spark, folder, "documents").select("doc_id", "text", "lang", "source")).drop("lang", "source")
 
 
+@query("op8_toxicity")
+def op8(spark, folder):
+    return toxicity.score(
+        table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels").select("doc_id", "toxic")
+    ).drop("margin")
+
+
+@query("op9_nearest_neighbours")
+def op9(spark, folder):
+    return ann.neighbours(table(spark, folder, "embeddings"))
+
+
 @query("op10_mix_sources")
 def op10(spark, folder):
     mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source"))
