@@ -7,9 +7,10 @@
    frequent ones; only sets with too few tokens in the zone list others. Frequencies are counted in one shuffle.
 3. Stars. Every set of a list is compared with the list's smallest and largest set, never with all. Linked sets form
    components; most lists then lie within one component and are done.
-4. Blocks. Lists with several components are compared in blocks, only between components. A list's entries are kept
-   in blocks by position, and a block whose positions cannot reach the overlap is skipped. The overlaps of a set are
-   derived from those of a similar set in its component: minus what it lacks, plus what it adds.
+4. Blocks. Sets that lists with several components connect form groups, and only sets of different components and of
+   fitting size are compared, block against block. There the index lists keep their entries by position in blocks, and
+   a block whose positions cannot reach the overlap is skipped. The overlaps of a set are derived from those of a
+   similar set in its component: minus what it lacks, plus what it adds.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ ZONE = 0.4
 FREQUENT = 64
 #: A token in more than this share of the documents is dealt out by document, not to one task.
 HEAVY = 0.01
-#: Entries of a list that meet in one task, and of a block that is skipped as a whole.
+#: Sets of a block that meets another in one task, and entries of an index list that are skipped as a whole.
 BLOCK = 256
 SKIP = 16
 
@@ -185,95 +186,115 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _block_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     """Links between sets of different components, each of ``left`` against ``right``."""
-    right = right.sort_values("position", kind="stable").reset_index(drop=True)
-    sizes, position, comp = (right[c].to_numpy() for c in ("size", "position", "component"))
+    sizes, comp, nodes = (right[c].to_numpy() for c in ("size", "component", "node"))
     tokens = np.concatenate(right["tokens"].to_list())
     owner = np.repeat(np.arange(len(right)), sizes)
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    edge = np.arange(0, len(right), SKIP)
-    low_position, high_position = np.minimum.reduceat(position, edge), np.maximum.reduceat(position, edge)
-    low_size, high_size = np.minimum.reduceat(sizes, edge), np.maximum.reduceat(sizes, edge)
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = np.lexsort((place, tokens))
+    tokens, owner, place = tokens[order], owner[order], place[order]
+    # Index lists hold the tokens of prefixes, by position; SKIP entries in a row are a block with bounds of its own.
+    listed = np.flatnonzero(place < _prefix(sizes, percent)[owner])
+    list_token, list_owner, list_place = tokens[listed], owner[listed], place[listed]
+    edge = np.arange(0, len(listed), SKIP)
+    low_place, high_place = np.minimum.reduceat(list_place, edge), np.maximum.reduceat(list_place, edge)
+    low_size, high_size = np.minimum.reduceat(sizes[list_owner], edge), np.maximum.reduceat(sizes[list_owner], edge)
+
+    def spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every number of the ranges, and the range that it is from."""
+        width = last - first
+        at = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(first, width)
+        return at, np.repeat(np.arange(len(first)), width)
+
+    def candidates(own: np.ndarray) -> np.ndarray:
+        size = len(own)
+        head = own[: int(_prefix(np.array([size]), percent)[0])]
+        first, last = np.searchsorted(list_token, head, "left"), np.searchsorted(list_token, head, "right")
+        hit = np.flatnonzero(last > first)
+        block, of = spread(first[hit] // SKIP, (last[hit] - 1) // SKIP + 1)
+        at = hit[of]
+        reach = np.minimum(at, high_place[block]) + 1 + np.minimum(size - at - 1, high_size[block] - low_place[block] - 1)
+        open_ = (100 + percent) * reach >= percent * (size + low_size[block])
+        block, at = block[open_], at[open_]
+        entry, of = spread(np.maximum(first[at], block * SKIP), np.minimum(last[at], (block + 1) * SKIP))
+        j, i, other = list_place[entry], at[of], sizes[list_owner[entry]]
+        reach = np.minimum(i, j) + 1 + np.minimum(size - i - 1, other - j - 1)
+        alive = np.zeros(len(right), bool)
+        alive[list_owner[entry[(100 + percent) * reach >= percent * (size + other)]]] = True
+        return alive
 
     def overlaps(some: np.ndarray) -> np.ndarray:
         first, last = np.searchsorted(tokens, some, "left"), np.searchsorted(tokens, some, "right")
         hit = last > first
-        first, last = first[hit], last[hit]
-        if not len(first):
-            return np.zeros(len(right), np.int64)
-        width = last - first
-        at = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(first, width)
-        return np.bincount(owner[at], minlength=len(right))
+        return np.bincount(owner[spread(first[hit], last[hit])[0]], minlength=len(right))
 
     found = []
     for group, members in left.groupby("component", sort=False):
-        other = comp != group
         leader = leader_overlap = None
-        for node, size, place, own in zip(members["node"], members["size"], members["position"], members["tokens"]):
-            reach = np.minimum(place, high_position) + 1 + np.minimum(size - place - 1, high_size - low_position - 1)
-            alive = np.repeat((100 + percent) * reach >= percent * (size + low_size), SKIP)[: len(right)] & other
-            alive &= (100 * np.minimum(size, sizes) >= percent * np.maximum(size, sizes))
+        for node, size, own in zip(members["node"], members["size"], members["tokens"]):
+            alive = candidates(own) & (comp != group)
+            if leader is not None and alive.any():
+                adds = np.setdiff1d(own, leader, assume_unique=True)
+                alive &= (100 + percent) * (leader_overlap + len(adds)) >= percent * (size + sizes)
             if not alive.any():
                 continue
             if leader is None:
                 leader, leader_overlap = own, overlaps(own)
                 overlap = leader_overlap
             else:
-                lacks, adds = np.setdiff1d(leader, own, assume_unique=True), np.setdiff1d(own, leader, assume_unique=True)
-                most = leader_overlap + len(adds)
-                alive &= (100 + percent) * most >= percent * (size + sizes)
-                if not alive.any():
-                    continue
+                lacks = np.setdiff1d(leader, own, assume_unique=True)
                 if len(lacks) + len(adds) < len(own):
                     overlap = leader_overlap - overlaps(lacks) + overlaps(adds)
                 else:
                     overlap = overlaps(own)
             links = alive & ((100 + percent) * overlap >= percent * (size + sizes))
-            found += [(int(node), int(x)) for x in right["node"].to_numpy()[links]]
+            found += [(int(node), int(x)) for x in nodes[links]]
     return found
 
 
-def _cross_links(lists: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between sets of different components within a list.
+def _cross_links(placed: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between sets of different components within a group; placed: group, node, size, component.
 
-    A component with more than ``block`` sets in a list has blocks of its own, which never meet each other; the other
-    sets of the list share mixed blocks. Every pair of blocks that has to meet is one group of at most 2 * block sets.
+    Sets of a group meet only if their sizes are in the same or the next band, a factor of the similarity wide. A
+    component with more than ``block`` sets in a group has blocks of its own, which never meet each other; the other
+    sets share mixed blocks. Every pair of blocks that has to meet is one task's work, at most 2 * block sets or so.
     """
-    inside = lists.groupBy("token", "component").count()
-    large = inside.where(F.col("count") > block).select("token", F.col("component").alias("own"), F.col("count").alias("n_own"))
-    large = bounded_broadcast(materialize(large, "large"))
-    placed = lists.join(large, (lists["token"] == large["token"]) & (lists["component"] == large["own"]), "left").select(
-        lists["*"], "own", "n_own"
+    inside = placed.groupBy("group", "component").count()
+    large = materialize(inside.where(F.col("count") > block).select(F.col("group").alias("of"), F.col("component").alias("own")), "large")
+    banded = placed.join(
+        bounded_broadcast(large), (F.col("group") == F.col("of")) & (F.col("component") == F.col("own")), "left"
+    ).select(*placed.columns, "own", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int").alias("band"))
+    banded = materialize(banded, "banded")
+    counted = banded.groupBy("group", "own", "band").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    counted = bounded_broadcast(materialize(counted, "bands"))
+    cells = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    a = cells.select("group", F.struct(F.coalesce("own", F.lit(-1)).alias("own"), "band", "part").alias("cell_a"))
+    b = cells.select(F.col("group").alias("group_b"), F.struct(F.coalesce("own", F.lit(-1)).alias("own"), "band", "part").alias("cell_b"))
+    meet = a.join(b, F.col("group") == F.col("group_b")).where(
+        (F.col("cell_a") <= F.col("cell_b")) & (F.abs(F.col("cell_a.band") - F.col("cell_b.band")) <= 1)
+        & ((F.col("cell_a.own") == -1) | (F.col("cell_a.own") != F.col("cell_b.own")))
     )
-    mixed_count = placed.where("own IS NULL").groupBy("token").agg(F.count(F.lit(1)).alias("n_mixed"))
-    placed = placed.join(mixed_count, "token", "left")
-    many = F.ceil(F.coalesce("n_own", "n_mixed") / block)
-    placed = materialize(placed.select(
-        "token", "node", "size", "position", "component", "own", F.pmod(F.xxhash64("node"), many).alias("part")
-    ), "placed")
-    blocks = placed.select("token", "own", "part").distinct()
-    a, b = blocks.toDF("token", "own_a", "part_a"), blocks.toDF("token", "own_b", "part_b")
-    key_a, key_b = F.struct(F.coalesce("own_a", F.lit(-1)), F.col("part_a")), F.struct(F.coalesce("own_b", F.lit(-1)), F.col("part_b"))
-    meet = a.join(b, "token").where((key_a <= key_b) & ~F.coalesce(F.col("own_a") == F.col("own_b"), F.lit(False)))
-    meet = meet.withColumn("pair", F.xxhash64("token", "own_a", "part_a", "own_b", "part_b"))
-    same = F.col("own_a").eqNullSafe(F.col("own_b")) & (F.col("part_a") == F.col("part_b"))
-    sides = meet.select("token", F.inline(F.array(
-        F.struct(F.col("own_a").alias("own_of"), F.col("part_a").alias("part_of"), F.when(same, 2).otherwise(0).alias("side"), F.col("pair")),
-        F.struct(F.col("own_b").alias("own_of"), F.col("part_b").alias("part_of"), F.lit(1).alias("side"), F.col("pair")),
-    )), same.alias("same")).where("NOT (same AND side = 1)").withColumnRenamed("token", "of")
+    same = F.col("cell_a") == F.col("cell_b")
+    sides = meet.select(F.col("group").alias("of"), F.xxhash64("group", "cell_a", "cell_b").alias("pair"), F.explode(
+        F.when(same, F.array(F.struct(F.col("cell_a").alias("cell"), F.lit(2).alias("side")))).otherwise(
+            F.array(F.struct(F.col("cell_a").alias("cell"), F.lit(0).alias("side")), F.struct(F.col("cell_b").alias("cell"), F.lit(1).alias("side"))))
+    ).alias("s")).select("of", "pair", "s.side", F.col("s.cell").alias("cell_of"))
     sides = bounded_broadcast(materialize(sides, "blocks"))
-    rows = placed.join(
-        sides, (F.col("token") == F.col("of")) & F.col("own").eqNullSafe(F.col("own_of")) & (F.col("part") == F.col("part_of"))
-    ).select("pair", "side", "node", "size", "position", "component")
-    rows = rows.join(sets, "node")
+    dealt = banded.join(
+        counted.select(F.col("group").alias("g"), F.coalesce("own", F.lit(-1)).alias("o"), F.col("band").alias("d"), "parts"),
+        (F.col("group") == F.col("g")) & (F.coalesce("own", F.lit(-1)) == F.col("o")) & (F.col("band") == F.col("d")),
+    ).select("group", "node", "size", "component", F.struct(
+        F.coalesce("own", F.lit(-1)).alias("own"), "band", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")
+    ).alias("cell"))
+    rows = dealt.join(sides, (F.col("group") == F.col("of")) & (F.col("cell") == F.col("cell_of"))).select(
+        "pair", "side", "node", "size", "component"
+    ).join(sets, "node")
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
-        if group["component"].nunique() < 2:
-            found = []
-        elif (group["side"] == 2).all():
-            found = [x for x in _block_links(group, group, percent) if x[0] < x[1]]
+        left, right = group[group["side"] != 1], group[group["side"] != 0]
+        if len(left) and len(right) and group["component"].nunique() > 1:
+            found = [(min(x), max(x)) for x in _block_links(left, right, percent)]
         else:
-            found = _block_links(group[group["side"] == 0], group[group["side"] == 1], percent)
+            found = []
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("pair").applyInPandas(links, "a BIGINT, b BIGINT")
@@ -337,11 +358,13 @@ def similarity_classes(docs: DataFrame, text: str = "text", key: str = "doc_id",
     known = materialize(_verified(stars, sets, percent), "stars")
     first = materialize(components(known), "components")
 
-    labelled = lists.join(first, "node", "left").withColumn("component", F.coalesce("component", "node")).select(
-        "token", "node", "size", "position", "component"
-    )
+    labelled = lists.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_lists = labelled.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("token")
-    cross = _cross_links(materialize(labelled.join(open_lists, "token", "left_semi"), "open"), sets, percent)
+    still = materialize(labelled.join(open_lists, "token", "left_semi").select("node", "size", "component", "low"), "open")
+    # What meets in open lists forms groups; each set is sent to its group once, however many lists it is in.
+    groups = components(still.select("node", "low"), "node", "low").select("node", F.col("component").alias("group"))
+    placed = still.select("node", "size", "component").distinct().join(groups, "node")
+    cross = _cross_links(placed, sets, percent)
     links = known.unionAll(cross)
     found = components(links)
     by_component = found.join(classes.select("node", "least"), "node").select(
