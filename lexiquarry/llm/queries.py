@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import work_path
-from . import ann, jaccard, licenses, mixing, packing, quality, toxicity, warc
+from . import ann, jaccard, licenses, lines, mixing, packing, pii, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op1_pii_surrogates")
+def op1(spark, folder):
+    return pii.replace_entities(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op2_ngram_jaccard")
 def op2(spark, folder):
     return jaccard.similarity_classes(table(spark, folder, "documents").select("doc_id", "text"))
@@ -46,6 +51,11 @@ def op3(spark, folder):
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+@query("op4_fuzzy_lines")
+def op4(spark, folder):
+    return lines.drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op5_warc_index")
 def op5(spark, folder):
     store = work_path(spark, "warc")
