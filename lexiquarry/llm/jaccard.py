@@ -301,7 +301,7 @@ def _cross_links(placed: DataFrame, sets: DataFrame, percent: int, block: int =
 
 
 def similarity_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """key, n_shingles, component_id for every row of ``docs``.
+    """key, n_shingles, component_id, text_hash (of the text as it is) for every row of ``docs``.
 
     Two rows link if their sets of distinct ``n``-word shingles (A-Z in lower case) have a Jaccard similarity of at
     least ``percent``; component_id is the smallest key reachable by links, itself included. Shorter texts are one
@@ -374,5 +374,14 @@ def similarity_classes(docs: DataFrame, text: str = "text", key: str = "doc_id",
     joined = materialize(by_component.join(lowest, "component").select("node", "lowest"), "joined")
     of_class = classes.join(joined, "node", "left").select("node", F.coalesce("lowest", "least").alias("component_id"))
     return sizes.join(of_class, "node", "left").select(
-        F.col(key), F.col("size").alias("n_shingles"), F.when(F.col("node").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id")
+        F.col(key), F.col("size").alias("n_shingles"), F.when(F.col("node").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"), "text_hash",
     )
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each group: the one with the smallest key. Rows with the same key and text stay together."""
+    gone = similarity_classes(docs, text, key, n, percent).where(F.col(key) != F.col("component_id")).select(
+        F.col(key).alias("_gone_key"), F.col("text_hash").alias("_gone_hash")
+    ).distinct()
+    gone = bounded_broadcast(materialize(gone, "gone"))
+    return docs.join(gone, (F.col(key) == F.col("_gone_key")) & (F.xxhash64(text) == F.col("_gone_hash")), "left_anti")

@@ -74,21 +74,22 @@ def _measure(texts: Texts) -> list[np.ndarray]:
     return [n_words, chars, symbols, dup_lines, repeat]
 
 
-def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words in place of the text.
+def with_measures(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words, in place of the text or beside it.
 
     Whole texts count. A null or empty text has zero everywhere. Columns of ``docs`` with one of these names are
     replaced.
     """
     names = list(MEASURES.names)
     rest = docs.drop(*[n for n in names if n in docs.columns and n != text])
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema if f.name != text] + [f"{n} BIGINT" for n in names])
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema if keep_text or f.name != text]
+    out = ", ".join(fields + [f"{n} BIGINT" for n in names])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [_measure(t) for t in runs(batch.column(text))]
             found = [np.concatenate([p[i] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64) for i in range(len(names))]
-            kept = [n for n in batch.schema.names if n != text]
+            kept = [n for n in batch.schema.names if keep_text or n != text]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in kept] + [pa.array(x) for x in found], kept + names)
 
     return rest.mapInArrow(measure, out)
@@ -146,24 +147,18 @@ def thresholds(measured: DataFrame, keys: list[str], fence: float = FENCE) -> Da
     )
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", fence: float = FENCE) -> DataFrame:
-    """``docs`` without the text, with the five measures, base_failed and kept.
+def group_limits(measured: DataFrame, lang: str = "lang", source: str = "source", fence: float = FENCE) -> DataFrame:
+    """The thresholds of every (language, source), written."""
+    keyed = measured.select(*MEASURES.names, F.col(lang).alias("_lq_lang"), F.col(source).alias("_lq_source"))
+    limits = materialize(thresholds(keyed, ["_lq_lang", "_lq_source"], fence), "thresholds")
+    inner = [c for c in limits.columns if c not in ("_lq_lang", "_lq_source")]
+    return bounded_broadcast(limits).select("_lq_lang", "_lq_source", F.struct(*inner).alias("_lq_limits"))
 
-    ``base_failed``: fewer than 10 words, or over 20 percent of them in repeated windows. ``kept`` is false if
-    base_failed, or if a ratio is beyond the fence of the document's (language, source). Null languages and sources
-    are groups of their own; with no group to compare with, only the base rules count. Rows are judged one by one, so
-    repeated rows get equal verdicts. An empty table gives an empty result.
-    """
-    measured = materialize(with_measures(docs, text), "quality")
-    keys = ["_lq_lang", "_lq_source"]
-    keyed = measured.withColumns({"_lq_lang": F.col(lang), "_lq_source": F.col(source)})
-    limits = materialize(thresholds(keyed, keys, fence), "thresholds")
-    inner = [c for c in limits.columns if c not in keys]
-    limits = bounded_broadcast(limits).select(*[F.col(k).alias(f"{k}_of") for k in keys], F.struct(*inner).alias("_lq_limits"))
-    joined = keyed.join(
-        limits,
-        F.col("_lq_lang").eqNullSafe(F.col("_lq_lang_of")) & F.col("_lq_source").eqNullSafe(F.col("_lq_source_of")),
-        "left",
+
+def verdicts(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """``measured`` with base_failed and kept."""
+    joined = measured.join(
+        limits, F.col(lang).eqNullSafe(F.col("_lq_lang")) & F.col(source).eqNullSafe(F.col("_lq_source")), "left"
     )
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     far = F.lit(False)
@@ -174,3 +169,22 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     return joined.select(
         *[c for c in measured.columns if c not in ("base_failed", "kept")], failed.alias("base_failed"), (~failed & ~far).alias("kept")
     )
+
+
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", fence: float = FENCE) -> DataFrame:
+    """``docs`` without the text, with the five measures, base_failed and kept.
+
+    ``base_failed``: fewer than 10 words, or over 20 percent of them in repeated windows. ``kept`` is false if
+    base_failed, or if a ratio is beyond the fence of the document's (language, source). Null languages and sources
+    are groups of their own; with no group to compare with, only the base rules count. Rows are judged one by one, so
+    repeated rows get equal verdicts. An empty table gives an empty result.
+    """
+    measured = materialize(with_measures(docs, text), "quality")
+    return verdicts(measured, group_limits(measured, lang, source, fence), lang, source)
+
+
+def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", fence: float = FENCE) -> DataFrame:
+    """The rows and columns of ``docs`` that ``judge`` keeps. Texts are measured again, which is cheaper than moving them."""
+    measured = materialize(with_measures(docs.select(text, lang, source), text), "quality")
+    limits = group_limits(measured, lang, source, fence)
+    return verdicts(with_measures(docs, text, keep_text=True), limits, lang, source).where("kept").select(*docs.columns)
