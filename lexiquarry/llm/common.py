@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialize
+
 #: Most bytes, as Spark estimates them from files, that a side may have to be broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -14,6 +16,15 @@ def bounded_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size <= most else df
 
 
+#: Rows of a narrow table that one file gets.
+FILE_ROWS = 200_000
+
+
+def settle(df: DataFrame, label: str, rows: int) -> DataFrame:
+    """``df``, of at most ``rows`` narrow rows behind a shuffle, written in few files and read back."""
+    return materialize(df.coalesce(1 + rows // FILE_ROWS), label)
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """A column name that ``docs`` does not have."""
     while name in docs.columns:

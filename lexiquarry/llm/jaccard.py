@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
-from .common import bounded_broadcast, fresh
+from .common import bounded_broadcast, fresh, settle
 from .graph import components
 from .words import mixed, runs, shingle_sets
 
@@ -251,21 +251,21 @@ def _block_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[
     return found
 
 
-def _cross_links(placed: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between sets of different components within a group; placed: group, node, size, component.
+def _cross_links(placed: DataFrame, sets: DataFrame, percent: int, count: int) -> DataFrame:
+    """Links (a, b) between sets of different components within a group; placed: group, node, size, component; ``count`` documents.
 
     Sets of a group meet only if their sizes are in the same or the next band, a factor of the similarity wide. A
-    component with more than ``block`` sets in a group has blocks of its own, which never meet each other; the other
-    sets share mixed blocks. Every pair of blocks that has to meet is one task's work, at most 2 * block sets or so.
+    component with more than BLOCK sets in a group has blocks of its own, which never meet each other; the other
+    sets share mixed blocks. Every pair of blocks that has to meet is one task's work, at most 2 * BLOCK sets or so.
     """
     inside = placed.groupBy("group", "component").count()
-    large = materialize(inside.where(F.col("count") > block).select(F.col("group").alias("of"), F.col("component").alias("own")), "large")
+    large = settle(inside.where(F.col("count") > BLOCK).select(F.col("group").alias("of"), F.col("component").alias("own")), "large", count)
     banded = placed.join(
         bounded_broadcast(large), (F.col("group") == F.col("of")) & (F.col("component") == F.col("own")), "left"
     ).select(*placed.columns, "own", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int").alias("band"))
-    banded = materialize(banded, "banded")
-    counted = banded.groupBy("group", "own", "band").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
-    counted = bounded_broadcast(materialize(counted, "bands"))
+    banded = settle(banded, "banded", count)
+    counted = banded.groupBy("group", "own", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    counted = bounded_broadcast(settle(counted, "bands", count))
     cells = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     a = cells.select("group", F.struct(F.coalesce("own", F.lit(-1)).alias("own"), "band", "part").alias("cell_a"))
     b = cells.select(F.col("group").alias("group_b"), F.struct(F.coalesce("own", F.lit(-1)).alias("own"), "band", "part").alias("cell_b"))
@@ -278,7 +278,7 @@ def _cross_links(placed: DataFrame, sets: DataFrame, percent: int, block: int =
         F.when(same, F.array(F.struct(F.col("cell_a").alias("cell"), F.lit(2).alias("side")))).otherwise(
             F.array(F.struct(F.col("cell_a").alias("cell"), F.lit(0).alias("side")), F.struct(F.col("cell_b").alias("cell"), F.lit(1).alias("side"))))
     ).alias("s")).select("of", "pair", "s.side", F.col("s.cell").alias("cell_of"))
-    sides = bounded_broadcast(materialize(sides, "blocks"))
+    sides = bounded_broadcast(settle(sides, "blocks", 4 * count))
     dealt = banded.join(
         counted.select(F.col("group").alias("g"), F.coalesce("own", F.lit(-1)).alias("o"), F.col("band").alias("d"), "parts"),
         (F.col("group") == F.col("g")) & (F.coalesce("own", F.lit(-1)) == F.col("o")) & (F.col("band") == F.col("d")),
@@ -310,16 +310,16 @@ def similarity_classes(docs: DataFrame, text: str = "text", key: str = "doc_id",
     with a key is reachable. No link is lost: all steps before the comparison of sets keep every pair that can link.
     """
     sizes = materialize(describe(docs, text, key, n), "sizes")
-    classes = materialize(
+    count = sizes.count()
+    classes = settle(
         sizes.where("node IS NOT NULL").groupBy("node").agg(
             F.min(key).alias("least"), F.first("size").alias("size"), F.first("in_zone").alias("in_zone"), F.count(F.lit(1)).alias("n"),
             F.min(F.struct(F.col(key), F.col("text_hash"))).alias("chosen"),
-        ), "classes",
+        ), "classes", count,
     )
-    count = sizes.count()
-    heavy = materialize(
+    heavy = settle(
         sizes.where("often IS NOT NULL").select(F.inline("often")).groupBy("token").agg(F.sum("n").alias("n"))
-        .where(F.col("n") > HEAVY * count).select("token"), "heavy",
+        .where(F.col("n") > HEAVY * count).select("token"), "heavy", count,
     )
     # One text of each class goes on; the others are known by key and text.
     twin = fresh(docs, "_text_hash")
@@ -328,7 +328,7 @@ def similarity_classes(docs: DataFrame, text: str = "text", key: str = "doc_id",
     ).where(~(F.col(key).eqNullSafe(F.col(f"chosen.{key}")) & (F.col("text_hash") == F.col("chosen.text_hash")))).select(
         F.col(key).alias("_copy_key"), F.col("text_hash").alias("_copy_hash")
     ).distinct()
-    copies = bounded_broadcast(materialize(copies, "copies"))
+    copies = bounded_broadcast(settle(copies, "copies", count))
     named = docs.select(F.col(key).alias("_key"), F.col(text).alias(text), F.xxhash64(text).alias(twin))
     single = named.join(copies, F.col("_key").eqNullSafe(F.col("_copy_key")) & (F.col(twin) == F.col("_copy_hash")), "left_anti")
 
@@ -340,14 +340,14 @@ def similarity_classes(docs: DataFrame, text: str = "text", key: str = "doc_id",
     about = lists.groupBy("token").agg(
         F.count(F.lit(1)).alias("n_list"), F.bit_xor(F.xxhash64("node")).alias("mark"), F.min("node").alias("low"), F.max("node").alias("high")
     ).where("n_list > 1")
-    about = materialize(about.groupBy("n_list", "mark", "low", "high").agg(F.min("token").alias("token")).select("token", "low", "high"), "about")
+    about = settle(about.groupBy("n_list", "mark", "low", "high").agg(F.min("token").alias("token")).select("token", "low", "high"), "about", count)
     lists = materialize(lists.join(about, "token"), "distinct_lists")
 
     nodes = lists.select("node").distinct()
     wanted = classes.join(nodes, "node", "left_semi").select(
         F.col("node"), F.col(f"chosen.{key}").alias("_want_key"), F.col("chosen.text_hash").alias("_want_hash")
     )
-    wanted = bounded_broadcast(materialize(wanted, "wanted"))
+    wanted = bounded_broadcast(settle(wanted, "wanted", count))
     texts = named.join(wanted, F.col("_key").eqNullSafe(F.col("_want_key")) & (F.col(twin) == F.col("_want_hash")))
     sets = materialize(_tokens(texts, text, n, percent, only_listed=False).dropDuplicates(["node"]), "sets")
 
@@ -356,22 +356,23 @@ def similarity_classes(docs: DataFrame, text: str = "text", key: str = "doc_id",
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     ).distinct()
     known = materialize(_verified(stars, sets, percent), "stars")
-    first = materialize(components(known), "components")
+    n_known = known.count()
+    first = settle(components(known, n_known), "components", n_known)
 
     labelled = lists.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_lists = labelled.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("token")
     still = materialize(labelled.join(open_lists, "token", "left_semi").select("node", "size", "component", "low"), "open")
     # What meets in open lists forms groups; each set is sent to its group once, however many lists it is in.
-    groups = components(still.select("node", "low"), "node", "low").select("node", F.col("component").alias("group"))
-    placed = still.select("node", "size", "component").distinct().join(groups, "node")
-    cross = _cross_links(placed, sets, percent)
+    groups = components(still.select("node", "low"), still.count(), "node", "low").select("node", F.col("component").alias("group"))
+    placed = settle(still.select("node", "size", "component").distinct().join(groups, "node"), "placed", count)
+    cross = materialize(_cross_links(placed, sets, percent, count), "cross")
     links = known.unionAll(cross)
-    found = components(links)
+    found = components(links, links.count())
     by_component = found.join(classes.select("node", "least"), "node").select(
         "component", "node", "least"
     )
     lowest = by_component.groupBy("component").agg(F.min("least").alias("lowest"))
-    joined = materialize(by_component.join(lowest, "component").select("node", "lowest"), "joined")
+    joined = settle(by_component.join(lowest, "component").select("node", "lowest"), "joined", count)
     of_class = classes.join(joined, "node", "left").select("node", F.coalesce("lowest", "least").alias("component_id"))
     return sizes.join(of_class, "node", "left").select(
         F.col(key), F.col("size").alias("n_shingles"), F.when(F.col("node").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"), "text_hash",

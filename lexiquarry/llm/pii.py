@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
-from .common import bounded_broadcast, fresh
+from .common import bounded_broadcast, fresh, settle
 
 KEY = "public-test-key"
 
@@ -141,8 +141,8 @@ def surrogate(entity: Column, kind: Column, canon: Column, salt: Column, key: st
     )
 
 
-def _collisions(entities: DataFrame, key: str) -> DataFrame:
-    """kind, canon, salt of the entities whose first surrogate will not do.
+def _collisions(entities: DataFrame, rows: int, key: str) -> DataFrame:
+    """kind, canon, salt of the entities, at most ``rows``, whose first surrogate will not do.
 
     Of entities with one surrogate the smallest keeps it; a surrogate that is an entity of the corpus is given up by
     all. Those that lose draw again and are compared with everything, until nothing collides.
@@ -151,11 +151,11 @@ def _collisions(entities: DataFrame, key: str) -> DataFrame:
     form = canonical(surrogate(F.col("written"), F.col("kind"), F.col("canon"), draw, key), F.col("kind"))
     now = entities.withColumn("salt", F.lit(0))
     while True:
-        now = materialize(now.select("kind", "canon", "written", "salt", form.alias("drawn")), "drawn")
+        now = settle(now.select("kind", "canon", "written", "salt", form.alias("drawn")), "drawn", rows)
         kept = now.groupBy("kind", "drawn").agg(F.min(F.struct("salt", "canon")).alias("winner"), F.count(F.lit(1)).alias("n"))
         shared = now.join(kept.where("n > 1"), ["kind", "drawn"]).where(F.struct("salt", "canon") != F.col("winner")).select("kind", "canon")
         real = now.join(now.select("kind", F.col("canon").alias("drawn")).distinct(), ["kind", "drawn"]).select("kind", "canon")
-        losers = materialize(shared.unionAll(real).distinct().withColumn("again", F.lit(1)), "losers")
+        losers = settle(shared.unionAll(real).distinct().withColumn("again", F.lit(1)), "losers", rows)
         if losers.isEmpty():
             return now.where("salt > 0").select("kind", "canon", "salt")
         now = now.join(bounded_broadcast(losers), ["kind", "canon"], "left").select(
@@ -178,11 +178,12 @@ def replace_entities(docs: DataFrame, text: str = "text", key_column: str = "doc
     spotted = spotted.withColumn("kind", kind_of(F.col("entity"))).withColumn("canon", canonical(F.col("entity"), F.col("kind")))
     spotted = materialize(spotted.groupBy("row", "kind", "canon").agg(F.min("entity").alias("written")), "entities")
     entities = spotted.groupBy("kind", "canon").agg(F.min("written").alias("written"))
-    odd = bounded_broadcast(materialize(_collisions(entities, key), "exceptions"))
+    rows = spotted.count()
+    odd = bounded_broadcast(settle(_collisions(entities, rows, key), "exceptions", rows))
     salts = spotted.join(odd, ["kind", "canon"]).groupBy("row").agg(
         F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0001", "kind", "canon"), "salt"))).alias("_salts")
     )
-    salts = bounded_broadcast(materialize(salts, "salts")).withColumnRenamed("row", "_salted")
+    salts = bounded_broadcast(settle(salts, "salts", rows)).withColumnRenamed("row", "_salted")
     joined = docs.withColumn(row, F.when(has, mark)).join(salts, F.col(row) == F.col("_salted"), "left")
 
     def new(entity: Column) -> Column:

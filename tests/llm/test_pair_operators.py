@@ -120,7 +120,7 @@ def test_empty_tables(spark):
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
-    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long"), len(edges)).collect()}
     both = {(a, b) for a, b in edges} | {(b, a) for a, b in edges}
     groups = reach(261, lambda x, y: (x, y) in both)
     assert got == {x: min(groups[x]) for e in edges if e[0] != e[1] for x in e}
