@@ -35,7 +35,7 @@ def read_delimited(spark, folder):
     path = work_path(spark, "delimited")
     part = table(spark, folder, "part").withColumn("p_name", F.concat("p_name", F.lit('\n"x"')))
     P.write_delimited(part, path, ";")
-    back = P.read_delimited(spark, path)
+    back = P.read_delimited(spark, path, multi_line=True)
     return back.select(
         F.col("p_partkey").cast("bigint").alias("p_partkey"), "p_name", "p_brand", "p_type",
         F.col("p_size").cast("bigint").alias("p_size"), "p_retailprice",
@@ -147,6 +147,47 @@ def add_documents(spark, folder):
     )
 
 
+@query("process_files", """
+    WITH csv AS (SELECT p_partkey // 7 AS file, count(*) AS n FROM part GROUP BY ALL)
+    SELECT 'csv' AS family, count(*) AS sources, 0::BIGINT AS refused, sum(ceil(n / 5.0))::BIGINT AS blocks,
+           sum(n)::BIGINT AS rows FROM csv
+    UNION ALL SELECT 'doc', count(*), count(*) FILTER (text IS NULL OR text = ''), 0, 0 FROM documents
+    UNION ALL SELECT 'page', count(*), count(*) FILTER (html IS NULL OR html = ''), 0, 0 FROM pages
+    UNION ALL SELECT 'head', count(*), 0, 0, 0 FROM csv
+    UNION ALL SELECT 'table', count(*), 0, sum(ceil(n / 5.0))::BIGINT, sum(n)::BIGINT FROM csv
+    UNION ALL SELECT 'xlsx', count(*), count(*), 0, 0 FROM csv""")
+def process_files(spark, folder):
+    """Documents, pages, delimited texts, pipe tables, tables without rows and workbooks; every source comes out once."""
+    part = table(spark, folder, "part").withColumn("file", F.floor(F.col("p_partkey") / 7).cast("string"))
+    quoted = F.concat(F.lit('"'), F.col("p_name"), F.lit('\n""x"""'))
+    rows = F.sort_array(F.collect_list(F.struct(
+        "p_partkey", F.concat_ws(";", "p_partkey", quoted, "p_retailprice").alias("csv"),
+        F.concat(F.lit("| "), F.concat_ws(" | ", "p_partkey", "p_name"), F.lit(" |")).alias("bars"),
+    )))
+    files = part.groupBy("file").agg(rows.alias("rows"))
+    made = files.select("file", F.explode(F.array(*[
+        F.struct(F.lit(family).alias("family"), F.lit(suffix).alias("suffix"), content.alias("content")) for family, suffix, content in (
+            ("csv", "csv", F.concat(F.lit("key;name;price\n"), F.array_join(F.col("rows.csv"), "\n"))),
+            ("table", "txt", F.concat(F.lit("| key | name |\n|---|---|\n"), F.array_join(F.col("rows.bars"), "\n"))),
+            ("head", "txt", F.lit("| key | name |\n|-|-|")), ("xlsx", "xlsx", F.lit("PK binary")),
+        )
+    ])).alias("f")).select("f.family", F.concat_ws("/", "f.family", "file").alias("id"), "f.suffix", "f.content")
+    docs = table(spark, folder, "documents").select(F.lit("doc").alias("family"), F.concat_ws("/", F.lit("doc"), "doc_id").alias("id"), F.lit("txt").alias("suffix"), F.col("text").alias("content"))
+    pages = table(spark, folder, "pages").select(F.lit("page").alias("family"), F.concat_ws("/", F.lit("page"), "page_id").alias("id"), F.lit("txt").alias("suffix"), F.col("html").alias("content"))
+    inputs = made.unionAll(docs).unionAll(pages).select(
+        F.col("id").alias("source"), F.concat_ws(".", "id", "suffix").alias("path"), F.lit(None).cast("string").alias("mime"), "content"
+    )
+    chunks, refused = flows.process_files(inputs)
+    lines = F.size(F.filter(F.split("content", "\n"), lambda x: x.startswith("| "))) - 2
+    block = F.substring_index("source", "/", 1).isin("csv", "table")
+    out = chunks.select("source", F.lit(0).alias("refused"), block.cast("int").alias("blocks"), F.when(block, lines).otherwise(0).alias("rows"))
+    out = out.unionAll(refused.select("source", F.lit(1), F.lit(0), F.lit(0)))
+    by_source = out.groupBy("source").agg(*[F.sum(c).alias(c) for c in ("refused", "blocks", "rows")])
+    return by_source.groupBy(F.substring_index("source", "/", 1).alias("family")).agg(
+        F.count(F.lit(1)).alias("sources"), *[F.sum(c).alias(c) for c in ("refused", "blocks", "rows")]
+    )
+
+
 @query("ask")
 def ask(spark, folder):
     """Every ``benchmark`` text asked against all documents: route, hits and prompt."""

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..params import BROADCAST_ROWS
+from ..params import BROADCAST_BYTES, BROADCAST_ROWS
 from ..session import materialize
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if it has at most ``rows`` rows; otherwise Spark joins by shuffle.
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast if it has at most ``rows`` rows of ``size`` bytes; otherwise Spark joins by shuffle.
 
-    For sides that are cheap to compute and narrow: the check runs a job that
-    stops after ``rows`` rows.
+    For sides that are cheap to compute: the check runs a job that stops after
+    ``rows`` rows. Rows count with the length of their JSON form.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    found = df.limit(rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("n")).agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("size")
+    ).head()
+    return F.broadcast(df) if found.rows <= rows and found.size <= size else df
 
 
 def settled(df: DataFrame, label: str, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import is_table_text, strip
+from .common import broadcast_if_small
 from ..params import DEFAULT_ROUTE, EMPTY_MESSAGES, MIME_KINDS, ROUTE_KEYWORDS, SUFFIX_KINDS
 
 
@@ -89,11 +90,20 @@ def empty_result_message(
 
 
 def upsert_collection(current: DataFrame, changes: DataFrame, key: str, version: str) -> DataFrame:
-    """Newest version of every key; an aggregate, so a key with very many versions is no bottleneck."""
-    both = current.unionByName(changes, allowMissingColumns=True)
-    rest = [c for c in both.columns if c != key]
-    latest = both.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("_row"))
-    return latest.select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    """Newest version of every key; a version of null is the oldest, and a change wins over an equal version.
+
+    Only the changes and the rows they meet are aggregated; all other rows of
+    the collection pass an anti-join with the keys that change.
+    """
+    keys = broadcast_if_small(changes.select(key).distinct())
+    marked = current.join(keys, key, "left_semi").withColumn("_new", F.lit(0)).unionByName(
+        changes.withColumn("_new", F.lit(1)), allowMissingColumns=True
+    )
+    rest = [c for c in marked.columns if c not in (key, "_new")]
+    order = F.struct(F.col(version).isNotNull(), F.col(version), F.col("_new"))
+    latest = marked.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_row"))
+    changed = latest.select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    return current.join(keys, key, "left_anti").unionByName(changed, allowMissingColumns=True)
 
 
 def delete_by_id(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:

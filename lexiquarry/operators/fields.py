@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import guess_type, standard_name, strip, to_number
-from ..params import FIELD_SIMILARITY, LEARN_SAMPLE, SAMPLE_VALUES
+from ..params import FIELD_SIMILARITY, SAMPLE_VALUES
 from .common import broadcast_if_small, settled
 from .search import nearest, within
 
@@ -28,12 +28,12 @@ def learn_fields(
     df: DataFrame,
     columns: list[str],
     order_by: str,
-    sample_size: int | None = LEARN_SAMPLE,
+    sample_size: int | None = None,
     declared: dict[str, str] | None = None,
 ) -> DataFrame:
     """Most common guessed type per field (ties: the type seen first), sample count and statistics.
 
-    ``declared`` types win over guesses. All aggregates are partial sums, so a
+    All rows are read unless ``sample_size`` asks for the first ones. ``declared`` types win over guesses. All aggregates are partial sums, so a
     field with all the rows is no bottleneck.
     """
     values = to_fields(df, columns, order_by, sample_size)

@@ -7,38 +7,45 @@ offset, and only the rows of one range are sorted together.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Keys per range that are looked at to place the bounds.
+SAMPLE_KEYS = 50
 
-def _order_proxy(df: DataFrame, column: str) -> Column:
-    """A double that never decreases as the column grows."""
+
+def _comparable(df: DataFrame, column: str) -> Column:
+    """The column itself, or a number that grows with it: dates and times as literals depend on the session."""
     kind = df.schema[column].dataType.typeName()
-    if kind in ("string", "char", "varchar"):
-        first = F.rpad(F.substring(F.hex(F.encode(F.col(column), "utf-8")), 1, 12), 12, "0")
-        return F.conv(first, 16, 10).cast("double")
     if kind == "date":
-        return F.unix_date(column).cast("double")
+        return F.unix_date(column)
     if kind.startswith("timestamp"):
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    return F.col(column).cast("double")
+        return F.unix_micros(F.col(column).cast("timestamp"))
+    return F.col(column)
 
 
 def _ranged(df: DataFrame, order_by: str, ranges: int | None) -> DataFrame:
-    """Add ``_range``, increasing with the order key. Only range bounds reach the driver."""
+    """Add ``_range``, increasing with the order key. Only a sample of keys, to place the bounds, reaches the driver.
+
+    Bounds are whole keys of any type, so keys with a common beginning are
+    told apart; nulls are in the first range, NaN in the last.
+    """
     ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    proxied = df.withColumn("_proxy", F.coalesce(_order_proxy(df, order_by), F.lit(float("-inf"))))
-    shares = [(i + 1) / ranges for i in range(ranges - 1)]
-    cuts: list[float] = []
-    if shares:
-        found = proxied.where("_proxy > double('-infinity')").agg(
-            F.percentile_approx("_proxy", shares, max(10000, 10 * ranges))
-        ).head()[0]
-        cuts = sorted(set(found or []))
-    if not cuts:
-        return proxied.withColumn("_range", F.lit(0)).drop("_proxy")
-    bucketizer = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_proxy", outputCol="_range")
-    return bucketizer.transform(proxied).withColumn("_range", F.col("_range").cast("int")).drop("_proxy")
+    key = _comparable(df, order_by)
+    keys = df.select(key.alias("k")).where("k IS NOT NULL")
+    sample = [r.k for r in keys.orderBy(F.rand(11)).limit(SAMPLE_KEYS * ranges).sort("k").collect()] if ranges > 1 else []
+    cuts: list = []
+    for i in range(1, ranges):
+        if sample and (not cuts or sample[i * len(sample) // ranges] != cuts[-1]):
+            cuts.append(sample[i * len(sample) // ranges])
+
+    def place(low: int, high: int) -> Column:
+        """The number of bounds up to the key, by halving."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key < F.lit(cuts[middle]), place(low, middle)).otherwise(place(middle + 1, high))
+
+    return df.withColumn("_range", F.when(key.isNull(), 0).otherwise(place(0, len(cuts))).cast("int"))
 
 
 def _with_offsets(ranged: DataFrame, keys: list[str], weight: Column, total: str | None) -> DataFrame:

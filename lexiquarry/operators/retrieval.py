@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import document_identity, strip, tokens
 from ..params import BM25_B, BM25_K1, BROADCAST_ROWS, RRF_K, TOP_K
-from .common import spread
+from .common import settled, spread
 from .search import knn, with_score
 
 
@@ -181,8 +181,12 @@ def dedup_content(df: DataFrame, id_col: str = "doc_id", text_col: str = "conten
     """One row per distinct content, the one with the lowest id.
 
     Hash and id are reduced before the shuffle, so a content with very many
-    copies costs one row per task; texts themselves are not shuffled by hash.
+    copies costs one row per task. Only the copies that go are looked up again;
+    texts are not shuffled unless those are too many to broadcast.
     """
     hashed = df.select(id_col, F.md5(text_col).alias("content_md5"))
-    keepers = hashed.groupBy("content_md5").agg(F.min(id_col).alias(id_col))
-    return df.join(keepers, id_col)
+    keepers = hashed.groupBy("content_md5").agg(F.min(id_col).alias("_kept"), F.count(F.lit(1)).alias("_copies"))
+    losers = hashed.join(keepers.where("_copies > 1"), "content_md5").where(F.col(id_col) != F.col("_kept"))
+    losers = settled(losers.select(F.col(id_col).alias("_lost"), F.col("content_md5").alias("_md5")), "copies")
+    kept = df.join(losers, (F.col(id_col) == F.col("_lost")) & (F.md5(text_col) == F.col("_md5")), "left_anti")
+    return kept.withColumn("content_md5", F.md5(text_col)).select(id_col, *[c for c in df.columns if c != id_col], "content_md5")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import bind, once, strip
-from ..params import ROWS_PER_CHUNK
+from ..params import DELIMITERS, ROWS_PER_CHUNK
 from .numbering import number_rows
 
 
@@ -125,20 +125,48 @@ def read_markdown_table(
     return rows.select(*keep, "row_no", *picked)
 
 
-def markdown_blocks(df: DataFrame, n: int = ROWS_PER_CHUNK, text_col: str = "content") -> DataFrame:
-    """Pipe tables cut into blocks of ``n`` rows, each with the header again.
+def _table_lines(text: Column) -> Column:
+    return F.filter(F.split(strip(text), "\n", -1), lambda l: strip(l) != "")
+
+
+def _body_start(lines: Column) -> Column:
+    return F.when(is_rule(F.get(lines, F.lit(1))), 3).otherwise(2)
+
+
+def markdown_rows(text: Column) -> Column:
+    """How many rows a pipe table has below its header; 0 for a text that is none."""
+    lines = _table_lines(text)
+    return F.coalesce(F.greatest(F.size(lines) - _body_start(lines) + 1, F.lit(0)), F.lit(0))
+
+
+#: A record of a delimited text: line breaks within quotes belong to it.
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+"?'
+_RECORD = rf'(?:[^"\r\n]++|{_QUOTED})++'
+
+
+def delimited_records(text: Column) -> Column:
+    """The records of a delimited text that hold something, the header first."""
+    return F.filter(F.regexp_extract_all(text, F.lit(_RECORD), F.lit(0)), lambda r: strip(r) != "")
+
+
+def header_delimiter(header: Column) -> Column:
+    """The delimiter most frequent in the header, the first of them in a tie; a comma if there is none."""
+    counts = F.array(*[F.struct(F.length(header) - F.length(F.replace(header, F.lit(d), F.lit(""))), F.lit(-i), F.lit(d).alias("d"))
+                       for i, d in enumerate(DELIMITERS)])
+    return F.array_max(counts)["d"]
 
-    Like ``chunk_rows``, but for tables that arrive as texts: everything
-    happens inside the row that holds the text, and headers may differ.
-    """
-    keep = [c for c in df.columns if c != text_col]
-    lines = F.filter(F.split(strip(F.col(text_col)), "\n", -1), lambda l: strip(l) != "")
-    body_at = F.when(is_rule(F.get("_lines", F.lit(1))), 3).otherwise(2)
-    parsed = df.select(*keep, lines.alias("_lines")).where(F.size("_lines") >= 2).select(
-        *keep,
-        _cells(F.get("_lines", F.lit(0))).alias("columns"),
-        F.slice("_lines", body_at, F.greatest(F.size("_lines") - body_at + 1, F.lit(0))).alias("_body"),
-    )
+
+def _delimited_cells(record: Column, delimiter: Column) -> Column:
+    quoted = F.concat(F.lit("\\Q"), delimiter, F.lit("\\E"))
+    pattern = F.concat(quoted, F.lit(f"({_QUOTED}|[^"), F.concat(F.lit("\\"), F.when(delimiter == "\t", "t").otherwise(delimiter)), F.lit("]*+)"))
+    cells = F.regexp_extract_all(F.concat(delimiter, record), pattern, F.lit(1))
+    return F.transform(cells, lambda c: strip(F.when(
+        c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))
+    ).otherwise(c)))
+
+
+def _row_blocks(parsed: DataFrame, keep: list[str], n: int, text_col: str, cells_of) -> DataFrame:
+    """Blocks of ``n`` rows with the header again; parsed: keep, columns, _body (and what ``cells_of`` needs)."""
 
     def bars(cells: Column) -> Column:
         return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
@@ -147,7 +175,7 @@ def markdown_blocks(df: DataFrame, n: int = ROWS_PER_CHUNK, text_col: str = "con
     head = F.array(bars(F.col("columns")), bars(F.array_repeat(F.lit("---"), width)))
 
     def block(b: Column) -> Column:
-        body = F.transform(F.slice("_body", b * n + 1, F.lit(n)), lambda l: bars(_fitted(_cells(l), width)))
+        body = F.transform(F.slice("_body", b * n + 1, F.lit(n)), lambda l: bars(_fitted(cells_of(l), width)))
         return F.struct(
             b.alias("chunk_index"), (b * n).alias("row_start"), F.least((b + 1) * n, rows).alias("row_end"),
             F.array_join(F.concat(head, body), "\n").alias("content"),
@@ -160,7 +188,35 @@ def markdown_blocks(df: DataFrame, n: int = ROWS_PER_CHUNK, text_col: str = "con
     )
 
 
+def markdown_blocks(df: DataFrame, n: int = ROWS_PER_CHUNK, text_col: str = "content") -> DataFrame:
+    """Pipe tables cut into blocks of ``n`` rows, each with the header again.
+
+    Like ``chunk_rows``, but for tables that arrive as texts: everything
+    happens inside the row that holds the text, and headers may differ.
+    """
+    keep = [c for c in df.columns if c != text_col]
+    parsed = df.select(*keep, _table_lines(F.col(text_col)).alias("_lines")).where(F.size("_lines") >= 2)
+    start = _body_start(F.col("_lines"))
+    parsed = parsed.select(
+        *keep,
+        _cells(F.get("_lines", F.lit(0))).alias("columns"),
+        F.slice("_lines", start, F.greatest(F.size("_lines") - start + 1, F.lit(0))).alias("_body"),
+    )
+    return _row_blocks(parsed, keep, n, text_col, _cells)
+
+
+def delimited_blocks(df: DataFrame, n: int = ROWS_PER_CHUNK, text_col: str = "content") -> DataFrame:
+    """Delimited texts cut into blocks of ``n`` rows as pipe tables, each with the header again."""
+    keep = [c for c in df.columns if c != text_col]
+    parsed = df.select(*keep, F.explode(F.array(delimited_records(F.col(text_col)))).alias("_lines")).where(F.size("_lines") >= 2)
+    parsed = parsed.select(*keep, "_lines", header_delimiter(F.get("_lines", F.lit(0))).alias("_sep"))
+    parsed = parsed.select(
+        *keep, "_sep", _delimited_cells(F.get("_lines", F.lit(0)), F.col("_sep")).alias("columns"),
+        F.slice("_lines", F.lit(2), F.size("_lines") - 1).alias("_body"),
+    )
+    return _row_blocks(parsed, keep, n, text_col, lambda l: _delimited_cells(l, F.col("_sep")))
+
+
 def markdown_fallback(df: DataFrame, text_col: str = "content") -> DataFrame:
-    """Texts with too few lines to be a table; they stay plain documents."""
-    lines = F.filter(F.split(strip(F.col(text_col)), "\n", -1), lambda l: strip(l) != "")
-    return df.where(F.size(lines) < 2)
+    """Texts with no row below a header; they stay plain documents."""
+    return df.where(markdown_rows(F.col(text_col)) == 0)

@@ -173,7 +173,6 @@ DECAY_SCALE = 10.0
 RRF_K = 60
 BM25_K1 = 1.2
 BM25_B = 0.75
-LEARN_SAMPLE = 1000
 SAMPLE_VALUES = 10
 
 # Characters that count as blank when text is stripped.
@@ -188,3 +187,9 @@ SMALL_SIDE_ROWS = 4096
 SMALL_SIDE_BYTES = 128 << 20
 # Rows of either side handled by one task in a blocked search.
 BLOCK_ROWS = 16384
+
+#: Delimiters that are looked for in a header line; earlier ones win ties.
+DELIMITERS = (",", "\t", ";", "|")
+
+#: Most bytes of a side that is broadcast.
+BROADCAST_BYTES = 64 << 20

@@ -11,27 +11,40 @@ from ..operators.chunking import split_documents
 from ..operators.documents import empty_result_message, normalize_input, route_by_type, route_question
 from ..operators.retrieval import multi_query_retrieve, parse_rewrites
 from ..operators.search import knn, threshold_filter, with_score
-from ..operators.tables import markdown_blocks
+from ..operators.tables import delimited_blocks, delimited_records, markdown_blocks, markdown_rows
 from ..operators.vectorize import Encoder, embed
 from ..params import EMBEDDING_DIM, MIN_SIMILARITY, ROWS_PER_CHUNK, TOP_K
+from ..session import materialize
 from ..sources.collections import collection_id, write_collection
 
 
 def process_files(files: DataFrame, preset="auto", rows_per_chunk: int = ROWS_PER_CHUNK, **chunking) -> tuple[DataFrame, DataFrame]:
     """Files (source, path, mime, content) to chunks (source, kind, chunk, total_chunks, content), and the refused ones.
 
-    Pipe tables are cut into blocks of rows, all other texts by the preset. Delimited
-    files have their own reader (``read_delimited``), as it needs their path.
+    Every file comes out once: pipe tables and delimited texts with a row below
+    their header as blocks of rows, other texts cut by the preset, and files
+    that have no text or need a decoder as refused, with the reason.
     """
     routed = route_by_type(files)
+    blank = F.col("content").isNull() | (F.col("content") == "")
+    routed = routed.withColumn("error", F.coalesce(
+        "error", F.when(F.col("kind") == "excel", "a workbook needs a decoder"), F.when(blank, "no content")
+    ))
+    rows = F.when(F.col("kind") == "csv", F.size(delimited_records(F.col("content"))) - 1).when(
+        F.col("kind").isin("markdown", "table_text"), markdown_rows(F.col("content"))
+    ).otherwise(0)
     kept = ["source", "kind", "content"]
-    is_table = F.col("kind").isin("markdown", "table_text")
-    tables = markdown_blocks(routed.where(is_table).select(*kept), rows_per_chunk).select(
-        "source", "kind", F.col("chunk_index").alias("chunk"), "total_chunks", "content"
+    sound = routed.where(F.col("error").isNull()).withColumn("_rows", rows)
+    parts = [
+        markdown_blocks(sound.where("_rows > 0 AND kind <> 'csv'").select(*kept), rows_per_chunk),
+        delimited_blocks(sound.where("_rows > 0 AND kind = 'csv'").select(*kept), rows_per_chunk),
+    ]
+    chunks = split_documents(sound.where("_rows <= 0").select(*kept), preset, **chunking).select(
+        "source", "kind", "chunk", "total_chunks", "content"
     )
-    texts = split_documents(routed.where(F.col("error").isNull() & ~is_table).select(*kept), preset, **chunking)
-    refused = routed.where(F.col("error").isNotNull()).select("source", "path", "error")
-    return texts.select("source", "kind", "chunk", "total_chunks", "content").unionByName(tables), refused
+    for part in parts:
+        chunks = chunks.unionByName(part.select("source", "kind", F.col("chunk_index").alias("chunk"), "total_chunks", "content"))
+    return chunks, routed.where(F.col("error").isNotNull()).select("source", "path", "error")
 
 
 def prepare_documents(
@@ -45,8 +58,12 @@ def prepare_documents(
 
 
 def add_documents(docs: DataFrame, path: str, make_encoder: Callable[[], Encoder], dim: int = EMBEDDING_DIM, **options) -> None:
-    """Chunk, embed and append; chunks whose encoding failed go to ``<path>_rejects``."""
-    done = prepare_documents(docs, make_encoder, dim=dim, **options)
+    """Chunk, embed and append; chunks whose encoding failed go to ``<path>_rejects``.
+
+    The encoder runs once: its results are written before they are split, so
+    every chunk lands in one of the two tables.
+    """
+    done = materialize(prepare_documents(docs, make_encoder, dim=dim, **options), "encoded")
     write_collection(done.where(F.col("embed_error").isNull()).drop("embed_error"), path, dim)
     done.where(F.col("embed_error").isNotNull()).select("id", "content", "embed_error").write.mode("append").parquet(
         path + "_rejects"
@@ -69,9 +86,9 @@ def ask(
     what a language model would receive.
     """
     vectors = embed(questions, make_encoder, "query", "query_vec", dim=dim).select("query_id", "query", "query_vec")
-    hits = threshold_filter(
+    hits = materialize(threshold_filter(
         with_score(knn(vectors, collection, k, doc_id=doc_id)), threshold, keep_best=True, k=k, doc_id=doc_id
-    )
+    ), "hits")
     intents = None
     if centers is not None:
         intents = classify_nearest_centroid(vectors, centers)

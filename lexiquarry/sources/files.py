@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import count_of
 from ..operators.tables import chunk_rows
-
-DELIMITERS = (",", "\t", ";", "|")
+from ..params import DELIMITERS
 
 
 def clean_utf8(raw) -> F.Column:
@@ -41,11 +40,11 @@ def detect_delimiter(spark: SparkSession, path: str) -> str:
 
 def read_delimited(
     spark: SparkSession, path: str, sep: str | None = None, schema: T.StructType | str | None = None,
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """A table with a header line. A given ``schema`` saves the pass that infers one.
 
-    ``multi_line=False`` lets Spark split large files that have no line breaks inside cells.
+    Spark splits large files. With line breaks inside cells, ``multi_line=True`` is needed, and each file is one task.
     """
     reader = (
         spark.read.option("header", "true").option("sep", sep or detect_delimiter(spark, path))
@@ -66,7 +65,7 @@ def read_docs(
     if kind == "text":
         return read_text(spark, path, options.get("glob")).select("source", "content")
     if kind == "table":
-        table = read_delimited(spark, path, options.get("sep"), options.get("schema"))
+        table = read_delimited(spark, path, options.get("sep"), options.get("schema"), options.get("multi_line", False))
         blocks = chunk_rows(table, order_by or table.columns[0], options.get("n", 5))
         return blocks.select(F.lit(path).alias("source"), "content", "chunk_index", "total_chunks", "row_start", "row_end")
     raise ValueError("kind must be text or table")
