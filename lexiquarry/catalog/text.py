@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import documents as D, retrieval as R, vectorize as V
+from ..operators.search import knn
 from ..params import RETRIEVAL_INSTRUCTION
 from ..session import materialize
 from . import sql as S
-from .registry import documents, query, table
+from .registry import documents, query, query_vectors, table, vectors
 
 # The SQL equivalents of the stop-word queries name these common words, given as a parameter.
 COMMON = ("the", "of", "and", "to", "in", "is", "on", "that", "by", "for", "with", "as", "at", "are", "be")
@@ -123,7 +124,7 @@ def bm25(spark, folder):
 
 
 @query("hybrid_fuse", f"""
-    WITH {S.bm25('l', 10)}, {S.bm25('r', 10, b=0.0)},
+    WITH {S.bm25('l', 10)}, {S.knn('r', 10, 'q.vec_id IN (SELECT item_id FROM benchmark)')},
     fused AS (
       SELECT query_id, doc_id, coalesce(1.0 / (60 + l.rank), 0)::DOUBLE + coalesce(1.0 / (60 + r.rank), 0)::DOUBLE AS score
       FROM l FULL JOIN r USING (query_id, doc_id)
@@ -132,8 +133,10 @@ def bm25(spark, folder):
            row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::BIGINT AS rank
     FROM fused QUALIFY rank <= 10""")
 def hybrid_fuse(spark, folder):
+    """Keyword hits merged with the nearest vectors; a question's vector is the one with its id."""
     asked, docs = questions(spark, folder), documents(spark, folder)
-    fused = R.hybrid_fuse(R.bm25(asked, docs, 10), R.bm25(asked, docs, 10, b=0.0), 10)
+    asked_vectors = query_vectors(spark, folder).join(asked.select("query_id"), "query_id", "left_semi")
+    fused = R.hybrid_fuse(R.bm25(asked, docs, 10), knn(asked_vectors, vectors(spark, folder), 10), 10)
     return fused.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 

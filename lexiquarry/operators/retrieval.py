@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import document_identity, strip, tokens
@@ -30,9 +35,10 @@ def bm25(
     """Top k documents per query by BM25: (query, doc, score, rank); ties by doc id.
 
     Tokens of the corpus meet the distinct query terms before the only large
-    shuffle, by document. Counting, scoring and the sum per (query, document)
-    all use that partitioning; after it only the k best documents per query
-    and task travel. Every document also sends one empty token, so the number
+    shuffle, by document. Counting and scoring use that partitioning, and only
+    the k best documents per query and task leave it: pairs of a query and a
+    document are never rows. (With more than BROADCAST_ROWS query terms, the
+    sums per pair are made by joins instead.) Every document also sends one empty token, so the number
     of documents and their mean length come from the same pass.
     """
     def usable(ts: Column) -> Column:
@@ -64,16 +70,18 @@ def bm25(
     # both uses of ``frequency`` need the same columns, and its shuffle is run once.
     weights = frequency.select("term", F.when(F.col("term") == "", F.col("mean")).otherwise(idf).alias("idf"))
     weighted = terms.join(mark(weights), "term")
-    # The part of the gain that depends on the document is computed once, before queries multiply the rows.
+    # The part of the gain that depends on the document is computed once, before queries multiply it.
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * (1 - b + b * F.col("len") / mean_len))
-    scores = (
-        postings.select(doc_id, "term", part.alias("part"))
-        .join(mark(weighted), "term")
-        .groupBy(query_id, doc_id)
-        .agg(F.sum(F.col("idf") * F.col("part")).alias("_score"))
-        # The same parts may be added in another order; equal scores must stay equal.
-        .withColumn("score", F.round("_score", 9))
-    )
+    parts = postings.select(doc_id, "term", part.alias("part"))
+    if few_terms:
+        scores = _best_in_task(parts, weighted, k, query_id, doc_id)
+    else:
+        scores = (
+            parts.join(weighted, "term").groupBy(query_id, doc_id)
+            .agg(F.sum(F.col("idf") * F.col("part")).alias("_score"))
+            # The same parts may be added in another order; equal scores must stay equal.
+            .withColumn("score", F.round("_score", 9))
+        )
     best = Window.partitionBy(query_id).orderBy(F.col("score").desc(), doc_id)
     return (
         scores.withColumn("rank", F.row_number().over(best))
@@ -82,6 +90,83 @@ def bm25(
     )
 
 
+#: Pairs of a question and a document that are summed at a time in a task.
+PAIRS_AT_ONCE = 2_000_000
+
+
+def _best_in_task(parts: DataFrame, weighted: DataFrame, k: int, query_id: str, doc_id: str) -> DataFrame:
+    """The ``k`` best documents per question of every task: (query, doc, score).
+
+    parts: (doc, term, part), all rows of a document in one partition;
+    weighted: (query, term, idf) of a number of terms that has been checked.
+    Sums of a question and a document exist only as arrays of one block of
+    documents, so no row per pair leaves the task or is shuffled.
+    """
+    rows = weighted.select(query_id, "term", "idf").toPandas()
+    query_kind, doc_kind = (d.schema[c].dataType.simpleString() for d, c in ((weighted, query_id), (parts, doc_id)))
+    order = np.argsort(rows["term"].to_numpy(object), kind="stable")
+    rows = rows.iloc[order]
+    queries, who = np.unique(rows[query_id].to_numpy(), return_inverse=True)
+    names, first = np.unique(rows["term"].to_numpy(object), return_index=True)
+    model = parts.sparkSession.sparkContext.broadcast(
+        ({t: i for i, t in enumerate(names)}, np.append(first, len(rows)), who, rows["idf"].to_numpy(float), queries)
+    )
+
+    def best(who: np.ndarray, score: np.ndarray, at: np.ndarray):
+        """Of rows in document order, the k best of each question."""
+        order = np.lexsort((at, -score, who))
+        who, score, at = who[order], score[order], at[order]
+        start = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.zeros(0, int)
+        rank = np.arange(len(who)) - np.repeat(start, np.diff(np.r_[start, len(who)]))
+        return who[rank < k], score[rank < k], at[rank < k]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, first, who, idf, queries = model.value
+        ids, kept = None, (np.zeros(0, int), np.zeros(0), np.zeros(0, int))
+
+        def add(docs: pa.Array, term: np.ndarray, part: np.ndarray) -> None:
+            """Score whole documents; rows of one stand together."""
+            nonlocal ids, kept
+            codes = docs.dictionary_encode()
+            place = codes.indices.to_numpy()
+            base = len(ids) if ids is not None else 0
+            width = first[term + 1] - first[term]
+            at = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(first[term], width)
+            key, of = np.unique(np.repeat(place, width) * np.int64(len(queries)) + who[at], return_inverse=True)
+            score = np.round(np.bincount(of, idf[at] * np.repeat(part, width), minlength=len(key)), 9)
+            found = best(key % len(queries), score, key // len(queries) + base)
+            ids = codes.dictionary if ids is None else pa.concat_arrays([ids, codes.dictionary])
+            kept = best(*[np.concatenate(x) for x in zip(kept, found)])
+            used, place = np.unique(kept[2], return_inverse=True)
+            ids, kept = ids.take(pa.array(used)), (kept[0], kept[1], place)
+
+        rest = None
+        for batch in itertools.chain(batches, [None]):
+            table = pa.Table.from_batches([x for x in (rest, batch) if x is not None]).combine_chunks() if batch is not None or rest is not None else None
+            if table is None or not len(table):
+                continue
+            docs = table[doc_id].combine_chunks() if len(table) else None
+            docs = docs if isinstance(docs, pa.Array) else docs.chunk(0)
+            codes = docs.dictionary_encode().indices.to_numpy()
+            term = np.array([terms.get(t, -1) for t in table["term"].to_pylist()])
+            part = table["part"].to_numpy()
+            # The last document may go on in the next batch.
+            stop = len(docs) if batch is None else int(np.searchsorted(codes, codes[-1]))
+            rest = table.slice(stop).combine_chunks().to_batches()[0] if stop < len(docs) else None
+            width = np.where(term >= 0, first[term + 1] - first[term], 0)[:stop]
+            piece = np.cumsum(width) // PAIRS_AT_ONCE
+            edges = np.flatnonzero(np.r_[True, codes[1:stop] != codes[: stop - 1]]) if stop else np.zeros(0, int)
+            cuts = [0, *[int(e) for e, new in zip(edges[1:], np.diff(piece[edges])) if new], stop]
+            for low, high in zip(cuts, cuts[1:]):
+                use = np.flatnonzero(term[low:high] >= 0) + low
+                if len(use):
+                    add(docs.take(pa.array(use)), term[use], part[use])
+        if ids is not None and len(kept[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(queries[kept[0]]), ids.take(pa.array(kept[2])), pa.array(kept[1])], [query_id, doc_id, "score"])
+
+    return parts.sortWithinPartitions(doc_id).mapInArrow(run, f"`{query_id}` {query_kind}, `{doc_id}` {doc_kind}, score DOUBLE")
+
+
 def hybrid_fuse(
     left: DataFrame,
     right: DataFrame,
