@@ -46,3 +46,18 @@ def test_exact_quantile_with_a_hot_value(spark):
     for q in (0.0, 0.25, 0.6, 0.95, 1.0):
         want = df.agg(F.percentile("value", q)).head()[0]
         assert abs(exact_quantile(df, q).head().quantile - want) < 1e-9
+
+
+def test_keys_with_a_common_beginning_are_spread(spark):
+    from lexiquarry.operators.numbering import _ranged
+
+    keys = spark.range(4000).select(F.concat(F.lit("https://example.org/"), F.hex(F.xxhash64("id"))).alias("k"))
+    sizes = [r["count"] for r in _ranged(keys, "k", 8).groupBy("_range").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1000
+
+
+def test_nan_and_null_have_places(spark):
+    values = [3.0, float("nan"), None, 1.0, float("inf"), float("-inf"), 2.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [repr(r.v) for r in number_rows(df, "v", ranges=4).orderBy("rn").collect()]
+    assert got == ["None", "-inf", "1.0", "2.0", "3.0", "inf", "nan"]

@@ -243,3 +243,54 @@ def test_pooling(spark):
         [(1, 0, 1, [1.0, 0.0]), (1, 1, 1, [3.0, 2.0]), (1, 2, 0, [9.0, 9.0])], "doc_id int, pos int, mask int, vec array<double>"
     )
     assert V.mean_pool(tokens).head().vec == [2.0, 1.0] and V.cls_pool(tokens).head().vec == [1.0, 0.0]
+
+
+def test_keyword_ranking_is_the_same_either_way(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randrange(0, 30)))) for i in range(300)], "doc_id long, content string")
+    asked = spark.createDataFrame([(i, " ".join(rng.choices(words + ["zz"], k=4))) for i in range(20)], "query_id long, query string").repartition(3)
+    few = sorted(map(tuple, R.bm25(asked, docs, 5).collect()))
+    monkeypatch.setattr(R, "PAIRS_AT_ONCE", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "23")
+    try:
+        assert sorted(map(tuple, R.bm25(asked, docs, 5).collect())) == few
+        leaving = R.bm25(asked, docs, 5)._jdf.queryExecution().toString()
+        assert "MapInArrow" in leaving
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 3)
+    assert sorted(map(tuple, R.bm25(asked, docs, 5).collect())) == few
+
+
+def test_newest_version_wins(spark):
+    from lexiquarry.operators.documents import upsert_collection
+
+    old = spark.createDataFrame([(1, "x", None), (2, "y", 1), (3, "z", 5), (4, "k", 1)], "key int, value string, version int")
+    new = spark.createDataFrame([(2, "y2", 1), (3, "z2", None), (5, "n", None)], "key int, value string, version int")
+    got = {r.key: r.value for r in upsert_collection(old, new, "key", "version").collect()}
+    assert got == {1: "x", 2: "y2", 3: "z", 4: "k", 5: "n"}
+
+
+def test_documents_are_encoded_once_and_none_is_lost(spark, tmp_path):
+    from lexiquarry.plans.flows import add_documents
+
+    calls = str(tmp_path / "calls")
+
+    def make():
+        def encode(texts):
+            import os
+
+            number = os.path.getsize(calls) if os.path.exists(calls) else 0
+            with open(calls, "ab") as out:
+                out.write(b"x" * len(texts))
+            if number % 2:
+                raise ValueError("every other call fails")
+            return [[1.0] * 4 for _ in texts]
+        return encode
+
+    docs = spark.createDataFrame([(i, f"s{i}", f"text {i}") for i in range(9)], "doc_id long, source string, content string").repartition(1)
+    add_documents(docs, str(tmp_path / "stored"), make, 4)
+    stored = spark.read.parquet(str(tmp_path / "stored")).count()
+    rejected = spark.read.parquet(str(tmp_path / "stored_rejects")).count()
+    assert stored + rejected == 9

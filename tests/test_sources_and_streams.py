@@ -26,10 +26,10 @@ def test_bad_bytes_are_dropped(spark, tmp_path):
 def test_delimiters_types_and_quotes(spark, tmp_path, sep):
     path = tmp_path / "t.csv"
     path.write_text(sep.join(["id", "price", "note"]) + "\n" + sep.join(["1", "2.5", '"two\nlines ""q"""']) + "\n" + sep.join(["2", "3", ""]) + "\n")
-    df = P.read_delimited(spark, str(path))
+    df = P.read_delimited(spark, str(path), multi_line=True)
     assert [f.dataType.typeName() for f in df.schema] == ["integer", "double", "string"]
     assert sorted(map(tuple, df.collect())) == [(1, 2.5, 'two\nlines "q"'), (2, 3.0, None)]
-    blocks = P.read_docs(spark, str(path), "table", "id", n=1)
+    blocks = P.read_docs(spark, str(path), "table", "id", n=1, multi_line=True)
     assert blocks.count() == 2 and "content" in blocks.columns
 
 

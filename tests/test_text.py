@@ -103,7 +103,7 @@ def test_markdown_tables(spark):
     ]
     named = M.read_markdown_table(df, columns=["b", "zz"]).where("id = 0").orderBy("row_no").collect()
     assert [(r.b, r.zz) for r in named] == [("2", None), ("", None), ("5", None)]
-    assert [r.id for r in M.markdown_fallback(df).collect()] == [3]
+    assert sorted(r.id for r in M.markdown_fallback(df).collect()) == [2, 3]
 
 
 def test_table_texts_in_blocks(spark):
@@ -128,6 +128,29 @@ def test_process_files(spark):
     assert [r.error for r in refused.collect()] == ["unsupported type: image/png"]
 
 
+def test_every_file_comes_out_once(spark):
+    from lexiquarry.plans.flows import process_files
+
+    csv = 'name;note\n"a;1";"line\none ""x"""\n\n' + "\n".join(f"r{i};{i}" for i in range(6)) + "\nshort"
+    files = spark.createDataFrame([
+        ("csv", "/a.csv", None, csv), ("tab", "/b.CSV", None, "a\tb\n1\t\n\t2"), ("lone", "/c.csv", None, "only a header"),
+        ("xls", "/d.xlsx", None, "PK"), ("line", "/e.md", None, "x |-|- y"), ("head", "/f.md", None, "| h1 | h2 |\n|---|---|"),
+        ("none", "/g.txt", None, None), ("empty", "/h.csv", None, ""), ("text", "/i.txt", None, "words"),
+    ], "source string, path string, mime string, content string")
+    chunks, refused = process_files(files, size=100, overlap=0)
+    rows = chunks.orderBy("source", "chunk").collect()
+    assert sorted({r.source for r in rows} | {r.source for r in refused.collect()}) == sorted(r.source for r in files.collect())
+    assert {r.source: r.error for r in refused.collect()} == {"xls": "a workbook needs a decoder", "none": "no content", "empty": "no content"}
+    blocks = [(r.chunk, r.total_chunks, r.content) for r in rows if r.source == "csv"]
+    assert [b[:2] for b in blocks] == [(0, 2), (1, 2)]
+    assert blocks[0][2].startswith('| name | note |\n| --- | --- |\n| a;1 | line\none "x" |\n| r0 | 0 |')
+    assert blocks[1][2].endswith("| r5 | 5 |\n| short |  |")
+    assert [r.content for r in rows if r.source == "tab"] == ["| a | b |\n| --- | --- |\n| 1 |  |\n|  | 2 |"]
+    assert {r.source: r.content for r in rows if r.source in ("lone", "line", "head", "text")} == {
+        "lone": "only a header", "line": "x |-|- y", "head": "| h1 | h2 |\n|---|---|", "text": "words",
+    }
+
+
 def test_chunk_rows_with_nulls_and_sources(spark):
     df = spark.createDataFrame(
         [("s", i, None if i == 2 else f"v{i}") for i in range(7)] + [("t", 1, "x")], "src string, k int, v string"
