@@ -190,13 +190,13 @@ def process_files(spark, folder):
 
 @query("ask")
 def ask(spark, folder):
-    """Every ``benchmark`` text asked against all documents: route, hits and prompt."""
+    """Every ``benchmark`` text asked against all documents: route, number of hits, prompt, and the answer without hits."""
     asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     docs = V.embed(documents(spark, folder), _encoder, dim=64).withColumn(
         "metadata", F.create_map(F.lit("source"), F.col("source"))
     )
     out = flows.ask(asked, docs.select("doc_id", "content", "embedding", "metadata"), _encoder, dim=64)
-    return out.select("query_id", "route", "n_hits", F.length("prompt").alias("prompt_chars"), "answer")
+    return out.select("query_id", "route", "n_hits", "prompt", "answer")
 
 
 @query("enhanced_retrieval")

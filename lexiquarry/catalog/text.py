@@ -80,10 +80,11 @@ def tfidf_transform(spark, folder):
     )
 
 
-@query("word2vec_fit")
+@query("word2vec_fit", f"""
+    SELECT DISTINCT unnest({S.tokens('text')}) AS word, 100::BIGINT AS dim FROM documents""")
 def word2vec_fit(spark, folder):
-    model = V.word2vec_fit(documents(spark, folder), vector_size=32, min_count=5)
-    return V.word_table(model).select("word", F.size("vec").alias("dim"))
+    """The words that have a vector, and its width; vectors themselves depend on the order of training."""
+    return V.word_table(V.word2vec_fit(documents(spark, folder))).select("word", F.size("vec").cast("bigint").alias("dim"))
 
 
 @query("embed", r"""
