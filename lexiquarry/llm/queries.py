@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import work_path
-from . import ann, jaccard, licenses, lines, mixing, packing, pii, quality, toxicity, warc
+from . import ann, jaccard, licenses, lines, mixing, packing, pii, quality, sql, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,9 +40,9 @@ def op1(spark, folder):
     return pii.replace_entities(table(spark, folder, "documents").select("doc_id", "text"))
 
 
-@query("op2_ngram_jaccard")
+@query("op2_ngram_jaccard", sql.SIMILAR)
 def op2(spark, folder):
-    return jaccard.similarity_classes(table(spark, folder, "documents").select("doc_id", "text"))
+    return jaccard.similarity_classes(table(spark, folder, "documents").select("doc_id", "text")).drop("text_hash")
 
 
 @query("op3_best_fit_packing")
@@ -56,7 +56,7 @@ def op4(spark, folder):
     return lines.drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
 
 
-@query("op5_warc_index")
+@query("op5_warc_index", sql.ARCHIVES)
 def op5(spark, folder):
     store = work_path(spark, "warc")
     index = warc.write_archives(warc.mark_revisits(table(spark, folder, "pages")), store)
@@ -65,13 +65,13 @@ def op5(spark, folder):
     )
 
 
-@query("op6_license_scan")
+@query("op6_license_scan", sql.LICENSES)
 def op6(spark, folder):
     found = licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "permissive")
 
 
-@query("op7_quality_rules")
+@query("op7_quality_rules", sql.QUALITY)
 def op7(spark, folder):
     return quality.judge(table(spark, folder, "documents").select("doc_id", "text", "lang", "source")).drop("lang", "source")
 
@@ -88,7 +88,7 @@ def op9(spark, folder):
     return ann.neighbours(table(spark, folder, "embeddings"))
 
 
-@query("op10_mix_sources")
+@query("op10_mix_sources", sql.MIX)
 def op10(spark, folder):
     mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
