@@ -360,11 +360,12 @@ def similarity_classes(docs: DataFrame, text: str = "text", key: str = "doc_id",
     first = settle(components(known, n_known), "components", n_known)
 
     labelled = lists.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_lists = labelled.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("token")
-    still = materialize(labelled.join(open_lists, "token", "left_semi").select("node", "size", "component", "low"), "open")
-    # What meets in open lists forms groups; each set is sent to its group once, however many lists it is in.
-    groups = components(still.select("node", "low"), still.count(), "node", "low").select("node", F.col("component").alias("group"))
-    placed = settle(still.select("node", "size", "component").distinct().join(groups, "node"), "placed", count)
+    open_lists = labelled.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("token", "c1")
+    still = materialize(labelled.join(open_lists, "token").select("node", "size", "component", "c1"), "open")
+    # Components that meet in open lists form groups; each set is sent to its group once, however many lists it is in.
+    meet = settle(still.select("component", "c1").distinct(), "meet", count)
+    groups = components(meet, meet.count(), "component", "c1").select(F.col("node").alias("component"), F.col("component").alias("group"))
+    placed = settle(still.select("node", "size", "component").distinct().join(groups, "component"), "placed", count)
     cross = materialize(_cross_links(placed, sets, percent, count), "cross")
     links = known.unionAll(cross)
     found = components(links, links.count())
