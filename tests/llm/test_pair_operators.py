@@ -153,12 +153,14 @@ def test_fuzzy_lines(spark):
     out = lines.drop_repeated_lines(docs).collect()
     forms = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw")).select(
         "doc_id", "pos", lines.normal_form(F.col("raw")).alias("form")
-    ).where(F.size(F.split("form", " ")) >= lines.LEAST_WORDS).withColumn("signature", lines.simhash(F.split("form", " "))).collect()
+    ).withColumn("words", F.split("form", " "))
+    forms = lines.with_simhash(forms).collect()
+    hash_of = dict(map(tuple, spark.createDataFrame([(w,) for w in {w for r in forms for w in r.form.split(" ")}], "w string").select("w", F.xxhash64("w")).collect()))
     for r in forms:  # the signature itself
-        hashes = [x[0] for x in spark.createDataFrame([(w,) for w in r.form.split(" ")], "w string").select(F.xxhash64("w")).collect()] if r.pos == 0 and r.doc_id in (4, 5) else None
-        if hashes:
-            bits = sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
-            assert r.signature & (1 << 64) - 1 == bits
+        hashes = [hash_of[w] for w in r.form.split(" ")]
+        assert len(hashes) >= 4
+        bits = sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+        assert r.signature & (1 << 64) - 1 == bits
     distinct = sorted({(r.form, r.signature) for r in forms})
 
     def linked(x, y):
