@@ -39,11 +39,23 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
+# What every entity has at least: a digit or a sign, a prefix or the title of a name. Texts without are not scanned further.
+_HINT = "[0-9@=:]"
+
 # Letters of invented names; the last one tells the gender.
 _ONSET, _NUCLEUS = "bdfgklmnprstvz", "aeiou"
 _CYRILLIC = ("abdefgiklmnoprstuvzABDEFGIKLMNOPRSTUVZ", "абдефгиклмнопрстувзАБДЕФГИКЛМНОПРСТУВЗ")
 
 
+def may_hold(text: Column) -> Column:
+    """False only for texts that hold no entity; looks for single characters and plain words."""
+    hint = text.rlike(_HINT) | text.contains("AKIA")
+    for titles in TITLES.values():
+        for title in titles:
+            hint = hint | text.contains(title)
+    return hint
+
+
 def kind_of(entity: Column) -> Column:
     return F.coalesce(*[F.when(entity.rlike(f"^(?:{p})$"), k) for k, p in PATTERNS.items()], F.lit("name"))
 
@@ -173,7 +185,7 @@ def replace_entities(docs: DataFrame, text: str = "text", key_column: str = "doc
     docs = docs.drop(*[c for c in ("n_entities", "kinds") if c in docs.columns])
     row, found = fresh(docs, "_row"), fresh(docs, "_found")
     mark = F.xxhash64(F.col(text), F.col(key_column))
-    has = F.col(text).rlike(ANY)
+    has = may_hold(F.col(text)) & F.col(text).rlike(ANY)
     spotted = docs.where(has).select(mark.alias("row"), F.explode(F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))).alias("entity"))
     spotted = spotted.withColumn("kind", kind_of(F.col("entity"))).withColumn("canon", canonical(F.col("entity"), F.col("kind")))
     spotted = materialize(spotted.groupBy("row", "kind", "canon").agg(F.min("entity").alias("written")), "entities")
