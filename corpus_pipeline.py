@@ -18,7 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without the lines that stand elsewhere; those of which nothing is left go."""
-    left = lines.drop_repeated_lines(docs)
+    left = lines.drop_near_lines(docs)
     return left.where((F.col("n_removed") == 0) | (F.col("text") != "")).withColumn(
         "n_chars", F.length("text").cast("bigint")
     ).select(*COLUMNS)

@@ -53,7 +53,7 @@ def op3(spark, folder):
 
 @query("op4_fuzzy_lines")
 def op4(spark, folder):
-    return lines.drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return lines.drop_near_lines(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 @query("op5_warc_index", sql.ARCHIVES)
