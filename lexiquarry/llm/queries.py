@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import work_path
-from . import ann, jaccard, licenses, lines, mixing, packing, pii, quality, sql, toxicity, warc
+from . import ann, extract, jaccard, licenses, lines, mixing, packing, pii, quality, repair, sql, toxicity, trie, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,18 @@ def op9(spark, folder):
 def op10(spark, folder):
     mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op11_prefix_trie", sql.TRIE)
+def op11(spark, folder):
+    return trie.prefix_trie(trie.with_openings(trie.number_turns(table(spark, folder, "conversations"))))
+
+
+@query("op12_repair_conversations", sql.REPAIR)
+def op12(spark, folder):
+    return repair.report(repair.repair(repair.damage(table(spark, folder, "conversations"))))
+
+
+@query("op13_main_text")
+def op13(spark, folder):
+    return extract.with_main_text(table(spark, folder, "pages").select("page_id", "url", "html")).drop("html")

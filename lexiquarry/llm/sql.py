@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from . import licenses, mixing, quality
+from . import licenses, mixing, quality, repair
 
 #: ASCII white space ends a word.
 WORD = r"'[^\x20\x09-\x0D]+'"
@@ -159,3 +159,128 @@ MIX = f"""
     )
     SELECT doc_id, size, p.source_size, p.target, size * (times + CASE WHEN bits < coalesce(cut, 0) THEN 1 ELSE 0 END) AS taken
     FROM d JOIN p ON p.source IS NOT DISTINCT FROM d.source LEFT JOIN cuts c ON c.source IS NOT DISTINCT FROM d.source"""
+
+
+def _crc_table() -> list[int]:
+    """CRC-32 of each byte, by its polynomial."""
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        out.append(value)
+    return out
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of ASCII text."""
+    steps = f"list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT))"
+    return f"xor(list_reduce({steps}, lambda a, b: xor(a >> 8, ({_crc_table()}::BIGINT[])[(xor(a, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+TRIE = f"""
+    WITH t AS (
+      SELECT conv_id::BIGINT AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+      FROM conversations WHERE conv_id IS NOT NULL
+    ),
+    ids AS (SELECT c, {_crc("c::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+    built AS (
+      SELECT i.c, 0 AS part, place, role, text FROM ids i JOIN t ON t.c = i.c - i.c % 20 AND place <= h
+      UNION ALL SELECT i.c, 1, place, role, text FROM ids i JOIN t ON t.c = i.c AND place > h
+    ),
+    paths AS (
+      SELECT i.c, coalesce(list({{'role': role, 'text': text}} ORDER BY part, place) FILTER (text IS NOT NULL), []) AS p
+      FROM ids i LEFT JOIN built b ON b.c = i.c GROUP BY i.c
+    ),
+    members AS (SELECT c, d, p[1:d] AS k, len(p) = d AS ended FROM (SELECT c, p, unnest(range(0, len(p) + 1)) AS d FROM paths)),
+    nodes AS (
+      SELECT d, k, min(c) AS least, count(*) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ended), '') AS ends,
+             CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(k[d].text, {WORD})) END AS saved
+      FROM members GROUP BY d, k
+    ),
+    kids AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+    below AS (
+      SELECT a AS d, k[1:a] AS k, sum(saved) AS saved, sum(leaf) AS leaves
+      FROM (SELECT n.k, n.saved, CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END AS leaf, unnest(range(0, n.d + 1)) AS a
+            FROM nodes n LEFT JOIN kids ON kids.d = n.d AND kids.k = n.k) GROUP BY ALL
+    )
+    SELECT n.least AS conv_id, n.d AS depth, up.least AS parent_conv_id, n.n AS n_convs, coalesce(kids.n, 0)::BIGINT AS n_children,
+           below.leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+    FROM nodes n JOIN below ON below.d = n.d AND below.k = n.k LEFT JOIN kids ON kids.d = n.d AND kids.k = n.k
+    LEFT JOIN nodes up ON up.d = n.d - 1 AND up.k = n.k[1:n.d - 1]"""
+
+
+def _ways(to: int) -> str:
+    """The ways of one row to a position of the role pattern, as a list of cost, edits and repaired lines."""
+    out = []
+    line = "|| chr(10) || {} || ':' || {}"
+    for x in range(4):
+        y, added, lines = x, "", ""
+        for k in range(3):
+            for op in "DKR":
+                ends = [y] if op == "D" else [v for (u, _), v in repair._KEEP.items() if u == y and v == to] if op == "K" else [repair._NEXT[y]]
+                if to not in ends:
+                    continue
+                when, more, cost = f"s[{x + 1}] IS NOT NULL", "", str(k * repair.COST["I"] + repair.COST[op])
+                if op != "D":
+                    initial = next((i for (u, i), v in repair._KEEP.items() if (u, v) == (y, to)), "")
+                    when += " AND fault NOT IN ('blank', 'duplicate')" + (f" AND role[1] = '{initial}'" if op == "K" else "")
+                    more = line.format("role" if op == "K" else f"'{repair._NAME[to]}'", "text")
+                    cost += " + (fault = 'truncated')::INT"
+                out.append(
+                    f"CASE WHEN {when} THEN {{'cost': s[{x + 1}].cost + {cost}, 'edits': s[{x + 1}].edits || '{added}{op}', 'lines': s[{x + 1}].lines {lines} {more}}} END"
+                )
+            y, added = repair._NEXT[y], added + "I"
+            lines += line.format(f"'{repair._NAME[y]}'", "''")
+    return f"list_sort(list_filter([{', '.join(out) or 'NULL'}], lambda w: w IS NOT NULL))[1]"
+
+
+def _last_ways() -> str:
+    out = []
+    for x in range(4):
+        y, added, lines = x, "", ""
+        for k in range(3):
+            if y in repair._DONE:
+                out.append(
+                    f"CASE WHEN s[{x + 1}] IS NOT NULL THEN {{'cost': s[{x + 1}].cost + {k * repair.COST['I']}, 'edits': s[{x + 1}].edits || '{added}', 'lines': s[{x + 1}].lines {lines}}} END"
+                )
+            y, added = repair._NEXT[y], added + "I"
+            lines += f"|| chr(10) || '{repair._NAME[y]}:'"
+    return f"list_sort(list_filter([{', '.join(out)}], lambda w: w IS NOT NULL))[1]"
+
+
+_WAY = "STRUCT(cost BIGINT, edits VARCHAR, lines VARCHAR)"
+REPAIR = f"""
+    WITH RECURSIVE k AS (
+      SELECT conv_id::BIGINT AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations
+    ),
+    damaged AS (
+      SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM (SELECT *, unnest(range(0, CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM k)
+    ),
+    placed AS (
+      SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) AS nth
+      FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged)
+    ),
+    rows AS (
+      SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+                     WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+             lag(role[1]) OVER (PARTITION BY c ORDER BY i) || role[1] AS pair FROM placed
+    ),
+    ways AS (
+      SELECT c, 0::BIGINT AS i, [{{'cost': 0, 'edits': '', 'lines': ''}}, NULL, NULL, NULL]::{_WAY}[] AS s FROM (SELECT DISTINCT c FROM k)
+      UNION ALL
+      SELECT w.c, w.i + 1, [{", ".join(_ways(to) for to in range(4))}]::{_WAY}[] FROM ways w JOIN rows r ON r.c IS NOT DISTINCT FROM w.c AND r.i = w.i + 1
+    ),
+    ended AS (SELECT c, {_last_ways()} AS best FROM ways QUALIFY row_number() OVER (PARTITION BY c ORDER BY i DESC) = 1),
+    counts AS (
+      SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+             count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+             count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY c
+    )
+    SELECT e.c AS conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+           coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, best.cost::BIGINT AS cost, best.edits AS audit,
+           sha256(best.lines[2:]) AS repaired_sha256
+    FROM ended e LEFT JOIN counts n ON n.c IS NOT DISTINCT FROM e.c"""
