@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import materialize
 
-#: Most bytes, as Spark estimates them from files, that a side may have to be broadcast.
-BROADCAST_BYTES = 32 << 20
+#: Most bytes in memory, as estimated from rows and their width, that a side may have to be broadcast.
+BROADCAST_BYTES = 8 << 20
+#: Bytes a row of a hash table has besides its values.
+ROW_BYTES = 40
+
+
+def _width(kind: T.DataType, value_bytes: float) -> float:
+    """Bytes of a value in memory; texts and arrays are at least as large as in the files, which compress them."""
+    if isinstance(kind, T.StructType):
+        return sum(_width(f.dataType, value_bytes) for f in kind)
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StringType, T.BinaryType)):
+        return 24 + 4 * value_bytes
+    return 8
 
 
 def bounded_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark a table that has been written for broadcast if its files are small; otherwise Spark joins by shuffle."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return F.broadcast(df) if size <= most else df
+    """Mark a table that has been written for broadcast if its rows need little memory; otherwise Spark joins by shuffle.
+
+    Rows are counted from the files' footers. Files are compressed, so their bytes say how wide a row is at least.
+    """
+    files = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if files > most:
+        return df
+    rows = df.count()
+    width = ROW_BYTES + sum(_width(f.dataType, files / max(rows, 1)) for f in df.schema)
+    return F.broadcast(df) if rows * width <= most else df
 
 
 #: Rows of a narrow table that one file gets.
