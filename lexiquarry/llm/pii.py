@@ -19,23 +19,32 @@ KEY = "public-test-key"
 TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Госпожа"),
     "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"),
+    "": ("Dr", "Prof"),
 }
+#: The words of a name are entities of their own: first names by gender, and the last word.
+NAME_KINDS = ("first-f", "first-m", "surname")
+#: Fixed: how many digits the country code of an international number has, by its first digits.
+_COUNTRY = r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})"
 
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _GAP = r"[ .-]?"
+_HEX, _OCTET = "[0-9A-Fa-f]{1,4}", "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+#: A word of a name; parts after a hyphen or an apostrophe belong to it.
+_NAME_WORD = r"\p{Lu}[\p{L}\p{M}]*+(?:['’-]\p{L}[\p{L}\p{M}]*+)*+"
 #: Types in the order in which they are tried, as Java patterns. Every start is anchored, so a text is scanned once.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
     r"|(?<![A-Za-z])(?i:api[_-]?key|token|password|passwd|secret)[ ]?[=:][ ]?\"?[A-Za-z0-9_+/-]{8,}+\"?",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
+    "ip6": rf"(?<![0-9A-Za-z:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{2,6}}(?::{_HEX}){{1,5}})(?![0-9A-Za-z:])",
+    "ip": rf"(?<![0-9A-Za-z.])(?<!(?i:version|release|build|ver\.) {{1,2}})(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": rf"(?<![0-9A-Za-z])(?:\+[0-9]{{1,3}}{_GAP})?\([0-9]{{2,5}}\){_GAP}[0-9]{{2,4}}(?:{_GAP}[0-9]{{2,4}}){{1,3}}(?![0-9])"
     rf"|(?<![0-9A-Za-z])\+[0-9]{{1,3}}(?:{_GAP}[0-9]{{2,4}}){{2,5}}(?![0-9])"
     r"|(?<![0-9A-Za-z.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)?",
+    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME_WORD}(?: {_NAME_WORD}){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -61,12 +70,26 @@ def kind_of(entity: Column) -> Column:
 
 
 def canonical(entity: Column, kind: Column) -> Column:
-    """One form for the ways in which an entity is written: no case in addresses, digits only in numbers."""
-    return F.when(kind == "email", F.lower(entity)).when(
+    """One form for the ways in which an entity is written: no case in addresses and names, digits only in numbers."""
+    return F.when(kind.isin("email", "ip6", *NAME_KINDS), F.lower(entity)).when(
         kind.isin("card", "ssn", "phone"), F.regexp_replace(entity, "[^0-9]", "")
     ).when(kind == "iban", F.regexp_replace(entity, " ", "")).when(
         kind == "secret", F.regexp_replace(entity, r"^(?i:[a-z_-]+)[ ]?[=:][ ]?\"?|\"$", "")
-    ).when(kind == "name", F.regexp_replace(entity, rf"^(?:{_TITLE})\.? ", "")).otherwise(entity)
+    ).otherwise(entity)
+
+
+def pieces(entity: Column, kind: Column) -> Column:
+    """kind, canon, written of what is replaced on its own: the words of a name, any other entity as a whole.
+
+    So a person who is first named in full and then by the last name keeps one surrogate for it.
+    """
+    words = F.split(F.regexp_replace(entity, rf"^(?:{_TITLE})\.? ", ""), " ")
+    first = F.when(F.regexp_extract(entity, rf"^({_TITLE})", 1).isin(*TITLES["f"]), "first-f").otherwise("first-m")
+    named = F.transform(words, lambda w, i: F.struct(
+        F.when(i == F.size(words) - 1, "surname").otherwise(first).alias("kind"), F.lower(w).alias("canon"), w.alias("written")
+    ))
+    whole = F.array(F.struct(kind.alias("kind"), canonical(entity, kind).alias("canon"), entity.alias("written")))
+    return F.when(kind == "name", named).otherwise(whole)
 
 
 def _digest(key: str, kind: Column, canon: Column, salt: Column) -> Column:
@@ -81,17 +104,19 @@ def _number(digest: Column, place: Column | int, below: int) -> Column:
 
 
 def _like(text: Column, digest: Column, hexadecimal: Column) -> Column:
-    """Every ASCII letter and digit of a text replaced by one of its class; the n-th alike however they are spaced."""
+    """Every letter and digit of a text replaced by one of its class and script; the n-th alike however they are spaced."""
     letters = F.lit("abcdefghijklmnopqrstuvwxyz")
 
     def step(state: Column, char: Column) -> Column:
-        place, known = state["n"], char.rlike("^[A-Za-z0-9]$")
+        place, known = state["n"], char.rlike(r"^[\p{L}\p{N}]$")
         low = F.when(hexadecimal, F.substr(F.lit("abcdef"), _number(digest, place, 6) + 1, F.lit(1))).otherwise(
             F.substr(letters, _number(digest, place, 26) + 1, F.lit(1))
         )
-        new = F.when(char.rlike("^[0-9]$"), _number(digest, place, 10).cast("string")).when(
+        new = F.when(char.rlike(r"^\p{N}$"), _number(digest, place, 10).cast("string")).when(
             char.rlike("^[a-z]$"), low
-        ).when(char.rlike("^[A-Z]$"), F.upper(low)).otherwise(char)
+        ).when(char.rlike("^[A-Z]$"), F.upper(low)).when(
+            known, F.when(char.rlike(r"^\p{IsCyrillic}$"), F.translate(low, *_CYRILLIC)).otherwise(low)
+        ).otherwise(char)
         return F.struct(F.concat(state["out"], new).alias("out"), (place + F.when(known, 1).otherwise(0)).alias("n"))
 
     return F.aggregate(F.split(text, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("n")), step, lambda s: s["out"])
@@ -109,21 +134,19 @@ def _last_digit(text: Column, digit: Column) -> Column:
     return F.concat(F.substr(text, F.lit(1), F.length(text) - 1), digit.cast("string"))
 
 
-def _name_word(word: Column, digest: Column, at: int, feminine: Column) -> Column:
-    """An invented word of three syllables in the script of ``word``; a first name ends by gender."""
-    syllables = [
-        F.concat(F.substr(F.lit(_ONSET), _number(digest, at + 2 * i, len(_ONSET)) + 1, F.lit(1)),
-                 F.substr(F.lit(_NUCLEUS), _number(digest, at + 2 * i + 1, len(_NUCLEUS)) + 1, F.lit(1)))
-        for i in range(3)
-    ]
-    plain = F.initcap(F.concat(*syllables, F.when(feminine, F.lit("na")).otherwise(F.lit("no"))))
+def _name_word(word: Column, digest: Column, feminine: Column, salt: Column) -> Column:
+    """An invented word in the script of ``word``; a first name ends by gender. It has three syllables, and one more
+    for every time it has been drawn again, so words never run out."""
+    letter = lambda letters, place: F.substr(F.lit(letters), _number(digest, place, len(letters)) + 1, F.lit(1))
+    syllables = F.transform(F.sequence(F.lit(0), salt + 2), lambda i: F.concat(letter(_ONSET, i * 2), letter(_NUCLEUS, i * 2 + 1)))
+    plain = F.initcap(F.concat(F.array_join(syllables, ""), F.when(feminine, F.lit("na")).otherwise(F.lit("no"))))
     return F.when(word.rlike(r"\p{IsCyrillic}"), F.translate(plain, *_CYRILLIC)).otherwise(plain)
 
 
 def surrogate(entity: Column, kind: Column, canon: Column, salt: Column, key: str) -> Column:
     """The surrogate of an entity in the format in which it is written."""
     digest = _digest(key, kind, canon, salt)
-    hexadecimal = (kind == "secret") & canon.rlike("^[0-9a-f]+$")
+    hexadecimal = (kind == "ip6") | ((kind == "secret") & canon.rlike("^[0-9a-f]+$"))
     octets = F.array_join(F.transform(F.split(entity, r"\."), lambda x, i: (_number(digest, i, 254) + 1).cast("string")), ".")
     like = _like(entity, digest, hexadecimal)
     # A card keeps its first digit, and its check digit if the original's is right.
@@ -132,15 +155,9 @@ def surrogate(entity: Column, kind: Column, canon: Column, salt: Column, key: st
     right = _luhn(F.substr(canon, F.lit(1), F.length(canon) - 1)).cast("string") == F.substr(canon, F.lit(-1))
     card = F.when(right, _last_digit(card, _luhn(F.substr(digits, F.lit(1), F.length(digits) - 1)))).otherwise(card)
     # An address keeps its last label, a secret its name or prefix, a bank account and a phone number their country.
-    tail = F.regexp_extract(entity, r"\.[A-Za-z0-9-]+$", 0)
+    tail = F.regexp_extract(entity, r"\.[\p{L}\p{N}-]+$", 0)
     head = F.regexp_extract(entity, r"^((?i:[a-z_-]+)[ ]?[=:][ ]?\"?|AKIA)?", 0)
-    country = F.regexp_extract(entity, r"^(\+[0-9]{1,3})?", 0)
-    feminine = F.regexp_extract(entity, rf"^({_TITLE})", 1).isin(*TITLES["f"])
-    words = F.split(canon, " ")
-    name = F.concat(
-        F.regexp_extract(entity, rf"^(?:{_TITLE})\.? ", 0), _name_word(canon, digest, 0, feminine),
-        F.when(F.size(words) > 1, F.concat(F.lit(" "), _name_word(canon, digest, 7, F.lit(False)))).otherwise(""),
-    )
+    country = F.regexp_extract(entity, f"^(?:{_COUNTRY})?", 0)
     return (
         F.when(kind == "ip", octets)
         .when(kind == "card", card)
@@ -148,7 +165,7 @@ def surrogate(entity: Column, kind: Column, canon: Column, salt: Column, key: st
         .when(kind == "secret", F.concat(head, F.substr(like, F.length(head) + 1)))
         .when(kind == "iban", F.concat(F.substr(entity, F.lit(1), F.lit(2)), F.substr(like, F.lit(3))))
         .when(kind == "phone", F.concat(country, F.substr(like, F.length(country) + 1)))
-        .when(kind == "name", name)
+        .when(kind.isin(*NAME_KINDS), _name_word(entity, digest, kind == "first-f", salt))
         .otherwise(like)
     )
 
@@ -179,7 +196,8 @@ def replace_entities(docs: DataFrame, text: str = "text", key_column: str = "doc
     """``docs`` with its text replaced, and n_entities and kinds (sorted types, comma-joined).
 
     Equal entities of a type get equal surrogates in all documents, different ones different surrogates, and none is
-    an entity of the corpus. A null text stays null with no entities. Repeated rows get equal texts. Columns named
+    an entity of the corpus; words of names are entities of their own, and numbers are equal however they are spaced.
+    Not found are names without a title, and last names after a title that do not begin with a capital letter. A null text stays null with no entities. Repeated rows get equal texts. Columns named
     n_entities or kinds are replaced.
     """
     docs = docs.drop(*[c for c in ("n_entities", "kinds") if c in docs.columns])
@@ -187,8 +205,8 @@ def replace_entities(docs: DataFrame, text: str = "text", key_column: str = "doc
     mark = F.xxhash64(F.col(text), F.col(key_column))
     has = may_hold(F.col(text)) & F.col(text).rlike(ANY)
     spotted = docs.where(has).select(mark.alias("row"), F.explode(F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))).alias("entity"))
-    spotted = spotted.withColumn("kind", kind_of(F.col("entity"))).withColumn("canon", canonical(F.col("entity"), F.col("kind")))
-    spotted = materialize(spotted.groupBy("row", "kind", "canon").agg(F.min("entity").alias("written")), "entities")
+    spotted = spotted.select("row", F.inline(pieces(F.col("entity"), kind_of(F.col("entity")))))
+    spotted = materialize(spotted.groupBy("row", "kind", "canon").agg(F.min("written").alias("written")), "entities")
     entities = spotted.groupBy("kind", "canon").agg(F.min("written").alias("written"))
     rows = spotted.count()
     odd = bounded_broadcast(settle(_collisions(entities, rows, key), "exceptions", rows))
@@ -200,9 +218,13 @@ def replace_entities(docs: DataFrame, text: str = "text", key_column: str = "doc
 
     def new(entity: Column) -> Column:
         kind = kind_of(entity)
-        canon = canonical(entity, kind)
-        salt = F.coalesce(F.col("_salts")[F.concat_ws("\u0001", kind, canon)], F.lit(0))
-        return F.struct(kind.alias("kind"), surrogate(entity, kind, canon, salt, key).alias("text"))
+
+        def drawn(piece: Column) -> Column:
+            salt = F.coalesce(F.col("_salts")[F.concat_ws("\u0001", piece["kind"], piece["canon"])], F.lit(0))
+            return surrogate(piece["written"], piece["kind"], piece["canon"], salt, key)
+
+        title = F.when(kind == "name", F.regexp_extract(entity, rf"^(?:{_TITLE})\.? ", 0)).otherwise("")
+        return F.struct(kind.alias("kind"), F.concat(title, F.array_join(F.transform(pieces(entity, kind), drawn), " ")).alias("text"))
 
     entities_of = F.when(F.col(row).isNotNull(), F.transform(F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)), new))
     gaps = F.split(F.col(text), ANY, -1)

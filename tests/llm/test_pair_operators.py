@@ -110,7 +110,7 @@ def test_frequent_tokens_in_small_batches(spark, monkeypatch):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert jaccard.similarity_classes(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
-    assert lines.drop_repeated_lines(empty).count() == 0
+    assert lines.drop_near_lines(empty).count() == 0
     assert pii.replace_entities(empty).count() == 0
     assert licenses.scan(empty).count() == 0
     assert toxicity.score(empty, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
@@ -135,59 +135,6 @@ def distance(a, b):
     return row[-1]
 
 
-def test_fuzzy_lines(spark):
-    rng = random.Random(5)
-    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=6))
-    pool = [" ".join(word() for _ in range(rng.choice([5, 30, 140]))) for _ in range(15)]
-    texts = [None, "", "short\nshort", "\n\n"]
-    for _ in range(40):
-        chosen = []
-        for _ in range(rng.randrange(1, 6)):
-            text = rng.choice(pool)
-            if rng.random() < 0.4:
-                at = rng.randrange(len(text))
-                text = text[:at] + rng.choice("xyz") + text[at + 1 :]
-            chosen.append(text.upper() if rng.random() < 0.2 else text + "!" if rng.random() < 0.2 else text)
-        texts.append("\n".join(chosen))
-    docs = spark.createDataFrame([(None if i == 6 else i, t, "x", 1) for i, t in enumerate(texts)], SCHEMA).repartition(4)
-    out = lines.drop_repeated_lines(docs).collect()
-    forms = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw")).select(
-        "doc_id", "pos", lines.normal_form(F.col("raw")).alias("form")
-    ).withColumn("words", F.split("form", " "))
-    forms = lines.with_simhash(forms).collect()
-    hash_of = dict(map(tuple, spark.createDataFrame([(w,) for w in {w for r in forms for w in r.form.split(" ")}], "w string").select("w", F.xxhash64("w")).collect()))
-    for r in forms:  # the signature itself
-        hashes = [hash_of[w] for w in r.form.split(" ")]
-        assert len(hashes) >= 4
-        bits = sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
-        assert r.signature & (1 << 64) - 1 == bits
-    distinct = sorted({(r.form, r.signature) for r in forms})
-
-    def linked(x, y):
-        (a, s), (b, t) = distinct[x], distinct[y]
-        if bin((s ^ t) & (1 << 64) - 1).count("1") > 2:
-            return False
-        return distance(a, b) <= max(len(a), len(b)) * 10 // 100
-
-    groups = reach(len(distinct), linked)
-    assert any(len(g) > 1 for g in groups.values())
-    group_of = {form: min(groups[i]) for i, (form, _) in enumerate(distinct)}
-    gone = defaultdict(set)
-    seen = set()
-    for r in sorted(forms, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.pos)):
-        if group_of[r.form] in seen:
-            gone[r.doc_id].add(r.pos)
-        seen.add(group_of[r.form])
-    for r in out:
-        text = texts[6 if r.doc_id is None else r.doc_id]
-        if text is None:
-            assert r.text is None and r.n_lines == 0
-            continue
-        assert r.text == "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone[r.doc_id])
-        assert (r.n_lines, r.n_removed) == (len(text.split("\n")), len(gone[r.doc_id]))
-    assert len(out) == len(texts)
-
-
 def test_neighbours(spark):
     rng = np.random.default_rng(6)
     vectors = rng.normal(size=(900, 16)).astype(np.float32)
@@ -256,23 +203,24 @@ def test_archives(spark):
 
 
 @pytest.mark.parametrize("expression, names, free", [
-    ("MIT", {"mit"}, True), ("MIT OR GPL-2.0", {"mit", "gpl-2.0"}, True), ("MIT AND GPL-2.0", {"mit", "gpl-2.0"}, False),
-    ("(GPL-2.0 OR MIT) AND Apache-2.0", {"gpl-2.0", "mit", "apache-2.0"}, True), ("GPL-2.0 OR MIT AND GPL-3.0", {"gpl-2.0", "mit", "gpl-3.0"}, False),
-    ("GPL-2.0 WITH Classpath-exception-2.0 AND MIT", {"gpl-2.0", "mit"}, True), ("MIT */ more text", {"mit"}, True),
+    ("MIT", {"mit"}, True), ("MIT OR GPL-2.0", {"mit", "gpl-2"}, True), ("MIT AND GPL-2.0-only", {"mit", "gpl-2"}, False),
+    ("(GPL-2.0+ OR MIT) AND Apache-2.0", {"gpl-2", "mit", "apache-2"}, True), ("GPL-2.0 OR MIT AND GPL-3.0-or-later", {"gpl-2", "mit", "gpl-3"}, False),
+    ("GPL-2.0 WITH Classpath-exception-2.0 AND MIT", {"gpl-2", "mit"}, True), ("LicenseRef-Mine AND MIT", {"licenseref-mine", "mit"}, False), ("MIT */ more text", {"mit"}, True),
 ])
 def test_expressions(expression, names, free):
     assert licenses.evaluate(licenses.to_rpn(expression)) == (names, free)
 
 
 def test_broken_expressions():
-    for text in ("", "AND MIT", "MIT AND", "(MIT", "MIT OR )"):
+    for text in ("", "AND MIT", "MIT AND", "(MIT", "MIT OR )", "see LICENSE file", "the one in the root", "MIT AND see below", "GPL-2.0 WITH MIT"):
         with pytest.raises(ValueError):
             licenses.to_rpn(text)
 
 
 def test_license_scan(spark):
     texts = [None, "", "Released under the MIT License.", "under the mit. LICENSE under the\nMIT license", "understand the mit license", "Apache License, Version 2.0 and CC BY-NC 4.0",
-             "// SPDX-License-Identifier: MIT OR GPL-2.0\ncode", "// SPDX-License-Identifier: AND\n", "ééunder the mit license", "x" * 300_000 + " cc by nc"]
+             "// SPDX-License-Identifier: MIT OR GPL-2.0\ncode", "// SPDX-License-Identifier: AND\n", "ééunder the mit license", "x" * 300_000 + " cc by nc", "Creative Commons Attribution-NonCommercial 4.0", "creative commons attribution and creative commons attribution noncommercial",
+             "SPDX-License-Identifier: see LICENSE file", "SPDX-License-Identifier: Apache-2.0, that is the Apache License, Version 2"]
     docs = spark.createDataFrame([(i, t, "a", 2) for i, t in enumerate(texts)], "doc_id long, text string, labels string, n_base int")
     out = {r.doc_id: r for r in licenses.scan(docs).collect()}
     for i, t in enumerate(texts):
@@ -283,7 +231,8 @@ def test_license_scan(spark):
         assert (r.n_words, r.n_base) == (len(words), len(hits)) and r.base_labels == ",".join(sorted({x for _, x in hits}))
         assert (r.first_word, r.last_word) == ((min(hits)[0], max(hits)[0]) if hits else (None, None))
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
-    assert out[6].labels == "gpl-2.0,mit" and out[6].permissive and out[6].score == 1.0 and out[7].score == 0.5
+    assert [out[i].labels for i in (10, 11, 12, 13)] == ["cc-by-nc", "cc-by,cc-by-nc", "", "apache-2"] and out[10].permissive is False and out[12].score == 0.5
+    assert out[6].labels == "gpl-2,mit" and out[6].permissive and out[6].score == 1.0 and out[7].score == 0.5
 
 
 def test_surrogates(spark):
@@ -312,6 +261,25 @@ def test_surrogates(spark):
     assert out[8].kinds == "name" and pii.replace_entities(docs, key="other").where("doc_id = 3").head().text != out[3].text
 
 
+def test_surrogates_are_coherent_and_complete(spark):
+    texts = [
+        "+12035559312 and +1 203 555 9312 and +49 30 123456", "Mr John Smith came. Mr Smith left. Mrs Smith stayed. Dr Smith, too.",
+        "Frau Anna Maria Müller, Mr Jean-Pierre Dupont and Mr O'Brien", "müller@example.de или иван@example.ru", "Version 1.2.3.4 and 999.999.1.1 and 256.1.1.1",
+        "2001:0db8:85a3:0000:0000:8a2e:0370:7334 and fe80:1::2 but std::vector and 12:30:45",
+    ]
+    out = [r.text for r in pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    one, two = re.fullmatch(r"(\+1\d{10}) and (\+1 \d{3} \d{3} \d{4}) and \+49 \d\d \d{6}", out[0]).groups()
+    assert one == two.replace(" ", "") and one != "+12035559312"
+    full, last, wife, doctor = re.fullmatch(r"Mr \w+ (\w+) came\. Mr (\w+) left\. Mrs (\w+) stayed\. Dr (\w+), too\.", out[1]).groups()
+    assert full == last == wife == doctor != "Smith"
+    for part in ("Anna", "Maria", "Müller", "Jean", "Pierre", "Dupont", "Brien"):
+        assert part not in out[2]
+    assert re.fullmatch(r"Frau \w+na \w+na \w+no, Mr \w+no \w+no and Mr \w+no", out[2])
+    assert re.fullmatch(r"[a-z]{6}@[a-z]{7}\.de или [а-я]{4}@[a-z]{7}\.ru", out[3]) and "ller@" not in out[3] and "иван" not in out[3]
+    assert out[4] == texts[4]
+    assert re.fullmatch(r"(?:[0-9a-f]{4}:){7}[0-9a-f]{4} and [0-9a-f]{4}:[0-9]::[0-9] but std::vector and 12:30:45", out[5]) and "85a3" not in out[5]
+
+
 def test_surrogate_collisions(spark):
     # Addresses have few surrogates of one octet each, so many of them collide and are drawn again.
     rows = [(i, f"from 9.9.{i // 250}.{i % 250}") for i in range(2000)]
