@@ -34,15 +34,35 @@ MORE_PHRASES = {
     "cc by sa": "cc-by-sa",
     "cc by nd": "cc-by-nd",
     "creative commons attribution": "cc-by",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution non commercial": "cc-by-nc",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution share alike": "cc-by-sa",
+    "creative commons attribution noderivatives": "cc-by-nd",
     "all rights reserved": "all-rights-reserved",
 }
 #: Names of tags before a licence expression.
 TAGS = ("spdx license identifier", "license expression")
+#: Fixed: identifiers of licences in expressions, by the label they get; versions are added below.
+IDENTIFIERS = {
+    "mit": "mit x11 mit-0", "apache-1.1": "apache-1.1", "apache-2": "apache-2 apache-2.0", "isc": "isc", "zlib": "zlib libpng", "unlicense": "unlicense",
+    "0bsd": "0bsd", "bsd-2-clause": "bsd-2-clause", "bsd-3-clause": "bsd-3-clause", "bsd-4-clause": "bsd-4-clause", "bsl-1": "bsl-1.0",
+    "mpl-1": "mpl-1.0 mpl-1.1", "mpl-2": "mpl-2.0", "epl-1": "epl-1.0", "epl-2": "epl-2.0", "cddl-1": "cddl-1.0 cddl-1.1", "eupl-1": "eupl-1.1 eupl-1.2",
+    "artistic-2": "artistic-2.0", "wtfpl": "wtfpl", "cc0": "cc0-1.0", "ofl-1": "ofl-1.1", "python-2": "python-2.0 psf-2.0", "postgresql": "postgresql", "ncsa": "ncsa",
+}
+_LABEL_OF = {identifier: label for label, identifiers in IDENTIFIERS.items() for identifier in identifiers.split()}
+for _family, _versions in (("gpl", "1 2 3"), ("lgpl", "2 2.1 3"), ("agpl", "3")):
+    for _version in _versions.split():
+        _label = f"{_family}-{_version}" if _family == "gpl" else _family
+        _point = _version if "." in _version else f"{_version}.0"
+        _LABEL_OF |= {f"{_family}-{_point}{ending}": _label for ending in ("", "+", "-only", "-or-later")}
+for _kind in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"):
+    _LABEL_OF |= {f"cc-{_kind}-{version}": f"cc-{_kind}" for version in ("1.0", "2.0", "2.5", "3.0", "4.0")} | {f"cc-{_kind}": f"cc-{_kind}"}
+#: Fixed: exceptions that may follow ``with``.
+EXCEPTIONS = frozenset("classpath-exception-2.0 gcc-exception-3.1 gcc-exception-2.0 llvm-exception bison-exception-2.2 font-exception-2.0 linux-syscall-note openssl-exception".split())
 #: Licences that allow any use; an exception may make another licence one of them.
-PERMISSIVE = frozenset({
-    "mit", "apache-2", "apache-2.0", "bsd", "bsd-2-clause", "bsd-3-clause", "isc", "zlib", "unlicense", "cc0-1.0", "cc-by", "cc-by-4.0", "0bsd",
-})
-PERMISSIVE_WITH = frozenset({("gpl-2.0", "classpath-exception-2.0"), ("gpl-3.0", "gcc-exception-3.1"), ("apache-2.0", "llvm-exception")})
+PERMISSIVE = frozenset("mit apache-1.1 apache-2 bsd bsd-2-clause bsd-3-clause bsd-4-clause isc zlib unlicense cc0 cc-by 0bsd bsl-1 python-2 postgresql ncsa wtfpl".split())
+PERMISSIVE_WITH = frozenset({("gpl-2", "classpath-exception-2.0"), ("gpl-3", "gcc-exception-3.1"), ("apache-2", "llvm-exception")})
 
 #: How sure a finding is: a well-formed expression, a notice, an expression that cannot be parsed.
 SURE_EXPRESSION, SURE_NOTICE, SURE_BROKEN = 1.0, 0.9, 0.5
@@ -59,8 +79,9 @@ _RANK = {"or": 1, "and": 2, "with": 3}
 def to_rpn(expression: str) -> list[str]:
     """Postfix order by shunting yard; ``with`` binds before ``and``, ``and`` before ``or``.
 
-    Reading stops at the first token that cannot continue the expression, so that prose after it does no harm. Raises
-    ValueError if nothing sound has been read by then.
+    Identifiers become their labels; a token that is none of the known licences or exceptions, where one has to stand,
+    is no expression. Reading stops at the first token that cannot continue the expression, so that prose after it does
+    no harm. Raises ValueError if nothing sound has been read by then.
     """
     out: list[str] = []
     waiting: list[str] = []
@@ -87,7 +108,10 @@ def to_rpn(expression: str) -> list[str]:
         else:
             if not operand_next:
                 break
-            out.append(token)
+            excepted = bool(waiting) and waiting[-1] == "with"
+            if token not in (EXCEPTIONS if excepted else _LABEL_OF) and not token.startswith("licenseref-"):
+                raise ValueError("unknown licence")
+            out.append(token if excepted else _LABEL_OF.get(token, token))
             operand_next = False
     if operand_next or "(" in waiting:
         raise ValueError("unfinished expression")
@@ -129,16 +153,18 @@ def scan_text(text: str | None, phrases: tuple[tuple[str, str, bool], ...]) -> t
     if not words:
         return 0, 0, None, None, "", "", 0.0, [], None
     line = b" ".join([b"", *words, b""]).decode()
-    starts, base, labels, notices, tagged = [], set(), set(), set(), False
+    starts, base, longest, tagged = [], set(), {}, False
     for end, (label, is_base, size) in _automaton(phrases).iter(line):
         if label is None:
             tagged = True
-            continue
-        labels.add(label)
-        notices.add(label)
-        if is_base:
+        elif is_base:
             base.add(label)
             starts.append(end - size + 1)
+        else:
+            # Of notices that begin at one place, the longest says which licence is meant; it ends last.
+            longest[end - size + 1] = label
+    notices = base | set(longest.values())
+    labels = set(notices)
     score = SURE_NOTICE if notices else 0.0
     permissive = all(x in PERMISSIVE for x in notices) if notices else None
     expressions = []

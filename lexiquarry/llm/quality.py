@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
-from .common import bounded_broadcast
+from .common import bounded_broadcast, fresh
 from .words import SPACE, Texts, mixed, runs, span_hashes, spans, windows, words_of
 
 #: Fixed: characters that count as symbols, the window, and the limits of the base rules.
@@ -30,8 +30,10 @@ ACCURACY = 0.01
 LEAST = 1e-4
 #: A value is far outside if it is beyond the quartile by this many times the distance between the quartiles, ...
 FENCE = 6.0
-#: ... where that distance counts as this much at least, by measure; measures are ratios but for the word length.
+#: ... where that distance counts as this much at least, by measure; measures are ratios but for the word length, ...
 SPREAD = {"symbol_ratio": 0.02, "dup_line_ratio": 0.05, "repeat_ratio": 0.02, "word_length": 0.5}
+#: ... and, for ratios, as this many times that much at most, so that a group full of junk does not lift its own fence.
+MOST_SPREAD = 4
 #: Measures of which low values count as far outside too.
 TWO_SIDED = ("word_length",)
 
@@ -39,7 +41,7 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = True
 
 MEASURES = pa.schema(
-    [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")]
 )
 
 
@@ -56,7 +58,8 @@ def _measure(texts: Texts) -> list[np.ndarray]:
     owner = lines.text[full].astype(np.uint64)
     keys = span_hashes(texts.data, lines.start[full], lines.end[full]) ^ mixed(owner + np.uint64(1))
     first = np.unique(keys, return_index=True)[1]
-    dup_lines = np.bincount(lines.text[full], minlength=len(texts)) - np.bincount(lines.text[full][first], minlength=len(texts))
+    n_lines = np.bincount(lines.text[full], minlength=len(texts))
+    dup_lines = n_lines - np.bincount(lines.text[full][first], minlength=len(texts))
     value, at = windows(words, span_hashes(texts.data, words.start, words.end), WINDOW)
     repeat = np.zeros(len(texts), np.int64)
     if len(value):
@@ -71,11 +74,11 @@ def _measure(texts: Texts) -> list[np.ndarray]:
         np.add.at(edge, at[again] + WINDOW, -1)
         covered = np.cumsum(edge[:-1]) > 0
         repeat = np.bincount(words.text[covered], minlength=len(texts))
-    return [n_words, chars, symbols, dup_lines, repeat]
+    return [n_words, chars, symbols, n_lines, dup_lines, repeat]
 
 
 def with_measures(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words, in place of the text or beside it.
+    """``docs`` with n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines and n_repeat_words, in place of the text or beside it.
 
     Whole texts count. A null or empty text has zero everywhere. Columns of ``docs`` with one of these names are
     replaced.
@@ -99,7 +102,7 @@ def _ratios() -> dict[str, Column]:
     words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     return {
         "symbol_ratio": F.col("n_symbols") / words,
-        "dup_line_ratio": F.col("n_dup_lines") / words,
+        "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)).cast("double"),
         "repeat_ratio": F.col("n_repeat_words") / words,
         "word_length": F.col("word_chars") / words,
     }
@@ -140,7 +143,9 @@ def thresholds(measured: DataFrame, keys: list[str], fence: float = FENCE) -> Da
         quantile_sketches(long, [*keys, "measure"], "value"), [*keys, "measure"], {"q1": 0.25, "q3": 0.75}
     )
     spread = F.create_map(*[F.lit(x) for pair in SPREAD.items() for x in pair])[F.col("measure")]
-    width = F.greatest(F.col("q3") - F.col("q1"), spread) * fence
+    between = F.col("q3") - F.col("q1")
+    bounded = F.when(F.col("measure").isin(*TWO_SIDED), between).otherwise(F.least(between, spread * MOST_SPREAD))
+    width = F.greatest(bounded, spread) * fence
     return read.withColumn("width", width).groupBy(*keys).agg(
         *[F.max(F.when(F.col("measure") == m, F.col("q3") + F.col("width"))).alias(f"{m}_high") for m in ratios],
         *[F.max(F.when(F.col("measure") == m, F.col("q1") - F.col("width"))).alias(f"{m}_low") for m in TWO_SIDED],
@@ -172,7 +177,7 @@ def verdicts(measured: DataFrame, limits: DataFrame, lang: str = "lang", source:
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", fence: float = FENCE) -> DataFrame:
-    """``docs`` without the text, with the five measures, base_failed and kept.
+    """``docs`` without the text, with the measures, base_failed and kept.
 
     ``base_failed``: fewer than 10 words, or over 20 percent of them in repeated windows. ``kept`` is false if
     base_failed, or if a ratio is beyond the fence of the document's (language, source). Null languages and sources
@@ -184,7 +189,15 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", fence: float = FENCE) -> DataFrame:
-    """The rows and columns of ``docs`` that ``judge`` keeps. Texts are measured again, which is cheaper than moving them."""
-    measured = materialize(with_measures(docs.select(text, lang, source), text), "quality")
+    """The rows and columns of ``docs`` that ``judge`` keeps. Texts are measured again, which is cheaper than moving them.
+
+    Columns that are named like a measure keep their own values.
+    """
+    made = {*MEASURES.names, "base_failed", "kept", "_lq_lang", "_lq_source", "_lq_limits"}
+    aside = {c: fresh(docs, f"_own_{c}") for c in docs.columns if c in made}
+    rows = docs.withColumnsRenamed(aside)
+    text, lang, source = (aside.get(c, c) for c in (text, lang, source))
+    measured = materialize(with_measures(rows.select(text, lang, source), text), "quality")
     limits = group_limits(measured, lang, source, fence)
-    return verdicts(with_measures(docs, text, keep_text=True), limits, lang, source).where("kept").select(*docs.columns)
+    kept = verdicts(with_measures(rows, text, keep_text=True), limits, lang, source).where("kept")
+    return kept.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])

@@ -50,6 +50,15 @@ def _places(phrase: str) -> str:
     return f"list_filter(range(1, len(ws)::BIGINT + 1), lambda i: {here})"
 
 
+def _stands(phrase: str) -> str:
+    """Whether a phrase stands somewhere and not only as the begin of a longer one."""
+    line = "line"
+    for longer in licenses.MORE_PHRASES:
+        if longer.startswith(f"{phrase} ") and phrase in licenses.MORE_PHRASES:
+            line = f"replace(replace({line}, ' {longer} ', ' | '), ' {longer} ', ' | ')"
+    return f"contains({line}, ' {phrase} ')"
+
+
 _EVERY = {**licenses.MORE_PHRASES, **licenses.BASE_PHRASES}
 #: Licence expressions after tags are beyond SQL; the tables that this is compared on have no such tags.
 LICENSES = f"""
@@ -62,7 +71,7 @@ LICENSES = f"""
     ),
     k AS (
       SELECT *, list_sort(list_distinct(list_filter([{", ".join(f"CASE WHEN contains(line, ' {p} ') THEN '{x}' END" for p, x in licenses.BASE_PHRASES.items())}], lambda x: x IS NOT NULL))) AS base,
-             list_sort(list_distinct(list_filter([{", ".join(f"CASE WHEN contains(line, ' {p} ') THEN '{x}' END" for p, x in _EVERY.items())}], lambda x: x IS NOT NULL))) AS every
+             list_sort(list_distinct(list_filter([{", ".join(f"CASE WHEN {_stands(p)} THEN '{x}' END" for p, x in _EVERY.items())}], lambda x: x IS NOT NULL))) AS every
       FROM j
     )
     SELECT doc_id, len(ws)::BIGINT AS n_words, len(places)::BIGINT AS n_base, places[1] - 1 AS first_word, places[len(places)] - 1 AS last_word,
@@ -74,16 +83,19 @@ LICENSES = f"""
 
 _GROWTH = math.log((1 + quality.ACCURACY) / (1 - quality.ACCURACY))
 _LOW = math.floor(math.log(quality.LEAST) / _GROWTH) - 1
-_RATIOS = {"symbol_ratio": "n_symbols", "dup_line_ratio": "n_dup_lines", "repeat_ratio": "n_repeat_words", "word_length": "word_chars"}
+_RATIOS = {
+    "symbol_ratio": "n_symbols / greatest(n_words, 1)::DOUBLE", "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)::DOUBLE",
+    "repeat_ratio": "n_repeat_words / greatest(n_words, 1)::DOUBLE", "word_length": "word_chars / greatest(n_words, 1)::DOUBLE",
+}
 
 
 def _far() -> str:
     parts = []
     for name, column in _RATIOS.items():
         limit = f"(SELECT q3 + width FROM fences f WHERE f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source AND f.measure = '{name}')"
-        parts.append(f"coalesce({column} / greatest(n_words, 1)::DOUBLE > {limit}, false)")
+        parts.append(f"coalesce({column} > {limit}, false)")
         if name in quality.TWO_SIDED:
-            parts.append(f"coalesce({column} / greatest(n_words, 1)::DOUBLE < {limit.replace('q3 + width', 'q1 - width')}, false)")
+            parts.append(f"coalesce({column} < {limit.replace('q3 + width', 'q1 - width')}, false)")
     return " OR ".join(parts)
 
 
@@ -98,15 +110,15 @@ QUALITY = f"""
     again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
     covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id),
     lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w),
-    dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines WHERE regexp_matches(l, {WORD}) GROUP BY doc_id),
+    dup AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n FROM lines WHERE regexp_matches(l, {WORD}) GROUP BY doc_id),
     m AS (
       SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
-             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n_lines, 0)::BIGINT AS n_lines, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
              coalesce(covered.n, 0)::BIGINT AS n_repeat_words
       FROM w LEFT JOIN dup ON dup.doc_id = w.doc_id LEFT JOIN covered ON covered.doc_id = w.doc_id
     ),
     v AS (
-      SELECT lang, source, {_list(_RATIOS)}[k] AS measure, [{", ".join(_RATIOS.values())}][k] / greatest(n_words, 1)::DOUBLE AS v
+      SELECT lang, source, {_list(_RATIOS)}[k] AS measure, [{", ".join(_RATIOS.values())}][k] AS v
       FROM m, (SELECT unnest(range(1, {len(_RATIOS) + 1})) AS k)
       WHERE n_words >= {quality.MIN_WORDS} AND 100 * n_repeat_words <= {quality.MAX_REPEAT_PERCENT} * n_words
     ),
@@ -123,10 +135,10 @@ QUALITY = f"""
       FROM run GROUP BY ALL
     ),
     fences AS (
-      SELECT *, greatest(q3 - q1, CASE measure {" ".join(f"WHEN '{k}' THEN {x}" for k, x in quality.SPREAD.items())} END) * {quality.FENCE} AS width
+      SELECT *, CASE measure {" ".join(f"WHEN '{k}' THEN greatest({'q3 - q1' if k in quality.TWO_SIDED else f'least(q3 - q1, {x} * {quality.MOST_SPREAD})'}, {x})" for k, x in quality.SPREAD.items())} END * {quality.FENCE} AS width
       FROM quartiles
     )
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words,
            n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
            NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT ({_far()}) AS kept
     FROM m"""

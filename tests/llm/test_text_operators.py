@@ -56,6 +56,17 @@ def test_quality_adapts_and_keeps_ordinary(spark):
     assert not out.pop(5000) and all(out.values())
 
 
+def test_quality_of_repeated_lines_and_junk(spark):
+    """Repeated lines are a share of lines, a group with much junk does not keep it, and a caller's own columns stay."""
+    words = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    plain = [(i, "\n".join(words(100 * i + k, 12) for k in range(5)), "en", "a", 777, "mine") for i in range(200)]
+    menu = "\n".join("one line of a menu" if k % 2 else words(9000 + k, 30) for k in range(9))
+    junk = [(1000 + i, " ".join(f"w{i}y{j} #" + "#" * (j % 3) for j in range(30)), "en", "a", 777, "mine") for i in range(60)]
+    frame = spark.createDataFrame([*plain, (999, menu, "en", "a", 777, "mine"), *junk], EMPTY + ", n_words int, kept string")
+    kept = quality.keep_good(frame).collect()
+    assert {r.doc_id for r in kept} == set(range(200)) and all((r.n_words, r.kept) == (777, "mine") for r in kept)
+
+
 def test_sketch_quantiles(spark):
     values = np.random.default_rng(1).lognormal(0, 2, 5000)
     frame = spark.createDataFrame([(1, float(v)) for v in values], "k int, v double")
@@ -90,7 +101,7 @@ def test_water_fill(spark, most, sizes):
 
 def test_mix(spark, docs):
     out = mixing.mix(docs).collect()
-    assert len(out) == len(TEXTS) and out == mixing.mix(docs.repartition(5)).orderBy("doc_id", "text").collect() or True
+    assert len(out) == len(TEXTS)
     again = Counter((r.doc_id, r.source, r["size"], r.copies) for r in mixing.mix(docs.repartition(5)).collect())
     assert again == Counter((r.doc_id, r.source, r["size"], r.copies) for r in out)
     by = defaultdict(list)
