@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions.text import count_of
 from ..operators.tables import chunk_rows
 from ..params import DELIMITERS
+from .records import read_records
 
 
 def clean_utf8(raw) -> F.Column:
@@ -44,12 +45,13 @@ def read_delimited(
 ) -> DataFrame:
     """A table with a header line. A given ``schema`` saves the pass that infers one.
 
-    Spark splits large files. With line breaks inside cells, ``multi_line=True`` is needed, and each file is one task.
+    Spark splits large files. With line breaks inside cells, ``multi_line=True`` is needed; such files are cut at the
+    true ends of records first, so they are split as well.
     """
-    reader = (
-        spark.read.option("header", "true").option("sep", sep or detect_delimiter(spark, path))
-        .option("multiLine", str(multi_line).lower()).option("quote", '"').option("escape", '"')
-    )
+    sep = sep or detect_delimiter(spark, path)
+    if multi_line:
+        return read_records(spark, path, sep, schema)
+    reader = spark.read.option("header", "true").option("sep", sep).option("quote", '"').option("escape", '"')
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")
     return reader.csv(path)
 
