@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import answers as A, documents as D, search as R, vectorize as Z
+from ..operators import answers as A, approximate as X, documents as D, search as R, vectorize as Z
 from ..operators.retrieval import multi_query_retrieve
+from ..session import materialize
 from . import sql as S
 from .registry import as_long, query, query_vectors, table, vectors
 
@@ -71,11 +72,41 @@ def overfetch(spark, folder):
     return _hits(R.overfetch(query_vectors(spark, folder), vectors(spark, folder), 3, 3, R.knn))
 
 
-@query("knn_ivf")
+def _found(spark, folder, hits):
+    """Whether at least nine of ten of the three nearest vectors were found."""
+    share = X.recall_of(hits, R.knn(query_vectors(spark, folder), vectors(spark, folder), 3))
+    return share.select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
+FOUND = "SELECT count(*) AS queries, true AS enough FROM embeddings"
+
+
+@query("overfetch_codes", FOUND)
+def overfetch_codes(spark, folder):
+    """Candidates by product-quantized codes, re-ranked by exact distances, against exact search."""
+    corpus = vectors(spark, folder)
+    books = X.codebooks(corpus)
+    return _found(spark, folder, X.overfetch_coded(query_vectors(spark, folder), X.encode(corpus, books), books, 3))
+
+
+@query("overfetch_codes_ranks", f"""
+    WITH {S.knn('hits', 3)}, near AS (SELECT query_id, doc_id, distance FROM hits WHERE query_id = doc_id)
+    SELECT query_id, round(distance, 6) AS distance, 1::BIGINT AS rank FROM near""")
+def overfetch_codes_ranks(spark, folder):
+    """The re-ranking: every vector is its own nearest candidate, at its exact distance."""
+    corpus = vectors(spark, folder)
+    books = X.codebooks(corpus)
+    hits = X.overfetch_coded(query_vectors(spark, folder), X.encode(corpus, books), books, 3)
+    return hits.where("query_id = doc_id").select("query_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("knn_ivf", FOUND)
 def knn_ivf(spark, folder):
+    """Clusters on two levels, probes tuned on a sample; against exact search."""
     corpus = vectors(spark, folder)
-    centers = R.ivf_fit(corpus)
-    return _hits(R.knn_ivf(query_vectors(spark, folder), R.ivf_assign(corpus, centers), centers, 3))
+    centres = X.coarse_fit(corpus)
+    assigned = materialize(X.coarse_assign(corpus, centres), "assigned")
+    return _found(spark, folder, X.knn_coarse(query_vectors(spark, folder), assigned, centres, 3))
 
 
 @query("ivf_assign", f"""

@@ -126,9 +126,15 @@ def _pair_table(qids, dids, q, x, k, metric, floor):
 # ---- the three ways ---------------------------------------------------------------
 
 def _bounded(df: DataFrame, rows: int) -> pa.Table | None:
-    """The whole of ``df`` if it has at most ``rows`` rows and is small in bytes, else nothing."""
-    found = df.limit(rows + 1).toArrow()
-    return found if found.num_rows <= rows and found.nbytes <= SMALL_SIDE_BYTES else None
+    """The whole of ``df`` if it has at most ``rows`` rows and is small in bytes, else nothing.
+
+    The widest vector is found in the tasks first, so nothing comes to the driver that is too large for it.
+    """
+    vector = F.col(df.columns[1])
+    about = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("width")).head()
+    if about.n > rows or about.n * (8 * (about.width or 0) + 16) > SMALL_SIDE_BYTES:
+        return None
+    return df.toArrow()
 
 
 def _stream_corpus(corpus, schema, small, k, metric, floor):
@@ -179,12 +185,13 @@ def _stream_queries(queries, schema, small, k, metric, floor):
 
 def _blocked(queries, corpus, schema, k, metric, floor, block_rows):
     """Both sides carry ``_g``; only rows of equal ``_g`` meet, block by block."""
-    # One row per group: a constant, or the clusters, whose number ``ivf_assign`` bounds.
-    grid = F.broadcast(
+    # One row per group: a constant, or the clusters, which may be too many to be sent to every task.
+    grid = settled(
         queries.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_nq"))
         .join(
             corpus.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_nc")), "_g"
-        )
+        ),
+        "grid",
     )
     left = queries.join(grid, "_g").select(
         "_g", "_q", "_qv",
@@ -374,12 +381,13 @@ def ivf_fit(corpus: DataFrame, nlist: int | None = None, doc_vec: str = "embeddi
 
 
 def ivf_assign(
-    corpus: DataFrame, centroids: DataFrame, doc_vec: str = "embedding", small_rows: int = SMALL_SIDE_ROWS
+    corpus: DataFrame, centroids: DataFrame, doc_vec: str = "embedding", small_rows: int = SMALL_SIDE_ROWS, doc_id: str = "doc_id"
 ) -> DataFrame:
-    """Add the ``cluster`` of the nearest centroid; ties go to the lower number. No shuffle."""
+    """Add the ``cluster`` of the nearest centroid; ties go to the lower number. No shuffle if the centroids are few."""
     small = _bounded(centroids.select("cluster", "center"), 16 * small_rows)
     if small is None:
-        raise ValueError("too many centroids to send to every task; use fewer clusters")
+        near = nearest(corpus, centroids, "l2sq", doc_id, "cluster", doc_vec, "center", way="blocked").select(F.col(doc_id).alias("_of"), "cluster")
+        return corpus.join(near, F.col(doc_id) == F.col("_of"), "left").drop("_of")
     sent = corpus.sparkSession.sparkContext.broadcast(
         (small.column(0).combine_chunks(), _matrix(small.column(1)))
     )
@@ -415,9 +423,23 @@ def knn_ivf(
     split into blocks. With the corpus stored by ``cluster`` only probed
     folders are read. ``nprobe`` = all clusters gives the exact result.
     """
-    probes = knn(
-        queries, centroids, nprobe, "l2sq", query_id, "cluster", query_vec, "center"
-    ).select(F.col(query_id).alias("_q"), F.col("cluster").alias("_g"))
+    probes = knn(queries, centroids, nprobe, "l2sq", query_id, "cluster", query_vec, "center").select(query_id, "cluster")
+    return clustered_search(queries, assigned, probes, k, query_id, doc_id, query_vec, doc_vec, block_rows)
+
+
+def clustered_search(
+    queries: DataFrame,
+    assigned: DataFrame,
+    probes: DataFrame,
+    k: int = TOP_K,
+    query_id: str = "query_id",
+    doc_id: str = "doc_id",
+    query_vec: str = "query_vec",
+    doc_vec: str = "embedding",
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Top k of every query among the rows (``assigned``: doc, vector, cluster) of its clusters (``probes``: query, cluster)."""
+    probes = probes.select(F.col(query_id).alias("_q"), F.col("cluster").alias("_g"))
     q = queries.select(F.col(query_id).alias("_q"), F.col(query_vec).alias("_qv")).join(probes, "_q")
     d = assigned.where(F.col(doc_vec).isNotNull()).select(
         F.col("cluster").alias("_g"), F.col(doc_id).alias("_d"), F.col(doc_vec).alias("_dv")
