@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..operators import documents as D, vectorize as V
-from ..params import CHUNK_PRESETS
+from ..params import CHUNK_PRESETS, EMBEDDING_DIM
 from ..plans import flows
 from ..session import work_path
-from ..sources import collections as K, files as P
+from ..sources import buckets as B, collections as K, files as P
 from ..streaming import ingest as G
 from . import sql as S
 from .registry import documents, query, table, vectors
@@ -93,14 +93,14 @@ def delete_by_id(spark, folder):
     WITH RECURSIVE {S.separator_chunks(
         "SELECT doc_id AS id, text AS txt, 512::BIGINT AS size, 80::BIGINT AS overlap, "
         + S.text_list(CHUNK_PRESETS["english"].separators) + " AS seps FROM documents")}
-    SELECT id AS doc_id, chunk::BIGINT AS chunk, total_chunks::BIGINT AS total_chunks, content, 64::BIGINT AS dim FROM chunks""")
+    SELECT id AS doc_id, chunk::BIGINT AS chunk, total_chunks::BIGINT AS total_chunks, content, 384::BIGINT AS dim FROM chunks""")
 def stream_ingest(spark, folder):
     """``documents`` as a stream, cut, embedded and stored batch by batch."""
     schema = table(spark, folder, "documents").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
     docs = stream.select("doc_id", F.col("doc_id").cast("string").alias("source"), F.col("text").alias("content"))
     done = G.ingest(
-        docs, work_path(spark, "ingest"), work_path(spark, "ingest-checkpoint"), lambda: V.hashing_encoder(64), 64, "english"
+        docs, work_path(spark, "ingest"), work_path(spark, "ingest-checkpoint"), _encoder, preset="english"
     )
     return done.select(
         "doc_id", F.col("chunk").cast("bigint").alias("chunk"), F.col("total_chunks").cast("bigint").alias("total_chunks"),
@@ -123,10 +123,54 @@ def stream_questions(spark, folder):
     return done.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query("stream_ingest_dedup", "SELECT md5(text) AS content_md5, 1::BIGINT AS stored, 384::BIGINT AS dim FROM documents GROUP BY text")
+def stream_ingest_dedup(spark, folder):
+    """``documents`` arriving in two rounds, the second after a restart; contents that came before are not stored again."""
+    incoming, store, checkpoint = (work_path(spark, name) for name in ("incoming", "deduplicated", "deduplicated-checkpoint"))
+    docs = documents(spark, folder).select(
+        F.col("doc_id").cast("string").alias("source"), "content", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")).alias("arrived"), "doc_id"
+    )
+    for half in (0, 1):
+        docs.where(F.col("doc_id") % 2 == half).drop("doc_id").write.mode("append").parquet(incoming)
+        stream = spark.readStream.schema(docs.drop("doc_id").schema).option("maxFilesPerTrigger", 4).parquet(incoming)
+        done = G.ingest(G.drop_copies(stream, "arrived", "3650 days"), store, checkpoint, _encoder, preset="english")
+    return done.groupBy("content_md5").agg(
+        F.count(F.when(F.col("chunk") == 0, 1)).alias("stored"), F.max(F.size("embedding")).cast("bigint").alias("dim")
+    )
+
+
+@query("upsert_stored", """
+    SELECT p_partkey, p_name, CASE WHEN p_partkey % 5 = 0 THEN p_retailprice + 100 ELSE p_retailprice END AS p_retailprice,
+           CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS version FROM part
+    UNION ALL SELECT p_partkey + 10000000, p_name, p_retailprice, 2 FROM part WHERE p_partkey % 7 = 0""")
+def upsert_stored(spark, folder):
+    """``part`` stored in buckets; some rows change, an older version changes nothing, some are new, and all of it comes twice."""
+    path = work_path(spark, "buckets")
+    part = table(spark, folder, "part").select("p_partkey", "p_name", "p_retailprice").withColumn("version", F.lit(1).cast("bigint"))
+    B.write_bucketed(part, path, "p_partkey", 16)
+    dearer = part.where("p_partkey % 5 = 0").withColumn("p_retailprice", F.col("p_retailprice") + 100).withColumn("version", F.lit(2).cast("bigint"))
+    older = part.where("p_partkey % 3 = 0").withColumn("p_name", F.lit("old")).withColumn("version", F.lit(0).cast("bigint"))
+    new = part.where("p_partkey % 7 = 0").withColumn("p_partkey", F.col("p_partkey") + 10_000_000).withColumn("version", F.lit(2).cast("bigint"))
+    for _ in range(2):
+        for changes in (dearer.unionAll(new), older):
+            B.upsert_stored(spark, path, changes, "p_partkey", "version", 16)
+    return B.read_bucketed(spark, path).select("p_partkey", "p_name", "p_retailprice", "version")
+
+
+@query("delete_stored", "SELECT p_partkey, p_name FROM part WHERE p_size <= 25")
+def delete_stored(spark, folder):
+    """``part`` stored in buckets, from which the large ones are deleted."""
+    path = work_path(spark, "buckets")
+    part = table(spark, folder, "part")
+    B.write_bucketed(part.select("p_partkey", "p_name"), path, "p_partkey", 16)
+    B.delete_stored(spark, path, part.where("p_size > 25").select("p_partkey"), "p_partkey", 16)
+    return B.read_bucketed(spark, path).select("p_partkey", "p_name")
+
+
 # ---- whole jobs --------------------------------------------------------------------------
 
 def _encoder():
-    return V.hashing_encoder(64)
+    return V.hashing_encoder(EMBEDDING_DIM)
 
 
 @query("add_documents", f"""
@@ -134,13 +178,13 @@ def _encoder():
         "SELECT doc_id AS id, text AS txt, 1024::BIGINT AS size, 200::BIGINT AS overlap, "
         + S.text_list(CHUNK_PRESETS["auto"].separators) + " AS seps FROM documents")}
     SELECT md5(source || '/' || doc_id || '#' || chunk) AS id, doc_id, chunk::BIGINT AS chunk, total_chunks::BIGINT AS total_chunks,
-           content, 64::BIGINT AS dim
+           content, 384::BIGINT AS dim
     FROM chunks c JOIN documents d ON d.doc_id = c.id""")
 def add_documents(spark, folder):
     """All documents chunked, embedded and appended to a collection; one row per stored chunk."""
     path = work_path(spark, "added-documents")
     docs = documents(spark, folder).withColumn("source", F.concat_ws("/", "source", "doc_id"))
-    flows.add_documents(docs, path, _encoder, 64)
+    flows.add_documents(docs, path, _encoder)
     return K.read_collection(spark, path).select(
         "id", "doc_id", F.col("chunk").cast("bigint").alias("chunk"), F.col("total_chunks").cast("bigint").alias("total_chunks"),
         "content", F.size("embedding").cast("bigint").alias("dim"),
@@ -192,10 +236,10 @@ def process_files(spark, folder):
 def ask(spark, folder):
     """Every ``benchmark`` text asked against all documents: route, number of hits, prompt, and the answer without hits."""
     asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    docs = V.embed(documents(spark, folder), _encoder, dim=64).withColumn(
+    docs = V.embed(documents(spark, folder), _encoder).withColumn(
         "metadata", F.create_map(F.lit("source"), F.col("source"))
     )
-    out = flows.ask(asked, docs.select("doc_id", "content", "embedding", "metadata"), _encoder, dim=64)
+    out = flows.ask(asked, docs.select("doc_id", "content", "embedding", "metadata"), _encoder)
     return out.select("query_id", "route", "n_hits", "prompt", "answer")
 
 
@@ -205,5 +249,5 @@ def enhanced_retrieval(spark, folder):
     replies = table(spark, folder, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("text").alias("reply")
     )
-    docs = V.embed(documents(spark, folder), _encoder, dim=64)
-    return flows.enhanced_retrieval(replies, docs, _encoder, dim=64)
+    docs = V.embed(documents(spark, folder), _encoder)
+    return flows.enhanced_retrieval(replies, docs, _encoder)

@@ -257,20 +257,13 @@ def list_answer(questions: DataFrame, items: DataFrame, query: str = "query") ->
     )
 
 
-def filter_list(
-    docs: DataFrame,
-    labels: dict[str, str] | None = None,
-    feature_words=GAMING_FEATURE_WORDS,
-    graphics_words=GAMING_GRAPHICS_WORDS,
-    doc_id: str = "doc_id",
+def listed_fields(
+    docs: DataFrame, labels: dict[str, str] | None = None, feature_words=GAMING_FEATURE_WORDS, graphics_words=GAMING_GRAPHICS_WORDS,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """Numbered items (item_no, doc, item) for the documents whose features or graphics name a keyword.
-
-    Missing lines are left out. Items stay rows: a list of any length is whole.
-    """
+    """``keep`` and the labelled lines of the documents whose features or graphics name a keyword."""
     labels = LIST_FIELDS if labels is None else labels
-    text = F.col("content")
-    parsed = docs.select(doc_id, *[labelled_line(text, label).alias(f"_{name}") for name, label in labels.items()])
+    parsed = docs.select(*(keep or ["doc_id"]), *[labelled_line(F.col("content"), label).alias(f"_{name}") for name, label in labels.items()])
 
     def names_one(column: str, words) -> Column:
         hit = F.lit(False)
@@ -278,13 +271,17 @@ def filter_list(
             hit = hit | F.coalesce(F.lower(column).contains(word), F.lit(False))
         return hit
 
-    kept = parsed.where(names_one("_features", feature_words) | names_one("_graphics", graphics_words))
+    return parsed.where(names_one("_features", feature_words) | names_one("_graphics", graphics_words))
+
+
+def list_item() -> Column:
+    """An item of a list from ``item_no`` and the labelled lines; missing lines are left out."""
 
     def optional(column: str, head: str) -> Column:
         filled = F.when(F.length(column) > 0, F.col(column))
         return F.concat(F.lit(head), filled)
 
-    item = F.concat_ws(
+    return F.concat_ws(
         "\n",
         F.concat(F.col("item_no").cast("string"), F.lit(". "), F.coalesce("_name", F.lit(LIST_UNKNOWN_NAME))),
         F.concat(F.lit("   价格："), F.coalesce("_price", F.lit(LIST_UNKNOWN_PRICE))),
@@ -295,5 +292,19 @@ def filter_list(
         optional("_graphics", "   - 显卡："),
         optional("_features", "   特点："),
     )
+
+
+def filter_list(
+    docs: DataFrame,
+    labels: dict[str, str] | None = None,
+    feature_words=GAMING_FEATURE_WORDS,
+    graphics_words=GAMING_GRAPHICS_WORDS,
+    doc_id: str = "doc_id",
+) -> DataFrame:
+    """Numbered items (item_no, doc, item) for the documents whose features or graphics name a keyword.
+
+    Missing lines are left out. Items stay rows: a list of any length is whole.
+    """
+    kept = listed_fields(docs, labels, feature_words, graphics_words, [doc_id])
     # Numbering reads its input three times; the texts are parsed once.
-    return number_rows(materialize(kept, "list"), doc_id, name="item_no").select("item_no", doc_id, item.alias("item"))
+    return number_rows(materialize(kept, "list"), doc_id, name="item_no").select("item_no", doc_id, list_item().alias("item"))

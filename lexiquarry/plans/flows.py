@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.answers import build_prompt, classify_nearest_centroid
 from ..operators.chunking import split_documents
 from ..operators.documents import empty_result_message, normalize_input, route_by_type, route_question
+from ..operators.hits import documents_of, hits_by_route, list_answers, list_of_hits
 from ..operators.retrieval import multi_query_retrieve, parse_rewrites
 from ..operators.search import knn, threshold_filter, with_score
 from ..operators.tables import delimited_blocks, delimited_records, markdown_blocks, markdown_rows
 from ..operators.vectorize import Encoder, embed
-from ..params import EMBEDDING_DIM, MIN_SIMILARITY, ROWS_PER_CHUNK, TOP_K
+from ..params import EMBEDDING_DIM, MIN_SIMILARITY, ROWS_PER_CHUNK, SEARCH_MULTIPLIER, TOP_K
 from ..session import materialize
 from ..sources.collections import collection_id, write_collection
 
@@ -97,6 +98,30 @@ def ask(
     return empty_result_message(routed, hits).join(prompts, "query_id", "left")
 
 
+def ask_by_route(
+    questions: DataFrame, collection: DataFrame, categories: DataFrame, k: int = TOP_K, multiplier: int = SEARCH_MULTIPLIER, doc_id: str = "doc_id", **fields
+) -> DataFrame:
+    """(query_id, route, n_hits, prompt, sources, answer): every question answered the way its route asks for.
+
+    ``questions`` (query_id, query, query_vec), ``collection`` (doc, content, metadata, category, embedding),
+    ``categories`` (category, category_vec). ``k * multiplier`` hits are found once; comparisons then use the extremes
+    of a field among them, recommendations the fitting category, other routes the best k. ``answer`` is the list of a
+    list question or the message of a question without hits; otherwise ``prompt`` is what a language model would get.
+    """
+    routed = questions.withColumn("route", route_question(F.col("query")))
+    hits = materialize(knn(routed.select("query_id", "query_vec"), collection, k * multiplier, doc_id=doc_id), "hits")
+    found = materialize(documents_of(hits, collection.select(doc_id, "content", "metadata", "category"), doc_id=doc_id), "found")
+    words = routed.select("query_id", F.col("query_vec").alias("word_vec"))
+    chosen = materialize(hits_by_route(routed, found, words, categories, k, doc_id=doc_id, **fields), "chosen")
+    prompts = build_prompt(routed, chosen, collection, doc_id=doc_id)
+    listed = routed.where("route = 'list'")
+    lists = list_answers(listed, list_of_hits(found.join(listed.select("query_id"), "query_id", "left_semi"), doc_id=doc_id))
+    out = empty_result_message(routed.drop("query_vec"), chosen).join(prompts, "query_id", "left")
+    return out.join(lists.withColumnRenamed("answer", "_list"), "query_id", "left").withColumn(
+        "answer", F.coalesce("answer", F.when(F.col("n_hits") > 0, F.col("_list")))
+    ).drop("_list")
+
+
 def enhanced_retrieval(
     replies: DataFrame, collection: DataFrame, make_encoder: Callable[[], Encoder], k: int = TOP_K,
     dim: int = EMBEDDING_DIM, doc_id: str = "doc_id",
