@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import document_identity, strip, tokens
 from ..params import BM25_B, BM25_K1, BROADCAST_ROWS, RRF_K, TOP_K
+from ..session import materialize
 from .common import settled, spread
 from .search import knn, with_score
 
@@ -37,8 +39,8 @@ def bm25(
     Tokens of the corpus meet the distinct query terms before the only large
     shuffle, by document. Counting and scoring use that partitioning, and only
     the k best documents per query and task leave it: pairs of a query and a
-    document are never rows. (With more than BROADCAST_ROWS query terms, the
-    sums per pair are made by joins instead.) Every document also sends one empty token, so the number
+    document are never rows. With more than BROADCAST_ROWS terms of questions, the
+    questions are taken in blocks of about that many. Every document also sends one empty token, so the number
     of documents and their mean length come from the same pass.
     """
     def usable(ts: Column) -> Column:
@@ -76,12 +78,12 @@ def bm25(
     if few_terms:
         scores = _best_in_task(parts, weighted, k, query_id, doc_id)
     else:
-        scores = (
-            parts.join(weighted, "term").groupBy(query_id, doc_id)
-            .agg(F.sum(F.col("idf") * F.col("part")).alias("_score"))
-            # The same parts may be added in another order; equal scores must stay equal.
-            .withColumn("score", F.round("_score", 9))
-        )
+        # More questions than one task can hold: the documents pass once per block of them, and pairs still are no rows.
+        weighted = materialize(weighted.select(query_id, "term", "idf"), "weights")
+        parts, blocks = materialize(parts, "parts"), -(-weighted.count() // BROADCAST_ROWS)
+        block = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+        passes = [_best_in_task(parts.repartition(doc_id), weighted.where(block == i), k, query_id, doc_id) for i in range(blocks)]
+        scores = functools.reduce(DataFrame.unionAll, passes)
     best = Window.partitionBy(query_id).orderBy(F.col("score").desc(), doc_id)
     return (
         scores.withColumn("rank", F.row_number().over(best))
@@ -265,13 +267,15 @@ def with_identity(
 def dedup_content(df: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
     """One row per distinct content, the one with the lowest id.
 
-    Hash and id are reduced before the shuffle, so a content with very many
-    copies costs one row per task. Only the copies that go are looked up again;
+    Hashes and ids are written once, narrow, and reduced before the shuffle, so
+    a content with very many copies costs one row per task. Only the copies that go are looked up again;
     texts are not shuffled unless those are too many to broadcast.
     """
-    hashed = df.select(id_col, F.md5(text_col).alias("content_md5"))
+    hashed = materialize(df.select(id_col, F.md5(text_col).alias("content_md5")), "hashes")
     keepers = hashed.groupBy("content_md5").agg(F.min(id_col).alias("_kept"), F.count(F.lit(1)).alias("_copies"))
     losers = hashed.join(keepers.where("_copies > 1"), "content_md5").where(F.col(id_col) != F.col("_kept"))
     losers = settled(losers.select(F.col(id_col).alias("_lost"), F.col("content_md5").alias("_md5")), "copies")
-    kept = df.join(losers, (F.col(id_col) == F.col("_lost")) & (F.md5(text_col) == F.col("_md5")), "left_anti")
-    return kept.withColumn("content_md5", F.md5(text_col)).select(id_col, *[c for c in df.columns if c != id_col], "content_md5")
+    # Another generator than an expression: the hash is computed once for the join and for the result.
+    rows = df.select("*", F.explode(F.array(F.md5(text_col))).alias("content_md5"))
+    kept = rows.join(losers, (F.col(id_col) == F.col("_lost")) & (F.col("content_md5") == F.col("_md5")), "left_anti")
+    return kept.select(id_col, *[c for c in df.columns if c != id_col], "content_md5")
