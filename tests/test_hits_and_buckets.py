@@ -14,7 +14,7 @@ FOUND = "query_id long, doc_id long, rank int, content string, category string"
 
 def test_extremes_of_own_hits(spark):
     found = spark.createDataFrame(
-        [(1, d, r, f"price: {p}", "a") for d, r, p in [(10, 1, 5), (11, 2, 9), (12, 3, 9), (13, 4, "none"), (14, 5, 1)]] + [(2, 10, 1, "price: 5", "a"), (3, 10, 1, "size: 2", "a")], FOUND
+        [(1, d, r, f"name: n\nprice: {p}", "a") for d, r, p in [(10, 1, 5), (11, 2, 9), (12, 3, 9), (13, 4, "none"), (14, 5, 1)]] + [(2, 10, 1, "name: n\nprice: 5", "a"), (3, 10, 1, "name: n\nsize: 2", "a")], FOUND
     )
     asked = spark.createDataFrame([(1, "最贵的"), (2, "最便宜的"), (3, "最便宜的"), (4, "最贵的"), (5, "what?")], "query_id long, query string")
     got = {(r.query_id, r.doc_id, r.value, r["rank"]) for r in H.extremum_of_hits(asked, found, k=2).collect()}
@@ -23,7 +23,7 @@ def test_extremes_of_own_hits(spark):
 
 
 def test_route_decides_the_documents(spark):
-    rows = [(q, d, r, f"price: {d}", "cat" if d % 2 else "dog") for q in (1, 2, 3, 4) for r, d in enumerate((10, 11, 12, 13), 1)]
+    rows = [(q, d, r, f"name: n\nprice: {d}", "cat" if d % 2 else "dog") for q in (1, 2, 3, 4) for r, d in enumerate((10, 11, 12, 13), 1)]
     found = spark.createDataFrame(rows, FOUND)
     asked = spark.createDataFrame([(1, "最贵的", "comparison"), (2, "建议", "recommendation"), (3, "x", "qa"), (4, "建议", "recommendation")], "query_id long, query string, route string")
     words = spark.createDataFrame([(2, [0.9, 0.1]), (4, [-1.0, -1.0])], "query_id long, word_vec array<double>")
