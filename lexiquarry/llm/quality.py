@@ -28,7 +28,7 @@ MAX_REPEAT_PERCENT = 20
 ACCURACY = 0.01
 #: Values below this are one bucket.
 LEAST = 1e-4
-#: A value is far outside if it is beyond the quartile by this many times the distance between the quartiles, ...
+#: A value is far outside if it is beyond the median (the word length: the quartile) by this many times the distance between the quartiles, ...
 FENCE = 6.0
 #: ... where that distance counts as this much at least, by measure; measures are ratios but for the word length, ...
 SPREAD = {"symbol_ratio": 0.02, "dup_line_ratio": 0.05, "repeat_ratio": 0.02, "word_length": 0.5}
@@ -140,14 +140,14 @@ def thresholds(measured: DataFrame, keys: list[str], fence: float = FENCE) -> Da
     pairs = F.array(*[F.struct(F.lit(name).alias("measure"), value.alias("value")) for name, value in ratios.items()])
     long = sound.select(*keys, F.inline(pairs))
     read = sketch_quantiles(
-        quantile_sketches(long, [*keys, "measure"], "value"), [*keys, "measure"], {"q1": 0.25, "q3": 0.75}
+        quantile_sketches(long, [*keys, "measure"], "value"), [*keys, "measure"], {"q1": 0.25, "q2": 0.5, "q3": 0.75}
     )
     spread = F.create_map(*[F.lit(x) for pair in SPREAD.items() for x in pair])[F.col("measure")]
     between = F.col("q3") - F.col("q1")
     bounded = F.when(F.col("measure").isin(*TWO_SIDED), between).otherwise(F.least(between, spread * MOST_SPREAD))
     width = F.greatest(bounded, spread) * fence
     return read.withColumn("width", width).groupBy(*keys).agg(
-        *[F.max(F.when(F.col("measure") == m, F.col("q3") + F.col("width"))).alias(f"{m}_high") for m in ratios],
+        *[F.max(F.when(F.col("measure") == m, F.col("q3" if m in TWO_SIDED else "q2") + F.col("width"))).alias(f"{m}_high") for m in ratios],
         *[F.max(F.when(F.col("measure") == m, F.col("q1") - F.col("width"))).alias(f"{m}_low") for m in TWO_SIDED],
     )
 

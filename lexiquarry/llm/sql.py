@@ -92,7 +92,7 @@ _RATIOS = {
 def _far() -> str:
     parts = []
     for name, column in _RATIOS.items():
-        limit = f"(SELECT q3 + width FROM fences f WHERE f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source AND f.measure = '{name}')"
+        limit = f"(SELECT {'q3' if name in quality.TWO_SIDED else 'q2'} + width FROM fences f WHERE f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source AND f.measure = '{name}')"
         parts.append(f"coalesce({column} > {limit}, false)")
         if name in quality.TWO_SIDED:
             parts.append(f"coalesce({column} < {limit.replace('q3 + width', 'q1 - width')}, false)")
@@ -131,7 +131,7 @@ QUALITY = f"""
              CASE WHEN bucket = {_LOW} THEN 0.0 ELSE exp(bucket * {_GROWTH!r}) * (1 - {quality.ACCURACY}) END AS middle FROM sketch
     ),
     quartiles AS (
-      SELECT lang, source, measure, min(middle) FILTER (seen >= total * 0.25) AS q1, min(middle) FILTER (seen >= total * 0.75) AS q3
+      SELECT lang, source, measure, min(middle) FILTER (seen >= total * 0.25) AS q1, min(middle) FILTER (seen >= total * 0.5) AS q2, min(middle) FILTER (seen >= total * 0.75) AS q3
       FROM run GROUP BY ALL
     ),
     fences AS (
