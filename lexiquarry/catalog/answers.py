@@ -257,9 +257,9 @@ def _cases(values):
 
 
 @query("ask_by_route", f"""
-    WITH {OWN}, {OWN_CATEGORIES}, {OWN_LISTS},
+    WITH {OWN.replace('JOIN part', 'LEFT JOIN part')}, {OWN_CATEGORIES}, {OWN_LISTS},
     asked AS (SELECT vec_id AS query_id, {_cases(ROUTES)} AS route, vec_id % 16 IN (1, 2) AS gaming FROM embeddings),
-    dear AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY -p_retailprice, doc_id) AS rank FROM hits),
+    dear AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY -p_retailprice, doc_id) AS rank FROM hits WHERE p_retailprice IS NOT NULL),
     picked AS (
       SELECT query_id, doc_id, d.rank FROM dear d JOIN asked USING (query_id) WHERE route = 'comparison' AND d.rank <= 3
       UNION ALL SELECT query_id, doc_id, f.rank FROM fitting f JOIN asked USING (query_id) WHERE route = 'recommendation' AND f.rank <= 3
