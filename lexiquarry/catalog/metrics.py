@@ -6,7 +6,7 @@ from ..operators import metrics as M
 from ..params import RESPONSE_BOUNDS, RETRIEVAL_BOUNDS
 from ..session import work_path
 from ..streaming import metrics as X
-from .registry import query, table
+from .registry import query, table, table_stream
 
 
 def latency(spark, folder):
@@ -120,7 +120,7 @@ CLOSED = f"{START} + INTERVAL '5 minutes' <= (SELECT max(ts) - INTERVAL '10 minu
 
 def _stream(spark, folder):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    events = X.event_stream(spark, folder, table(spark, folder, "events").schema, "events.parquet")
+    events = table_stream(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withColumn("seconds", F.col("value") / 10)
 
 
