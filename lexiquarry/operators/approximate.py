@@ -30,7 +30,9 @@ MOST_CLUSTERS = 4
 #: Vectors on which the number of probes is chosen.
 TUNED_ON = 256
 #: Distances held at a time when codes are compared.
-_CELLS = 1 << 22
+_CELLS = 1 << 21
+#: Queries whose lookup tables are held at a time.
+_QUERIES = 64
 
 
 def kmeans(points: np.ndarray, k: int, seed: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -249,16 +251,21 @@ def encode(corpus: DataFrame, books: np.ndarray, doc_vec: str = "embedding", cod
     return corpus.withColumn(code, coded(F.col(doc_vec)))
 
 
+def _code_sums(queries: np.ndarray, codes: np.ndarray, books: np.ndarray):
+    """First query, and sums of queries x codes from each query's lookup table, a bounded number of cells at a time."""
+    step = max(1, min(_QUERIES, _CELLS // max(1, len(codes))))
+    for at in range(0, len(queries), step):
+        tables = np.square(_padded(queries[at : at + step], books)[:, :, None, :] - books[None]).sum(axis=3)
+        total = np.zeros((len(tables), len(codes)))
+        for part in range(codes.shape[1]):
+            total += tables[:, part][:, codes[:, part]]
+        yield at, total
+
+
 def _best_codes(queries: np.ndarray, codes: np.ndarray, order: np.ndarray, books: np.ndarray, k: int):
     """Rows (query, code, distance): the k least sums from each query's lookup table."""
-    tables = np.square(_padded(queries, books)[:, :, None, :] - books[None]).sum(axis=3)
     out = []
-    step = max(1, _CELLS // max(1, len(codes)))
-    for at in range(0, len(queries), step):
-        some = tables[at : at + step]
-        total = np.zeros((len(some), len(codes)))
-        for part in range(codes.shape[1]):
-            total += some[:, part][:, codes[:, part]]
+    for at, total in _code_sums(queries, codes, books):
         for i, row in enumerate(total):
             # Codes are equal often; those as far as the last one stay until ties are decided.
             near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
@@ -267,6 +274,53 @@ def _best_codes(queries: np.ndarray, codes: np.ndarray, order: np.ndarray, books
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
+def _raw_codes(codes: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Binary column of equal widths to a rows x parts matrix of bytes."""
+    return np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(codes), -1)
+
+
+def tune_multiplier(
+    coded: DataFrame, books: np.ndarray, k: int = TOP_K, recall: float = 0.9, doc_id: str = "doc_id", doc_vec: str = "embedding", code: str = "code", seed: int = 3
+) -> int:
+    """How many times k candidates by code must be re-ranked so that about ``recall`` of the k nearest vectors are found.
+
+    About ``TUNED_ON`` vectors are searched exactly. One pass over the codes counts for each of their true neighbours how
+    many codes come before it; (1 + recall) / 2 of the neighbours are to be among the candidates.
+    """
+    usable = coded.where(F.col(code).isNotNull())
+    n = usable.count()
+    asked = usable.where(_chosen(F.lit(min(1.0, TUNED_ON / max(n, 1))), doc_id, seed)).select(F.col(doc_id).alias("query_id"), F.col(doc_vec).alias("query_vec"))
+    asked = materialize(asked.limit(2 * TUNED_ON), "asked")
+    true = knn(asked, usable, k, "l2sq", "query_id", doc_id, "query_vec", doc_vec).select("query_id", F.col(doc_id).alias("near"))
+    true = true.join(usable.select(F.col(doc_id).alias("near"), F.col(code).alias("near_code")), "near").join(asked, "query_id")
+    # At most 2 * TUNED_ON * k rows.
+    found = true.select("query_vec", "near", "near_code").toArrow().combine_chunks()
+    if not found.num_rows:
+        return SEARCH_MULTIPLIER
+    queries, near = _matrix(found.column("query_vec")), found.column("near").to_numpy()
+    own = _raw_codes(found.column("near_code"))
+    # The same sums in the same order as in the pass, so that equal codes are equal there.
+    at = np.concatenate([np.diagonal(total[:, i : i + len(total)]) for i, total in _code_sums(queries, own, books)])
+    sent = coded.sparkSession.sparkContext.broadcast((queries, near, at, books))
+
+    def count(batches):
+        queries, near, at, books = sent.value
+        before = np.zeros(len(at), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                for i, total in _code_sums(queries, _raw_codes(batch.column(1)), books):
+                    limit = at[i : i + len(total), None]
+                    before[i : i + len(total)] += (total < limit).sum(axis=1)
+                    q, d = np.nonzero(total == limit)
+                    np.add.at(before, i + q, ids[d] < near[i + q])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(at))), pa.array(before)], ["pair", "before"])
+
+    ranks = usable.select(doc_id, code).mapInArrow(count, "pair BIGINT, before BIGINT").groupBy("pair").agg(F.sum("before").alias("before"))
+    last = ranks.agg(F.percentile("before", F.lit((1 + recall) / 2))).head()[0]
+    return max(SEARCH_MULTIPLIER, math.ceil((last + 1) / k))
+
+
 def code_candidates(
     queries: DataFrame, coded: DataFrame, books: np.ndarray, k: int, query_id: str = "query_id", doc_id: str = "doc_id",
     query_vec: str = "query_vec", code: str = "code", block_rows: int = BLOCK_ROWS,
@@ -286,8 +340,7 @@ def code_candidates(
         if not some.num_rows or not many.num_rows:
             qi, di, value = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
         else:
-            raw = np.frombuffer(b"".join(many.column("_dv").to_pylist()), np.uint8).reshape(many.num_rows, -1)
-            qi, di, value = _best_codes(_matrix(some.column("_qv")), raw, np.arange(many.num_rows), sent.value, k)
+            qi, di, value = _best_codes(_matrix(some.column("_qv")), _raw_codes(many.column("_dv")), np.arange(many.num_rows), sent.value, k)
         return pa.table([some.column("_q").take(pa.array(qi)), many.column("_d").take(pa.array(di)), pa.array(value)], names=["_q", "_d", "_v"])
 
     cell = ["_qb", "_db"]
@@ -296,10 +349,14 @@ def code_candidates(
 
 
 def overfetch_coded(
-    queries: DataFrame, coded: DataFrame, books: np.ndarray, k: int = TOP_K, multiplier: int = SEARCH_MULTIPLIER, query_id: str = "query_id",
+    queries: DataFrame, coded: DataFrame, books: np.ndarray, k: int = TOP_K, multiplier: int | None = None, query_id: str = "query_id",
     doc_id: str = "doc_id", query_vec: str = "query_vec", doc_vec: str = "embedding",
 ) -> DataFrame:
-    """The best k by exact distance of the ``k * multiplier`` candidates that codes give; ties by doc id."""
+    """The best k by exact distance of the ``k * multiplier`` candidates that codes give; ties by doc id.
+
+    A multiplier that is not given is tuned on a sample.
+    """
+    multiplier = multiplier or tune_multiplier(coded, books, k, doc_id=doc_id, doc_vec=doc_vec)
     near = code_candidates(queries, coded, books, k * multiplier, query_id, doc_id, query_vec)
     near = settled(near.select(query_id, doc_id), "candidates")
     scored = near.join(coded.select(doc_id, doc_vec), doc_id).join(queries.select(query_id, query_vec), query_id)
