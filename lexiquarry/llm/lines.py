@@ -35,7 +35,7 @@ WORDS_UP_TO, CHARACTERS_FROM = 16, 8
 WORDS_LEAST = 10
 #: Runs of a part, whose hashes its SimHash is the majority of.
 RUNS = 3
-#: Longer lines than this are compared stretch by stretch.
+#: Lines longer than LONG are compared stretch by stretch first.
 STRETCH, LONG = 1_000, 10_000
 #: Lines of one open key that meet in one cell.
 CELL = 512
@@ -125,7 +125,7 @@ def _near(a: str, b: str) -> Column:
 def _within(a: Column, b: Column, most: Column) -> Column:
     """Whether the edit distance is at most ``most``. Only a band of the table is computed, a narrow one first: most similar lines differ in a few places."""
     found = F.lit(False)
-    for band in (None, 32, 4):
+    for band in (None, 512, 32, 4):
         width = most if band is None else F.least(F.lit(band), most)
         near = F.call_function("levenshtein", a, b, width) >= 0
         found = near if band is None else F.when(near, True).when(most <= band, False).otherwise(found)
@@ -153,8 +153,9 @@ def _trimmed(a: Column, b: Column, most: Column) -> Column:
 def similar(a: Column, b: Column, percent: int = PERCENT) -> Column:
     """Whether the edit distance is at most (100 - percent) % of the longer text.
 
-    Texts beyond LONG characters are cut into as many stretches each, and the distances of the stretches are added up;
-    that is never less than the edit distance, and the work grows with the length only.
+    Texts beyond LONG characters are first cut into as many stretches each, and the distances of the stretches are added
+    up; that is never less than the edit distance, so texts it finds similar are. The others are decided by the edit
+    distance itself, in a band that grows up to the distance allowed.
     """
     longer, shorter = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
     most = F.floor(longer * (100 - percent) / 100).cast("int")
@@ -165,7 +166,7 @@ def similar(a: Column, b: Column, percent: int = PERCENT) -> Column:
         return _let(F.split(text, ""), lambda units: F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.array_join(F.slice(units, i * share + 1, share), "")))
 
     apart = F.aggregate(F.zip_with(stretches(a), stretches(b), lambda x, y: F.levenshtein(x, y)), F.lit(0), lambda s, x: s + x)
-    near = F.when(longer > LONG, apart <= most).otherwise(_trimmed(a, b, most))
+    near = F.when((longer > LONG) & (apart <= most), True).otherwise(_trimmed(a, b, most))
     return F.when(longer - shorter > most, False).otherwise(near)
 
 
