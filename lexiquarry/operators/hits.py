@@ -94,18 +94,17 @@ def messages_as_of(
 ) -> DataFrame:
     """conv_id, turn, pos, role, content: for every user turn the messages a model would get, its question last.
 
-    Before the question come up to ``last`` earlier messages, in order, and before these the ``system`` message. Each
-    message is handed on to the positions that may need it, so turns meet by position and no conversation is joined
-    with itself. Turns are ordered by turn, then role and text; rows of the same turn are messages of their own.
+    Before the question come up to ``last`` earlier messages, in order, and before these the ``system`` message. Turns
+    are shuffled once, by conversation; the messages of a question are copied to it behind that shuffle. Turns are
+    ordered by turn, then role and text; rows of the same turn are messages of their own.
     """
     order = Window.partitionBy(conv_id).orderBy(F.col(turn).asc_nulls_first(), role, text)
-    placed = turns.select(conv_id, turn, F.col(role).alias("role"), F.col(text).alias("content"), F.row_number().over(order).alias("_at"))
-    asked = placed.where("role = 'user'").select(F.col(conv_id).alias("_c"), F.col(turn).alias("_turn"), F.col("_at").alias("_now"))
-    ahead = placed.select(conv_id, "role", "content", "_at", F.explode(F.sequence(F.col("_at"), F.col("_at") + last)).alias("_now"))
-    both = ahead.join(asked, F.col(conv_id).eqNullSafe(F.col("_c")) & (ahead["_now"] == asked["_now"]))
-    first = F.greatest(asked["_now"] - last, F.lit(1))
-    body = both.select(conv_id, F.col("_turn").alias("turn"), (F.col("_at") - first + 1).cast("bigint").alias("pos"), "role", "content", asked["_now"].alias("_now"))
+    upto = F.collect_list(F.struct(F.col(role).alias("role"), F.col(text).alias("content"))).over(order.rowsBetween(-last, 0))
+    asked = turns.select(conv_id, F.col(turn).alias("turn"), F.col(role).alias("_asks"), upto.alias("_upto")).where("_asks = 'user'")
+    first = 1
     if system is not None:
-        head = asked.select(F.col("_c").alias(conv_id), F.col("_turn").alias("turn"), F.lit(0).cast("bigint").alias("pos"), F.lit("system").alias("role"), F.lit(system).alias("content"), "_now")
-        body = head.unionAll(body)
-    return body.drop("_now")
+        head = F.struct(F.lit("system").alias("role"), F.lit(system).alias("content"))
+        asked, first = asked.withColumn("_upto", F.concat(F.array(head), "_upto")), 0
+    return asked.select(conv_id, "turn", F.posexplode("_upto").alias("_at", "_message")).select(
+        conv_id, "turn", (F.col("_at") + first).cast("bigint").alias("pos"), "_message.role", "_message.content"
+    )
