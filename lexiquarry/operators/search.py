@@ -29,8 +29,9 @@ from ..params import BLOCK_ROWS, DECAY_SCALE, MIN_SIMILARITY, NPROBE, SMALL_SIDE
 from ..functions.vectors import l2sq, score_decay
 from .common import settled
 
-_QUERY_SLICE = 256
-_PAIR_SLICE = 1 << 18
+#: Queries compared with a block at a time, and pairs whose exact metric is computed at a time.
+_QUERY_SLICE = 128
+_PAIR_SLICE = 1 << 15
 METRICS = {"l2sq": "distance", "cosine": "similarity"}
 
 
