@@ -8,6 +8,7 @@ have open bins, and takes the longest of them first.
 
 from __future__ import annotations
 
+import itertools
 import os
 import unicodedata
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ OPEN_BINS = 1024
 ROUND_PIECES = 100_000
 #: Distinct words whose ids a worker remembers.
 REMEMBERED = 600_000
+#: New words that go through the tokenizer at a time.
+NEW_WORDS = 2_000
 #: Characters of text that are tokenized together.
 TOGETHER = 1 << 20
 
@@ -61,15 +64,40 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
-        self.names = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.single = Tokenizer.from_file(path)
-        self.single.normalizer = None
-        self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # One tokenizer serves whole texts and single words; a second one would take as much memory again.
+        self.tokenizer = Tokenizer.from_file(path)
+        self.names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ways = {
+            "whole": (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer),
+            "single": (None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)),
+        }
+        self.way = "whole"
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, np.ndarray] = {}
+        """Words are held as sorted hashes with the place and number of their ids in one pool."""
+        self.keys, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.place, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _tokenizer(self, way: str):
+        if way != self.way:
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.ways[way]
+            self.way = way
+        return self.tokenizer
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Add the ids of new words; keys: their hashes, sorted."""
+        found, sizes = [self.pool], np.zeros(len(words), np.int32)
+        single = self._tokenizer("single")
+        for low in range(0, len(words), NEW_WORDS):
+            ids = [e.ids for e in single.encode_batch_fast(words[low : low + NEW_WORDS], add_special_tokens=False)]
+            sizes[low : low + len(ids)] = [len(i) for i in ids]
+            found.append(np.fromiter(itertools.chain.from_iterable(ids), np.uint32))
+        at = np.searchsorted(self.keys, keys)
+        self.place = np.insert(self.place, at, len(self.pool) + np.cumsum(sizes, dtype=np.int64) - sizes)
+        self.size = np.insert(self.size, at, sizes)
+        self.keys = np.insert(self.keys, at, keys)
+        self.pool = np.concatenate(found)
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, the end id last."""
@@ -86,7 +114,7 @@ class WordIds:
                 plain.append(i)
                 raw.append(code)
             except ValueError:  # also what encode raises
-                ids = self.whole.encode(text, add_special_tokens=False).ids
+                ids = self._tokenizer("whole").encode(text, add_special_tokens=False).ids
                 out[i] = np.array([*ids, END_ID], np.uint32)
         at = 0
         while at < len(plain):
@@ -123,20 +151,14 @@ class WordIds:
         space = np.flatnonzero(kind == 0)
         end = np.minimum(np.append(at[1:], n), space[np.searchsorted(space, at)])
         keys, first, which = np.unique(span_hashes(data, at, end), return_index=True, return_inverse=True)
-        if len(self.known) + len(keys) > REMEMBERED:
+        if len(self.keys) + len(keys) > REMEMBERED:
             self.forget()
-        listed = keys.tolist()
-        parts = [self.known.get(k) for k in listed]
-        new = [i for i, p in enumerate(parts) if p is None]
-        if new:
+        new = np.flatnonzero(~np.isin(keys, self.keys, assume_unique=True))
+        if len(new):
             text = data.tobytes().decode("latin-1")
-            fresh = [text[at[j] : end[j]] for j in first[new].tolist()]
-            for i, found in zip(new, self.single.encode_batch_fast(fresh, add_special_tokens=False)):
-                parts[i] = self.known[listed[i]] = np.array(found.ids, np.uint32)
-        pool = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        size = np.array([len(p) for p in parts], np.int64)
-        offset = np.cumsum(size) - size
-        size, offset = size[which], offset[which]
+            self._learn(keys[new], [text[at[j] : end[j]] for j in first[new].tolist()])
+        listed = np.searchsorted(self.keys, keys)[which]
+        size, offset, pool = self.size[listed].astype(np.int64), self.place[listed], self.pool
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         ids = pool[np.arange(total) - np.repeat(ends - size - offset, size)] if total else np.zeros(0, np.uint32)
