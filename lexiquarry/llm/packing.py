@@ -29,11 +29,11 @@ OPEN_BINS = 1024
 #: Pieces that one packer takes in the rounds that pack again what was left open.
 ROUND_PIECES = 100_000
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: New words that go through the tokenizer at a time.
 NEW_WORDS = 2_000
-#: Characters of text that are tokenized together.
-TOGETHER = 1 << 20
+#: Characters of text that are tokenized together, and rows whose texts and ids a worker holds at a time.
+TOGETHER, ROWS = 1 << 18, 64
 
 # Classes of Latin-1 characters: 0 white space, 1 letter, 2 number, 3 other.
 _CLASS = np.full(256, 3, np.uint8)
@@ -179,28 +179,30 @@ def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
     """
     kind = docs.schema[key].dataType.simpleString()
 
+    def pieces_of(ids_of: WordIds, rows: pa.RecordBatch) -> pa.RecordBatch:
+        found = ids_of(rows.column(text).to_pylist())
+        owner, piece, start, length, ids = [], [], [], [], []
+        for i, all_ids in enumerate(found):
+            for p, at in enumerate(range(0, len(all_ids), sequence)):
+                part = all_ids[at : at + sequence]
+                owner.append(i)
+                piece.append(p)
+                start.append(at)
+                length.append(len(part))
+                ids.append(part.astype("<u4").tobytes())
+        return pa.RecordBatch.from_arrays(
+            [rows.column(key).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+             pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
+            [key, "piece", "start", "length", "ids"],
+        )
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _tokenizers:
             _tokenizers[tokenizer] = WordIds(tokenizer)
-        ids_of = _tokenizers[tokenizer]
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                rows = batch.slice(low, 512)
-                found = ids_of(rows.column(text).to_pylist())
-                owner, piece, start, length, ids = [], [], [], [], []
-                for i, all_ids in enumerate(found):
-                    for p, at in enumerate(range(0, len(all_ids), sequence)):
-                        part = all_ids[at : at + sequence]
-                        owner.append(i)
-                        piece.append(p)
-                        start.append(at)
-                        length.append(len(part))
-                        ids.append(part.astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(key).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                     pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-                    [key, "piece", "start", "length", "ids"],
-                )
+            for low in range(0, batch.num_rows, ROWS):
+                yield pieces_of(_tokenizers[tokenizer], batch.slice(low, ROWS))
+            del batch  # before the next one is read
 
     return docs.select(key, text).mapInArrow(cut, f"`{key}` {kind}, piece INT, start BIGINT, length BIGINT, ids BINARY")
 
@@ -281,13 +283,14 @@ def _pack_round(pieces: DataFrame, sequence: int, bins: int, last: bool) -> Data
 def pack(pieces: DataFrame, sequence: int = SEQUENCE, bins: int = OPEN_BINS, together: int = ROUND_PIECES) -> DataFrame:
     """``pieces`` (with length, at most ``sequence``) with sequence_id and offset.
 
-    Every task packs what it reads. The pieces of bins that are still open at its end are packed again in fewer tasks
+    Pieces are written first, and every task packs what it reads of them: in one stage, each task would have a worker
+    that makes pieces and another one that packs them, both in memory. The pieces of bins that are still open at its end are packed again in fewer tasks
     of about ``together`` pieces, until one task is left: each round keeps at most ``bins`` bins of a task, so the rows
     fall by a constant factor. Columns named sequence_id and offset are replaced; other columns stay. Equal rows are
     packed each on their own. An empty table gives an empty result.
     """
     spark = pieces.sparkSession
-    pieces = pieces.drop("sequence_id", "offset")
+    pieces = materialize(pieces.drop("sequence_id", "offset"), "pieces")
     names, done, level = pieces.columns, [], 0
     n = None
     while True:

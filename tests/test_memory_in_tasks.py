@@ -5,6 +5,7 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexiquarry.llm import packing
 from lexiquarry.operators import hits as H, search as S
@@ -47,3 +48,19 @@ def test_histories_are_shuffled_once(spark, capsys):
     assert sorted((r.turn, r.pos, r.content) for r in out.where("turn = 5").collect()) == [(5, 0, "s"), (5, 1, "m3"), (5, 2, "m4"), (5, 3, "m5")]
     out.explain()
     assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
+
+
+def test_pieces_are_made_and_packed_one_after_the_other(spark, monkeypatch):
+    """No task has a worker that makes pieces next to one that packs them."""
+    plans, pack_round = [], packing._pack_round
+
+    def watched(pieces, *args):
+        plans.append(pieces._jdf.queryExecution().executedPlan().toString())
+        return pack_round(pieces, *args)
+
+    monkeypatch.setattr(packing, "_pack_round", watched)
+    made = spark.range(300).mapInArrow(lambda batches: batches, "id long").select("id", (F.col("id") % 70 + 1).alias("length"))
+    out = packing.pack(made, sequence=100, bins=8, together=50)
+    full = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("id").alias("k")).collect()
+    assert sum(r.k for r in full) == 300 and max(r.n for r in full) <= 100
+    assert len(plans) > 1 and not any("MapInArrow" in p for p in plans)
