@@ -114,29 +114,18 @@ class Terms:
         return np.concatenate(rows), np.concatenate(found)
 
 
-def term_counts(lists: DataFrame, terms: list[str], id_col: str, stop_words=(), lengths: bool = False) -> DataFrame:
-    """(id, nth, tf): how often the nth of ``terms`` is in a text. A few terms, which every task gets.
-
-    With ``lengths`` also len, the words of the text, and a row with nth -1 and tf 1 for every text.
-    """
+def term_counts(lists: DataFrame, terms: list[str], id_col: str, stop_words=()) -> DataFrame:
+    """(id, nth, tf): how often the nth of ``terms`` is in a text. A few terms, which every task gets."""
     kind = lists.schema[id_col].dataType.simpleString()
     model = lists.sparkSession.sparkContext.broadcast(Terms(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.value
         for batch in batches:
-            there = batch.column("_words").is_valid().to_numpy(zero_copy_only=False)
             for first, sizes, codes, names in word_runs(batch.column("_words")):
                 row, which = known.find(*_usable(sizes, codes, names, stop_words), names)
                 key, tf = np.unique(row * max(known.n, 1) + which, return_counts=True)
                 row, which = key // max(known.n, 1), key % max(known.n, 1)
-                if lengths:
-                    whole = np.flatnonzero(there[first : first + len(sizes)])
-                    row, which, tf = (np.concatenate(x) for x in ((whole, row), (np.full(len(whole), -1), which), (np.ones(len(whole), int), tf)))
-                arrays = [batch.column(id_col).take(pa.array(row + first)), pa.array(which, pa.int32()), pa.array(tf, pa.int64())]
-                if lengths:
-                    arrays.append(pa.array(sizes[row], pa.int32()))
-                yield pa.RecordBatch.from_arrays(arrays, [id_col, "nth", "tf", "len"][: len(arrays)])
-
-    fields = f"`{id_col}` {kind}, nth INT, tf BIGINT" + (", len INT" if lengths else "")
-    return lists.mapInArrow(run, fields)
+                yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(row + first)), pa.array(which, pa.int32()), pa.array(tf, pa.int64())], [id_col, "nth", "tf"])
+
+    return lists.mapInArrow(run, f"`{id_col}` {kind}, nth INT, tf BIGINT")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import document_identity, strip, tokens
 from ..params import BM25_B, BM25_K1, BROADCAST_ROWS, RRF_K, TOP_K
 from ..session import materialize
-from .common import settled, spread
+from .common import filled, settled, spread
 from .search import knn, with_score
 
 
@@ -37,7 +37,8 @@ def bm25(
     """Top k documents per query by BM25: (query, doc, score, rank); ties by doc id.
 
     Tokens of the corpus meet the distinct query terms before the only large
-    shuffle, by document. Counting and scoring use that partitioning, and only
+    shuffle, by document, into as many partitions as the texts fill, so what a
+    task counts and sorts does not grow with the corpus. Counting and scoring use that partitioning, and only
     the k best documents per query and task leave it: pairs of a query and a
     document are never rows. With more than BROADCAST_ROWS terms of questions, the
     questions are taken in blocks of about that many. Every document also sends one empty token, so the number
@@ -59,7 +60,7 @@ def bm25(
             doc_id, F.size("_tokens").alias("len"), F.explode(F.concat("_tokens", F.array(F.lit("")))).alias("term")
         )
         .join(mark(vocabulary), "term")
-        .repartition(doc_id)
+        .repartition(filled(docs), doc_id)
         .groupBy(doc_id, "len", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -82,7 +83,7 @@ def bm25(
         weighted = materialize(weighted.select(query_id, "term", "idf"), "weights")
         parts, blocks = materialize(parts, "parts"), -(-weighted.count() // BROADCAST_ROWS)
         block = F.pmod(F.xxhash64(query_id), F.lit(blocks))
-        passes = [_best_in_task(parts.repartition(doc_id), weighted.where(block == i), k, query_id, doc_id) for i in range(blocks)]
+        passes = [_best_in_task(parts.repartition(filled(docs), doc_id), weighted.where(block == i), k, query_id, doc_id) for i in range(blocks)]
         scores = functools.reduce(DataFrame.unionAll, passes)
     best = Window.partitionBy(query_id).orderBy(F.col("score").desc(), doc_id)
     return (

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from lexiquarry.operators import counting as C, vectorize as V
+from lexiquarry.operators import common, counting as C, retrieval as R, vectorize as V
 
 STOP = ("the", "of")
 
@@ -62,3 +62,25 @@ def test_terms_are_found_word_by_word(spark, monkeypatch):
     for r in C.term_counts(C.word_lists(docs, "doc_id", "content"), terms, "doc_id", STOP).collect():
         got[r.doc_id, r.nth] += r.tf
     assert got == want
+
+
+def test_partitions_follow_the_texts(spark, monkeypatch, tmp_path):
+    """What a task of bm25 sums does not grow with the table, and hits stay the same."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(_texts())] * 2, "doc_id long, content string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    asked = spark.createDataFrame([(1, "red w7 the"), (2, "blue unknown")], "query_id long, query string")
+    monkeypatch.setattr(common, "PARTITION_BYTES", 1 << 30)
+    few = R.bm25(asked, docs, 5).collect()
+    assert len(few) == 10
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    monkeypatch.setattr(common, "PARTITION_BYTES", size // 30)
+    asked_for, repartition = [], type(docs).repartition
+
+    def watched(self, n, *cols):
+        asked_for.append(n)
+        return repartition(self, n, *cols)
+
+    monkeypatch.setattr(type(docs), "repartition", watched)
+    assert sorted(R.bm25(asked, docs, 5).collect()) == sorted(few)
+    assert max(n for n in asked_for if isinstance(n, int)) >= 30
