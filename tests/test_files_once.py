@@ -9,7 +9,7 @@ def test_files_are_routed_once(spark):
         lambda batches: batches, "source string, path string, mime string, content string"
     )
     chunks, refused = process_files(read, size=100, overlap=0)
-    assert {(r.source, r.kind) for r in chunks.collect()} == {("a", "csv"), ("b", "markdown"), ("c", "text")}
+    assert {(r.source, r.kind) for r in chunks.collect()} == {("a", "csv"), ("b", "table_text"), ("c", "text")}
     assert {(r.source, r.error) for r in refused.collect()} == {("d", "no content"), ("e", "a workbook needs a decoder")}
     for out in (chunks, refused):
         assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
