@@ -84,3 +84,18 @@ def test_partitions_follow_the_texts(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(type(docs), "repartition", watched)
     assert sorted(R.bm25(asked, docs, 5).collect()) == sorted(few)
     assert max(n for n in asked_for if isinstance(n, int)) >= 30
+
+
+def test_encoder_equals_one_that_adds_word_by_word():
+    import zlib
+
+    import numpy as np
+
+    texts = ["Red blue, RED blue", "", "ÉTÉ straße été", "one", " \n"]
+    want = np.zeros((len(texts), 16), np.float32)
+    for row, words in zip(want, (["red", "blue", "red", "blue"], [], ["été", "straße", "été"], ["one"], [])):
+        for gram in [*words, *map(" ".join, zip(words, words[1:]))]:
+            code = zlib.crc32(gram.encode())
+            row[code % 16] += -1 if code >> 31 else 1
+        row /= np.linalg.norm(row) or 1
+    assert np.array_equal(V.hashing_encoder(16)(texts), want) and V.hashing_encoder(16)([]).shape == (0, 16)
