@@ -34,6 +34,27 @@ def bounded_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if rows * width <= most else df
 
 
+#: Rows of the table that says which hashes may be wanted; each stands for 64 of them.
+SLOTS = 1 << 17
+
+
+def with_chance(df: DataFrame, key: str, wanted: DataFrame, of: str, name: str) -> DataFrame:
+    """``df`` with ``name``: whether its hash ``key`` may be among the hashes ``of`` in ``wanted``; it is never false for one that is.
+
+    So rows with texts that find no partner need no shuffle. The broadcast side has SLOTS rows at most, whatever the
+    size of ``wanted``; beyond 64 * SLOTS hashes, more and more rows are let through, none is lost.
+    """
+    def place(hashed: Column) -> tuple[Column, Column]:
+        bit = F.pmod(F.shiftrightunsigned(hashed, 32), F.lit(64)).cast("int")
+        return F.pmod(hashed, F.lit(SLOTS)), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+
+    slot, bit = place(F.col(of))
+    known = F.broadcast(wanted.groupBy(slot.alias("_slot")).agg(F.bit_or(bit).alias("_bits")))
+    slot, bit = place(F.col(key))
+    found = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return df.join(known, slot == F.col("_slot"), "left").select(*[F.col(f"`{c}`") for c in df.columns], found.alias(name))
+
+
 #: Rows of a narrow table that one file gets.
 FILE_ROWS = 200_000
 

@@ -20,7 +20,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
-from .common import bounded_broadcast, fresh, settle
+from .common import bounded_broadcast, fresh, settle, with_chance
 from .graph import components
 
 #: Edit similarity in percent of the longer line from which lines link.
@@ -177,6 +177,29 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return joined.where(similar(F.col("text_a"), F.col("text_b"), percent)).select("a", "b")
 
 
+def _open_links(still: DataFrame, forms, percent: int) -> DataFrame:
+    """a, b: links between lines of different components that share an open key; still: key, x (line, length), component, cells.
+
+    The texts travel with the lines and are compared where these meet, so pairs are neither written nor shuffled. Lines
+    that share several keys are compared under the smallest one.
+    """
+    texts = forms(still.select(F.col("x.line").alias("a"), F.col("x.line").alias("b")))
+    under = still.groupBy(F.col("x.line").alias("under")).agg(F.collect_set("key").alias("keys"))
+    known = texts.join(under, F.col("line") == F.col("under")).select("line", "form", "keys")
+    still = materialize(still.join(known, F.col("x.line") == F.col("line")).select("key", "x", "component", "cells", "form", "keys"), "texts")
+    tasks = int(still.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own, every = F.pmod(F.xxhash64("x.line"), F.col("cells")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    left = still.select("key", "x", "component", "form", "keys", own.alias("row"), every.alias("column"))
+    right = still.select(
+        "key", F.col("x").alias("y"), F.col("component").alias("other"), F.col("form").alias("text"), F.col("keys").alias("others"), own.alias("column"), every.alias("row")
+    )
+    # Cells are small and take long, so Spark must not put many of them into one task.
+    met = left.repartition(tasks, "key", "row", "column").join(right.repartition(tasks, "key", "row", "column").hint("merge"), ["key", "row", "column"])
+    once = F.array_min(F.array_intersect("keys", "others")) == F.col("key")
+    met = met.where((F.col("x.line") < F.col("y.line")) & (F.col("component") != F.col("other")) & _near("x", "y") & once & similar(F.col("form"), F.col("text"), percent))
+    return met.select(F.col("x.line").alias("a"), F.col("y.line").alias("b"))
+
+
 def fuzzy_groups(signed: DataFrame, rows: int, forms, percent: int = PERCENT) -> DataFrame:
     """line, component for all lines that are linked; signed: as ``near_keys`` takes it; forms: gives the texts of pairs' lines.
 
@@ -202,13 +225,7 @@ def fuzzy_groups(signed: DataFrame, rows: int, forms, percent: int = PERCENT) ->
     mixed = labelled.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("n"))
     mixed = mixed.where("c1 <> c2").select("key", F.ceil(F.col("n") / CELL).cast("int").alias("cells"))
     still = materialize(labelled.join(mixed, "key"), "open")
-    own, every = F.pmod(F.xxhash64("x.line"), F.col("cells")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
-    left = still.select("key", "x", "component", own.alias("row"), every.alias("column"))
-    right = still.select("key", F.col("x").alias("y"), F.col("component").alias("other"), own.alias("column"), every.alias("row"))
-    rest = left.join(right, ["key", "row", "column"]).where((F.col("x.line") < F.col("y.line")) & (F.col("component") != F.col("other")) & _near("x", "y"))
-    rest = rest.select(F.col("x.line").alias("a"), F.col("y.line").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    rest = materialize(rest, "rest")
-    links = known.unionAll(materialize(_links(rest, forms(rest), percent), "links"))
+    links = known.unionAll(materialize(_open_links(still, forms, percent), "links"))
     return components(links, links.count())
 
 
@@ -240,8 +257,11 @@ def drop_near_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
         at = lines.select("line", "first").join(wanted, F.col("line") == F.col("wanted"), "left_semi")
         at = at.groupBy(F.col("first.mark").alias("at_mark")).agg(F.collect_set(F.struct(F.col("first.place").alias("place"), "line")).alias("places"))
-        at = bounded_broadcast(materialize(at, "wanted"))
-        source = docs.where(F.col(text).isNotNull()).select(mark.alias("mark"), F.split(F.col(text), "\n", -1).alias("whole")).join(at, F.col("mark") == F.col("at_mark"))
+        at = materialize(at, "wanted")
+        near, source = bounded_broadcast(at), docs.where(F.col(text).isNotNull()).select(mark.alias("mark"), F.col(text).alias("whole"))
+        if near is at:
+            source = with_chance(source, "mark", at, "at_mark", "chance").where("chance")
+        source = source.join(near, F.col("mark") == F.col("at_mark")).select("places", F.split("whole", "\n", -1).alias("whole"))
         raw = source.select(F.explode(F.transform("places", lambda p: F.struct(p["line"].alias("line"), F.get("whole", p["place"]).alias("raw")))).alias("p"))
         return materialize(raw.select("p.line", compared_form(F.col("p.raw")).alias("form")).dropDuplicates(["line"]), "forms")
 
@@ -258,10 +278,16 @@ def _without_repeats(docs: DataFrame, text: str, mark: Column, seen: DataFrame,
     gone = seen.join(again, F.col("line") == F.col("again")).where((F.col("mark") != F.col("keep_mark")) | (F.col("place") != F.col("keep_place")))
     gone = settle(gone.groupBy("mark").agg(F.collect_set("place").alias("places")), "gone", rows)
 
-    row, lost = fresh(docs, "_line_mark"), fresh(docs, "_lost")
-    joined = docs.withColumn(row, mark).join(
-        bounded_broadcast(gone.select(F.col("mark").alias("_gone_mark"), F.col("places").alias(lost))), F.col(row) == F.col("_gone_mark"), "left"
-    )
+    row, lost, chance = fresh(docs, "_line_mark"), fresh(docs, "_lost"), fresh(docs, "_chance")
+    gone = gone.select(F.col("mark").alias("_gone_mark"), F.col("places").alias(lost))
+    near, marked = bounded_broadcast(gone), docs.withColumn(row, mark)
+    if near is gone:
+        # Only texts that may lose a line are shuffled.
+        marked = with_chance(marked, row, gone, "_gone_mark", chance)
+        whole = marked.where(~F.col(chance)).withColumn("_gone_mark", F.lit(None).cast("bigint")).withColumn(lost, F.lit(None).cast("array<int>"))
+        joined = marked.where(chance).join(gone, F.col(row) == F.col("_gone_mark"), "left").unionByName(whole)
+    else:
+        joined = marked.join(near, F.col(row) == F.col("_gone_mark"), "left")
     left = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(F.col(lost), i))
     return joined.select(
         *[F.when(F.col(lost).isNull(), F.col(text)).otherwise(F.array_join(left, "\n")).alias(text) if c == text else F.col(c) for c in docs.columns],
