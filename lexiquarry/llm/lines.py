@@ -65,9 +65,8 @@ def _majority(a: Column, b: Column, c: Column) -> Column:
     return a.bitwiseAND(b).bitwiseOR(b.bitwiseAND(c)).bitwiseOR(a.bitwiseAND(c))
 
 
-def _size_below(x: Column) -> Column:
-    """The largest of 0, 1, 2, 3, 4, 6, 8, 12, 16 and so on that is not above x."""
-    power = F.call_function("shiftleft", F.lit(1), F.length(F.bin(x)) - 1)
+def _size_below(x: Column, power: Column) -> Column:
+    """The largest of 0, 1, 2, 3, 4, 6, 8, 12, 16 and so on that is not above x; ``power``: the largest power of two that is not."""
     return F.when(x < 2, x.cast("int")).when(x * 2 >= power * 3, (power * 3 / 2).cast("int")).otherwise(power)
 
 
@@ -89,20 +88,38 @@ def with_signatures(lines: DataFrame) -> DataFrame:
     has_characters = (size >= 100 // (100 - PERCENT)) & (
         (size < CHARACTERS_BELOW) | (words < WORDS_LEAST + 2) | (words * CHARACTERS_FROM < size) | (octets > size * 2)
     )
+    # Columns of their own, so that each is computed once.
+    known = known.select("*", *[F.floor(x / BLOCKS).alias(f"_x{i}") for i, x in enumerate((words, words * 1.15, size, size * 1.15))])
+    known = known.select("*", *[F.call_function("shiftleft", F.lit(1), F.length(F.bin(f"_x{i}")) - 1).alias(f"_power{i}") for i in range(4)])
+    known = known.select("*", *[_size_below(F.col(f"_x{i}"), F.col(f"_power{i}")).alias(f"_part{i}") for i in range(4)])
     either = []
     for kind, has, n in ((0, has_words, words), (1, has_characters, size)):
-        small, large = (_size_below(F.floor(x / BLOCKS)) for x in (n, n * 1.15))
+        small, large = F.col(f"_part{2 * kind}"), F.col(f"_part{2 * kind + 1}")
         for use, part in ((has, small), (has & (large != small) & (large * 4 <= n), large)):
             either.append(F.when(use, F.struct(F.lit(kind).alias("kind"), n.alias("n"), part.cast("int").alias("size"))))
     cut = known.select(*kept, F.posexplode_outer(F.array_compact(F.array(*either))).alias("_nth", "_s")).select(
         *kept, F.coalesce("_nth", F.lit(0)).alias("nth"), "_s.kind", "_s.size", F.col("_s.n").alias("_n")
     )
     n, part = F.col("_n"), F.col("size")
-    starts = [(F.lit(0), part), (part, part), (part * 2, n - part * 4), (n - part * 2, part), (n - part, part)]
-    counts = [start + F.floor(of * r / RUNS).cast("int") for start, of in starts for r in range(RUNS)] + [n]
-    places = [F.when(F.col("kind") == 1, c).otherwise(F.length(F.call_function("substring_index", form, F.lit(" "), c))) for c in counts]
-    placed = cut.select(*kept, "nth", "kind", "size", *[p.alias(f"_p{i}") for i, p in enumerate(places)])
-    runs = [F.xxhash64(F.substr(form, F.col(f"_p{i}") + 1, F.col(f"_p{i + 1}") - F.col(f"_p{i}"))).alias(f"_h{i}") for i in range(RUNS * BLOCKS)]
+    # Each run is cut off the begin of what is left, so a line is walked through once or twice, not for every run. Four parts
+    # have runs of the same sizes. The blank between two runs of words is the first character of the second one.
+    blank = F.when(F.col("kind") == 0, 1).otherwise(0)
+    ends = cut.select(*kept, "nth", "kind", "size", form.alias("_rest"), blank.alias("_blank"), *[
+        F.floor(of * r / RUNS).cast("int").alias(f"_{name}{r}") for name, of in (("s", part), ("m", n - part * 4)) for r in range(1, RUNS + 1)
+    ])
+    counts = {f"_{k}{r}": F.col(f"_{k}{r + 1}") - (F.col(f"_{k}{r}") if r else 0) for k in "sm" for r in range(RUNS)}
+    placed = ends.select(
+        *kept, "nth", "kind", "size", "_rest", *[F.when(c > 0, c + F.col("_blank")).otherwise(0).alias(f"_c{name}") for name, c in counts.items()],
+        F.col("_s1").alias("_c_f0"), (counts["_s1"] + F.when(F.col("_s1") > 0, F.col("_blank")).otherwise(0)).alias("_c_f1"),
+    )
+    rest, last = F.col("_rest"), RUNS * BLOCKS - 1
+    sizes = ["_c_f0", "_c_f1", "_c_s2", *[f"_c_{k}{r}" for k in "sms" for r in range(RUNS)], "_c_s0", "_c_s1"]
+    for i, size in enumerate(sizes):
+        done, left = [f"_h{j}" for j in range(i)], sorted(set(sizes[i + 1 :]))
+        run = F.when(F.col("kind") == 1, F.left(rest, F.col(size))).otherwise(F.call_function("substring_index", rest, F.lit(" "), F.col(size)))
+        placed = placed.select(*kept, "nth", "kind", "size", *done, *left, "_rest", run.alias("_run"))
+        placed = placed.select(*kept, "nth", "kind", "size", *done, F.xxhash64("_run").alias(f"_h{i}"), *left, F.substr(rest, F.length("_run") + 1).alias("_rest"))
+    runs = [*[F.col(f"_h{i}") for i in range(last)], F.xxhash64("_rest").alias(f"_h{last}")]
     hashed = placed.select(*kept, "nth", "kind", "size", *runs)
     blocks = [_majority(*[F.col(f"_h{RUNS * j + r}") for r in range(RUNS)]).alias(f"block{j}") for j in range(BLOCKS)]
     return hashed.select(*kept, "nth", "kind", "size", *blocks)
@@ -211,7 +228,8 @@ def fuzzy_groups(signed: DataFrame, rows: int, forms, percent: int = PERCENT) ->
     one = F.struct("line", "length")
     # With all columns of the other side in use, both sides are one exchange.
     ends = keyed.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.max("length").alias("longest")).where("low <> high AND longest > 0")
-    keyed = materialize(keyed.join(ends, "key").select("key", one.alias("x"), "low", "high"), "candidates")
+    # Few keys have several lines, so their ends fit a hash table for each partition, and no row is sorted.
+    keyed = materialize(keyed.join(ends.hint("shuffle_hash"), "key").select("key", one.alias("x"), "low", "high"), "candidates")
     leads = keyed.where("x.line = low OR x.line = high").select("key", F.col("x").alias("y"))
     stars = keyed.select("key", "x").join(leads, "key").where((F.col("x.line") != F.col("y.line")) & _near("x", "y"))
     stars = stars.select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b")).distinct()
