@@ -32,7 +32,8 @@ def extremum_of_hits(
     field = F.coalesce("field", F.lit(default_field)) if "field" in questions.columns else F.lit(default_field)
     asked = questions.where(asks_extremum(F.col("query"))).select(query_id, field.alias("field"), wants_max(F.col("query")).alias("_most"))
     value = to_number(F.try_element_at(parse_kv(F.col("content"), aliases), F.col("field")), unit_suffix)
-    valued = found.join(asked, query_id).select(query_id, "field", doc_id, "_most", value.alias("value")).where("value IS NOT NULL")
+    # A generated column is computed once; the filter and the order would parse a text again.
+    valued = found.join(asked, query_id).select(query_id, "field", doc_id, "_most", F.explode(F.array(value)).alias("value")).where("value IS NOT NULL")
     order = Window.partitionBy(query_id).orderBy(F.when(F.col("_most"), -F.col("value")).otherwise(F.col("value")), doc_id)
     return valued.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_most")
 
