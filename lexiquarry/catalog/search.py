@@ -86,7 +86,8 @@ def overfetch_codes(spark, folder):
     """Candidates by product-quantized codes, re-ranked by exact distances, against exact search."""
     corpus = vectors(spark, folder)
     books = X.codebooks(corpus)
-    return _found(spark, folder, X.overfetch_coded(query_vectors(spark, folder), X.encode(corpus, books), books, 3))
+    coded = materialize(X.encode(corpus, books), "coded")
+    return _found(spark, folder, X.overfetch_coded(query_vectors(spark, folder), coded, books, 3))
 
 
 @query("overfetch_codes_ranks", f"""
@@ -96,7 +97,8 @@ def overfetch_codes_ranks(spark, folder):
     """The re-ranking: every vector is its own nearest candidate, at its exact distance."""
     corpus = vectors(spark, folder)
     books = X.codebooks(corpus)
-    hits = X.overfetch_coded(query_vectors(spark, folder), X.encode(corpus, books), books, 3)
+    coded = materialize(X.encode(corpus, books), "coded")
+    hits = X.overfetch_coded(query_vectors(spark, folder), coded, books, 3)
     return hits.where("query_id = doc_id").select("query_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("bigint").alias("rank"))
 
 

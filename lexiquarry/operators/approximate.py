@@ -21,7 +21,7 @@ from ..functions.vectors import l2sq
 from ..params import BLOCK_ROWS, SEARCH_MULTIPLIER, TOP_K
 from ..session import materialize
 from .common import settled
-from .search import _blocked, _matrix, _named, _ranked, clustered_search, knn
+from .search import _PAIR_SLICE, _blocked, _exact, _matrix, _named, _proposed, _ranked, _singles, clustered_search, knn
 
 #: Vectors a centre is fitted on, at most; rounds of a fit; bytes of a code per dimension; centres of a codebook.
 SAMPLE, ROUNDS, DIMENSIONS, CODES = 64, 12, 4, 256
@@ -33,6 +33,8 @@ TUNED_ON = 256
 _CELLS = 1 << 21
 #: Queries whose lookup tables are held at a time.
 _QUERIES = 64
+#: Values of the vectors in a block that is compared again where it is searched, and the least rows of one.
+BLOCK_VALUES, _LEAST_BLOCK = 1 << 22, 1024
 
 
 def kmeans(points: np.ndarray, k: int, seed: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -251,27 +253,83 @@ def encode(corpus: DataFrame, books: np.ndarray, doc_vec: str = "embedding", cod
     return corpus.withColumn(code, coded(F.col(doc_vec)))
 
 
+def _tables(queries: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Squared distances queries x parts x codes: from each part of a query to each centre of its codebook."""
+    cut = _padded(queries, books)
+    out = np.zeros((len(queries), *books.shape[:2]))
+    for i in range(books.shape[2]):
+        out += np.square(cut[:, :, None, i] - books[None, :, :, i])
+    return out
+
+
+def _decoded(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The vectors that codes stand for, as wide as the codebooks. A sum from a query's lookup table is the squared distance to one."""
+    return books[np.arange(codes.shape[1]), codes].reshape(len(codes), -1)
+
+
 def _code_sums(queries: np.ndarray, codes: np.ndarray, books: np.ndarray):
     """First query, and sums of queries x codes from each query's lookup table, a bounded number of cells at a time."""
     step = max(1, min(_QUERIES, _CELLS // max(1, len(codes))))
     for at in range(0, len(queries), step):
-        tables = np.square(_padded(queries[at : at + step], books)[:, :, None, :] - books[None]).sum(axis=3)
+        tables = _tables(queries[at : at + step], books)
         total = np.zeros((len(tables), len(codes)))
         for part in range(codes.shape[1]):
             total += tables[:, part][:, codes[:, part]]
         yield at, total
 
 
+def _code_slices(queries: np.ndarray, codes: np.ndarray, order: np.ndarray, books: np.ndarray, k: int):
+    """Rows (query, code, distance), a few queries at a time: the k least sums from each query's lookup table.
+
+    Matrix products with the decoded vectors propose pairs, and only these are looked up; all are where products leave too many open.
+    """
+    singles = _singles(_decoded(codes, books)) if len(queries) and len(codes) > k else None
+    for low in range(0, len(queries), _QUERIES):
+        some = queries[low : low + _QUERIES]
+        pairs = _proposed(_padded(some, books).reshape(len(some), -1), singles, k) if singles else None
+        if pairs is not None:
+            tables, (qi, xi) = _tables(some, books), pairs
+            value = np.zeros(len(qi))
+            for part in range(codes.shape[1]):
+                value += tables[qi, part, codes[xi, part]]
+            yield _first(low + qi, xi, value, order, k)
+            continue
+        for at, total in _code_sums(some, codes, books):
+            for i, row in enumerate(total):
+                # Codes are equal often; those as far as the last one stay until ties are decided.
+                near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
+                yield _first(np.full(len(near), low + at + i), near, row[near], order, k)
+
+
+def _first(qi: np.ndarray, xi: np.ndarray, value: np.ndarray, order: np.ndarray, k: int):
+    """The k pairs of least value of every query, ties by the order of the other side."""
+    by = np.lexsort((order[xi], value, qi))
+    qi, xi, value = qi[by], xi[by], value[by]
+    best = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left") < k
+    return qi[best], xi[best], value[best]
+
+
+def _joined(parts):
+    parts = [*parts]
+    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
 def _best_codes(queries: np.ndarray, codes: np.ndarray, order: np.ndarray, books: np.ndarray, k: int):
     """Rows (query, code, distance): the k least sums from each query's lookup table."""
-    out = []
-    for at, total in _code_sums(queries, codes, books):
-        for i, row in enumerate(total):
-            # Codes are equal often; those as far as the last one stay until ties are decided.
-            near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
-            near = near[np.lexsort((order[near], row[near]))][:k]
-            out.append((np.full(len(near), at + i), near, row[near]))
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    return _joined(_code_slices(queries, codes, order, books, k))
+
+
+def _best_reranked(queries: np.ndarray, vectors: np.ndarray, codes: np.ndarray, order: np.ndarray, books: np.ndarray, most: int, k: int):
+    """Rows (query, vector, distance): the k least exact distances among the ``most`` least sums from each query's lookup table."""
+
+    def exact(qi, xi, _):
+        value = np.empty(len(qi))
+        for at in range(0, len(qi), _PAIR_SLICE):
+            here = slice(at, at + _PAIR_SLICE)
+            value[here] = _exact(queries[qi[here]], vectors[xi[here]], "l2sq")
+        return _first(qi, xi, value, order, k)
+
+    return _joined(exact(*rows) for rows in _code_slices(queries, codes, order, books, most))
 
 
 def _raw_codes(codes: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -321,6 +379,25 @@ def tune_multiplier(
     return max(SEARCH_MULTIPLIER, math.ceil((last + 1) / k))
 
 
+def _cells(q: DataFrame, d: DataFrame, nq: int, nd: int, meet, schema: T.StructType) -> DataFrame:
+    """Rows of q (_q, ...) and d (_d, ...) dealt out by hash; each of nq blocks meets each of nd blocks in one task."""
+    nq, nd = F.lit(nq), F.lit(nd)
+    left = q.select("*", F.pmod(F.xxhash64("_q"), nq).cast("int").alias("_qb"), F.explode(F.sequence(F.lit(0), nd - 1)).alias("_db"))
+    right = d.select("*", F.explode(F.sequence(F.lit(0), nq - 1)).alias("_qb"), F.pmod(F.xxhash64("_d"), nd).cast("int").alias("_db"))
+    cell = ["_qb", "_db"]
+
+    def pairs(some: pa.Table, many: pa.Table) -> pa.Table:
+        many = many.sort_by("_d")
+        qi, di, value = meet(some, many) if some.num_rows and many.num_rows else _joined([])
+        return pa.table([some.column("_q").take(pa.array(qi)), many.column("_d").take(pa.array(di)), pa.array(value)], names=["_q", "_d", "_v"])
+
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(pairs, schema)
+
+
+def _pair_schema(q: DataFrame, d: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField("_q", q.schema["_q"].dataType), T.StructField("_d", d.schema["_d"].dataType), T.StructField("_v", T.DoubleType())])
+
+
 def code_candidates(
     queries: DataFrame, coded: DataFrame, books: np.ndarray, k: int, query_id: str = "query_id", doc_id: str = "doc_id",
     query_vec: str = "query_vec", code: str = "code", block_rows: int = BLOCK_ROWS,
@@ -328,37 +405,48 @@ def code_candidates(
     """query, doc, distance, rank: the k codes nearest to every query. Queries and codes meet in blocks; only codes travel."""
     q = queries.where(F.col(query_vec).isNotNull()).select(F.col(query_id).alias("_q"), F.col(query_vec).alias("_qv"))
     d = coded.where(F.col(code).isNotNull()).select(F.col(doc_id).alias("_d"), F.col(code).alias("_dv"))
-    wide = 16 * block_rows
-    nq, nd = (F.lit(max(1, -(-n // rows))) for n, rows in ((q.count(), block_rows), (d.count(), wide)))
-    left = q.select("_q", "_qv", F.pmod(F.xxhash64("_q"), nq).cast("int").alias("_qb"), F.explode(F.sequence(F.lit(0), nd - 1)).alias("_db"))
-    right = d.select("_d", "_dv", F.explode(F.sequence(F.lit(0), nq - 1)).alias("_qb"), F.pmod(F.xxhash64("_d"), nd).cast("int").alias("_db"))
+    nq, nd = (max(1, -(-n // rows)) for n, rows in ((q.count(), block_rows), (d.count(), 16 * block_rows)))
     sent = queries.sparkSession.sparkContext.broadcast(books)
-    schema = T.StructType([T.StructField("_q", q.schema["_q"].dataType), T.StructField("_d", d.schema["_d"].dataType), T.StructField("_v", T.DoubleType())])
 
-    def meet(some: pa.Table, many: pa.Table) -> pa.Table:
-        many = many.sort_by("_d")
-        if not some.num_rows or not many.num_rows:
-            qi, di, value = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-        else:
-            qi, di, value = _best_codes(_matrix(some.column("_qv")), _raw_codes(many.column("_dv")), np.arange(many.num_rows), sent.value, k)
-        return pa.table([some.column("_q").take(pa.array(qi)), many.column("_d").take(pa.array(di)), pa.array(value)], names=["_q", "_d", "_v"])
+    def meet(some: pa.Table, many: pa.Table):
+        return _best_codes(_matrix(some.column("_qv")), _raw_codes(many.column("_dv")), np.arange(many.num_rows), sent.value, k)
 
-    cell = ["_qb", "_db"]
-    pairs = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(meet, schema)
+    pairs = _cells(q, d, nq, nd, meet, _pair_schema(q, d))
     return _ranked(_named(pairs, "l2sq", query_id, doc_id), k, "l2sq", query_id, doc_id)
 
 
 def overfetch_coded(
     queries: DataFrame, coded: DataFrame, books: np.ndarray, k: int = TOP_K, multiplier: int | None = None, query_id: str = "query_id",
-    doc_id: str = "doc_id", query_vec: str = "query_vec", doc_vec: str = "embedding",
+    doc_id: str = "doc_id", query_vec: str = "query_vec", doc_vec: str = "embedding", code: str = "code", block_values: int = BLOCK_VALUES,
 ) -> DataFrame:
     """The best k by exact distance of the ``k * multiplier`` candidates that codes give; ties by doc id.
 
-    A multiplier that is not given is tuned on a sample.
+    A multiplier that is not given is tuned on a sample; it grows with the corpus. Few candidates are looked up in the
+    corpus. Where that would move more vectors than all blocks of both sides hold, vectors travel with their codes
+    instead, and candidates are compared again where they were found, so that no more than k of a block are ever rows.
+    Then each block of the corpus gives ``k * multiplier`` candidates: all that codes give for the whole corpus, and more.
     """
-    multiplier = multiplier or tune_multiplier(coded, books, k, doc_id=doc_id, doc_vec=doc_vec)
-    near = code_candidates(queries, coded, books, k * multiplier, query_id, doc_id, query_vec)
-    near = settled(near.select(query_id, doc_id), "candidates")
-    scored = near.join(coded.select(doc_id, doc_vec), doc_id).join(queries.select(query_id, query_vec), query_id)
-    scored = scored.select(query_id, doc_id, l2sq(F.col(query_vec), F.col(doc_vec)).alias("distance"))
-    return _ranked(scored, k, "l2sq", query_id, doc_id)
+    multiplier = multiplier or tune_multiplier(coded, books, k, doc_id=doc_id, doc_vec=doc_vec, code=code)
+    most = k * multiplier
+    q = queries.where(F.col(query_vec).isNotNull()).select(F.col(query_id).alias("_q"), F.col(query_vec).alias("_qv"))
+    d = coded.where(F.col(code).isNotNull()).select(F.col(doc_id).alias("_d"), F.col(doc_vec).alias("_dv"), F.col(code).alias("_c"))
+    asked, held = q.count(), d.count()
+    rows = max(_LEAST_BLOCK, block_values // max(1, books.shape[0] * books.shape[2]))
+    nq, nd = (max(1, -(-n // rows)) for n in (asked, held))
+    if asked * most <= held * nq + asked * nd:
+        near = code_candidates(queries, coded, books, most, query_id, doc_id, query_vec, code)
+        near = settled(near.select(query_id, doc_id), "candidates")
+        scored = near.join(coded.select(doc_id, doc_vec), doc_id).join(queries.select(query_id, query_vec), query_id)
+        scored = scored.select(query_id, doc_id, l2sq(F.col(query_vec), F.col(doc_vec)).alias("distance"))
+        return _ranked(scored, k, "l2sq", query_id, doc_id)
+    context = queries.sparkSession.sparkContext
+    # More blocks of queries, so that all cores have cells; these do not change what is found.
+    nq = max(nq, min(-(-asked // _LEAST_BLOCK), -(-2 * context.defaultParallelism // nd)))
+    sent = context.broadcast(books)
+
+    def meet(some: pa.Table, many: pa.Table):
+        vectors, codes = _matrix(many.column("_dv")), _raw_codes(many.column("_c"))
+        return _best_reranked(_matrix(some.column("_qv")), vectors, codes, np.arange(many.num_rows), sent.value, most, k)
+
+    pairs = _cells(q, d, nq, nd, meet, _pair_schema(q, d))
+    return _ranked(_named(pairs, "l2sq", query_id, doc_id), k, "l2sq", query_id, doc_id)

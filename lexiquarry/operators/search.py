@@ -32,6 +32,8 @@ from .common import settled
 #: Queries compared with a block at a time, and pairs whose exact metric is computed at a time.
 _QUERY_SLICE = 128
 _PAIR_SLICE = 1 << 15
+#: Corpus rows of one product in single precision, and rows of which only the least cost is looked at first.
+_COLUMNS, _GROUP = 1 << 13, 16
 METRICS = {"l2sq": "distance", "cosine": "similarity"}
 
 
@@ -67,33 +69,105 @@ def _bound(q: np.ndarray, x: np.ndarray, metric: str) -> tuple[np.ndarray, np.nd
     return -np.divide(q @ x.T, length, out=np.zeros(length.shape), where=length > 0), np.full(len(q), 1e-9)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    length = np.sqrt(np.square(x).sum(axis=1, keepdims=True))
+    return np.divide(x, length, out=np.zeros(x.shape), where=length > 0)
+
+
+def _singles(x: np.ndarray, metric: str = "l2sq") -> tuple[np.ndarray, int, float] | None:
+    """Corpus rows as ``_proposed`` takes them, their number and greatest squared length; nothing if single precision can't hold them.
+
+    A row is -2x and its squared length (cosine: -2x of unit length), so that its product with a query and 1 is its
+    cost but for a number that is the same for all rows. Groups are filled up with rows of endless cost.
+    """
+    x = _unit(x) if metric == "cosine" else x
+    xx = np.square(x).sum(axis=1)
+    if not (xx < 1e30).all():
+        return None
+    rows = np.zeros((-(-len(x) // _GROUP) * _GROUP, x.shape[1] + 1), np.float32)
+    rows[: len(x), :-1] = -2 * x
+    rows[: len(x), -1] = 0 if metric == "cosine" else xx
+    rows[len(x) :, -1] = np.inf
+    return rows, len(x), xx.max(initial=0.0)
+
+
+def _proposed(q: np.ndarray, singles: tuple, k: int, metric: str = "l2sq") -> tuple[np.ndarray, np.ndarray] | None:
+    """Row pairs (query, corpus), ordered by query, among them the k best of every query and all that may tie with these.
+
+    Costs are products in single precision; how far these may be off is allowed for. Of each group of corpus rows only
+    the least cost is looked at first. Nothing if single precision leaves too many pairs open.
+    """
+    rows, n, most = singles
+    q = _unit(q) if metric == "cosine" else q
+    qq = np.square(q).sum(axis=1)
+    if not (qq < 1e30).all():
+        return None
+    width = q.shape[1]
+    off = (width + 8) * 2.0**-23 * (qq + 2 * most) + width * 2.0**-120
+    asked = np.ones((len(q), width + 1), np.float32)
+    asked[:, :-1] = q
+    best, limit = np.empty((len(q), 0), np.float32), np.full(len(q), np.inf, np.float32)
+    parts, many = [], len(q) * (32 * k + n // 64)
+    for at in range(0, len(rows), _COLUMNS):
+        cost = asked @ rows[at : at + _COLUMNS].T
+        least = cost.reshape(len(q), _GROUP, -1).min(axis=1)
+        best = np.hstack([best, least])
+        if best.shape[1] > k:
+            best = np.partition(best, k - 1, axis=1)[:, :k]
+        if best.shape[1] == k:
+            limit = np.nextafter((best.max(axis=1) + 2 * off).astype(np.float32), np.float32(np.inf))
+        qi, group = np.nonzero(least <= limit[:, None])
+        if len(qi) > many:
+            return None
+        inside = group[:, None] + least.shape[1] * np.arange(_GROUP)
+        value = cost[qi[:, None], inside]
+        row, column = np.nonzero(value <= limit[qi][:, None])
+        parts.append((qi[row], at + inside[row, column], value[row, column]))
+        if sum(len(p[0]) for p in parts) > many:
+            return None
+    qi, xi, value = (np.concatenate(c) for c in zip(*parts))
+    near = np.flatnonzero((value <= limit[qi]) & (xi < n))
+    near = near[np.argsort(qi[near], kind="stable")]
+    return qi[near], xi[near]
+
+
 def _nearest_pairs(q, x, x_order, k, metric, floor=None):
     """Row pairs (query, corpus, value): the k best per query, ties by ``x_order``; or all that reach ``floor``.
 
     The matrix product only proposes pairs; those near the border are decided
-    by the exact metric, so results do not depend on how rows are blocked.
+    by the exact metric, so results do not depend on how rows are blocked. Single
+    precision is tried first, and double where it leaves too many pairs open.
     """
     sign = 1.0 if metric == "l2sq" else -1.0
     parts = []
     if len(q) and len(x) and q.shape[1] != x.shape[1]:
         raise ValueError("queries and corpus have vectors of different lengths")
+    singles = _singles(x, metric) if k is not None and len(q) and len(x) > k else None
     for at in range(0, len(q), _QUERY_SLICE):
         qs = q[at : at + _QUERY_SLICE]
-        cost, slack = _bound(qs, x, metric)
-        if k is None:
-            limit = np.full(len(qs), sign * floor)
-        elif len(x) > k:
-            limit = np.partition(cost, k - 1, axis=1)[:, k - 1]
+        pairs = _proposed(qs, singles, k, metric) if singles else None
+        if pairs is None:
+            cost, slack = _bound(qs, x, metric)
+            if k is None:
+                limit = np.full(len(qs), sign * floor)
+            elif len(x) > k:
+                limit = np.partition(cost, k - 1, axis=1)[:, k - 1]
+            else:
+                limit = np.full(len(qs), np.inf)
+            near = cost <= (limit + 2 * slack)[:, None]
+            ends = np.cumsum(near.sum(axis=1))
         else:
-            limit = np.full(len(qs), np.inf)
-        near = cost <= (limit + 2 * slack)[:, None]
+            ends = np.cumsum(np.bincount(pairs[0], minlength=len(qs)))
         # Pairs are decided a bounded number at a time, even if very many tie.
-        ends = np.cumsum(near.sum(axis=1))
         cut = 0
         while cut < len(qs):
             base = ends[cut - 1] if cut else 0
             upto = max(cut + 1, int(np.searchsorted(ends, base + _PAIR_SLICE, side="right")))
-            qi, xi = np.nonzero(near[cut:upto])
+            if pairs is None:
+                qi, xi = np.nonzero(near[cut:upto])
+            else:
+                qi, xi = (c[base : ends[upto - 1]] for c in pairs)
+                qi = qi - cut
             value = _exact(qs[cut:upto][qi], x[xi], metric)
             if k is None:
                 keep = sign * value <= sign * floor
